@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from massif.llm.exact import exact_dedup
+from massif.llm.simhash import near_dedup
 from massif.runtime import table
 
 
@@ -19,8 +20,13 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
        doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM t"""
 
+def op10_simhash_near_dedup(spark, sf_dir):
+    return near_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
+    "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
 }
 
 
