@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from massif.llm.exact import exact_dedup
+from massif.llm.packing import pack
 from massif.llm.simhash import near_dedup
 from massif.runtime import table
 
@@ -24,7 +25,15 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_packing(spark, sf_dir):
+    import public_tokenizers
+
+    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return out.drop("ids").withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
+    "op7_packing": (op7_packing, None),
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
 }
