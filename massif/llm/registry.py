@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from massif.llm.exact import exact_dedup
+from massif.llm.mixing import mix
 from massif.llm.packing import pack
 from massif.llm.simhash import near_dedup
 from massif.runtime import table
@@ -25,6 +26,10 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -33,6 +38,7 @@ def op7_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op5_mixing": (op5_mixing, None),
     "op7_packing": (op7_packing, None),
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
