@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from massif.llm import quality
 from massif.llm.exact import exact_dedup
 from massif.llm.mixing import mix
 from massif.llm.packing import pack
@@ -26,6 +27,12 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op1_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op5_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -38,6 +45,7 @@ def op7_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality_classifier": (op1_quality_classifier, None),
     "op5_mixing": (op5_mixing, None),
     "op7_packing": (op7_packing, None),
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
