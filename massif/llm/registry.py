@@ -8,6 +8,7 @@ from massif.llm import quality
 from massif.llm.exact import exact_dedup
 from massif.llm.mixing import mix
 from massif.llm.packing import pack
+from massif.llm.rules import judge
 from massif.llm.simhash import near_dedup
 from massif.runtime import table
 
@@ -37,6 +38,11 @@ def op5_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_quality_rules(spark, sf_dir):
+    out = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by")
+
+
 def op7_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -47,6 +53,7 @@ def op7_packing(spark, sf_dir):
 QUERIES = {
     "op1_quality_classifier": (op1_quality_classifier, None),
     "op5_mixing": (op5_mixing, None),
+    "op6_quality_rules": (op6_quality_rules, None),
     "op7_packing": (op7_packing, None),
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
