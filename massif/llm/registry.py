@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from massif.llm import quality
+from massif.llm import hmm, quality
 from massif.llm.exact import exact_dedup
 from massif.llm.mixing import mix
 from massif.llm.packing import pack
@@ -34,6 +34,10 @@ def op1_quality_classifier(spark, sf_dir):
     return quality.score(docs, model).select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op2_hmm_scores(spark, sf_dir):
+    return hmm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -52,6 +56,7 @@ def op7_packing(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_classifier": (op1_quality_classifier, None),
+    "op2_hmm_scores": (op2_hmm_scores, None),
     "op5_mixing": (op5_mixing, None),
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_packing": (op7_packing, None),
