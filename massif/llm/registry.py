@@ -8,6 +8,7 @@ from massif.llm import hmm, quality
 from massif.llm.exact import exact_dedup
 from massif.llm.mixing import mix
 from massif.llm.packing import pack
+from massif.llm.phrases import remove_repeats
 from massif.llm.rules import judge
 from massif.llm.simhash import near_dedup
 from massif.runtime import table
@@ -38,6 +39,11 @@ def op2_hmm_scores(spark, sf_dir):
     return hmm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_repeated_passages(spark, sf_dir):
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op5_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -57,6 +63,7 @@ def op7_packing(spark, sf_dir):
 QUERIES = {
     "op1_quality_classifier": (op1_quality_classifier, None),
     "op2_hmm_scores": (op2_hmm_scores, None),
+    "op4_repeated_passages": (op4_repeated_passages, None),
     "op5_mixing": (op5_mixing, None),
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_packing": (op7_packing, None),
