@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from massif.llm import hmm, quality
+from massif.llm import hmm, licenses, quality
 from massif.llm.exact import exact_dedup
+from massif.llm.lines import line_dedup
 from massif.llm.mixing import mix
 from massif.llm.packing import pack
 from massif.llm.phrases import remove_repeats
@@ -25,6 +26,28 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
        doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM t"""
 
+def op9_license_scan(spark, sf_dir):
+    out = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "sentence_ids", "n_known", F.array_join("licences", " ").alias("licences"), "n_matches")
+
+
+def license_sql() -> str:
+    """The scan as DuckDB SQL, from the same fixed tables."""
+    known = ", ".join(f"('{s}', '{letter}')" for letter, s in licenses.SENTENCES.items())
+    norm = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+    hits = [(name, f"len(regexp_extract_all(ids, '{licenses.rule_pattern(letters)}'))") for name, letters in licenses.RULES]
+    names = ", ".join(f"CASE WHEN {n} > 0 THEN '{name}' END" for name, n in hits)
+    return f"""
+WITH known(sentence, letter) AS (VALUES {known}),
+m AS (SELECT map(list(sentence), list(letter)) AS m FROM known),
+parts AS (SELECT doc_id, text, m, string_split(regexp_replace(coalesce(text, ''), '([.;:!?])[ \t\r\n]+|\n[ \t\r]*\n', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents, m),
+sentences AS (SELECT doc_id, text, m, list_filter(flatten(list_transform(p, lambda s: CASE WHEN m[{norm('s')}] IS NOT NULL THEN [s] ELSE string_split(s, chr(10)) END)), lambda s: {norm('s')} <> '') AS p FROM parts),
+ids AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '{licenses.HINT}') THEN array_to_string(list_transform(p, lambda s: coalesce(m[{norm('s')}], '.')), '') ELSE '' END AS ids FROM sentences)
+SELECT doc_id, ids AS sentence_ids, CAST(length(replace(ids, '.', '')) AS INT) AS n_known,
+       coalesce(array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x IS NOT NULL))), ' '), '') AS licences, CAST({" + ".join(n for _, n in hits)} AS INT) AS n_matches
+FROM ids"""
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -39,6 +62,10 @@ def op2_hmm_scores(spark, sf_dir):
     return hmm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_repeated_passages(spark, sf_dir):
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
@@ -63,11 +90,13 @@ def op7_packing(spark, sf_dir):
 QUERIES = {
     "op1_quality_classifier": (op1_quality_classifier, None),
     "op2_hmm_scores": (op2_hmm_scores, None),
+    "op3_line_dedup": (op3_line_dedup, None),
     "op4_repeated_passages": (op4_repeated_passages, None),
     "op5_mixing": (op5_mixing, None),
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_packing": (op7_packing, None),
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
+    "op9_license_scan": (op9_license_scan, license_sql()),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
 }
 
