@@ -1 +1,80 @@
-STAGES = []
+"""The corpus pipeline: five stages from documents to packed sequences, each written as Parquet and read again by the next.
+
+Every stage works on all rows that its predecessor kept. doc_id identifies a document. Extra columns are carried along whatever their names.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from massif.llm import quality
+from massif.llm.exact import exact_dedup
+from massif.llm.mixing import mix, realise
+from massif.llm.packing import pack
+from massif.llm.simhash import near_dedup
+from massif.runtime import Scratch, table
+
+
+def _named(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """docs under names that no operator uses, the new name of a column, and the way back."""
+    names = docs.columns
+    own = {c: f"_c{i}" for i, c in enumerate(names)}
+    return docs.toDF(*own.values()), own.__getitem__, lambda df: df.select(*[F.col(own[c]).alias(c) for c in names])
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of 0.5 or more stay."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    df, own, back = _named(docs)
+    return back(quality.score(df, model, own("text")).where("predicted = 1"))
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents equal up to white space the one with the smallest id stays."""
+    df, own, back = _named(docs)
+    return back(exact_dedup(df, own("doc_id"), own("text")).where("kept"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near fingerprints the one with the smallest id stays; a document without an id always stays."""
+    gone = near_dedup(docs).where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
+    df, own, back = _named(docs)
+    return back(df.join(gone, F.col(own("doc_id")) == F.col("_gone"), "left_anti"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document with the words that the mix takes of it, repeated words in full; documents of which it takes none go."""
+    taken = Scratch(spark, "mixed").save(mix(docs))
+    df, own, back = _named(docs)
+    return back(realise(df, taken, own("doc_id"), own("text"), own("n_chars") if "n_chars" in docs.columns else None))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of 2048 tokens, with their ids as little-endian 16-bit numbers."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_dedup_stage),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("source_mixing", source_mixing),
+    ("packing", packing),
+]
+
+#: The classifier, the fingerprints, the draws and the tokenizer are beyond SQL; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written to the shared folder and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,9 +27,9 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def _sorted_groups(df: DataFrame, text: str, extra: list[str], n: int) -> tuple[DataFrame, Window]:
+def _sorted_groups(df: DataFrame, text: Column, extra: list[str], n: int) -> tuple[DataFrame, Window]:
     """Range-partition by (prefix, hash, *extra); the window below needs no further exchange."""
-    dealt = df.repartitionByRange(n, "_prefix", "_hash", *extra).withColumn("_norm", normalised(F.col(text)))
+    dealt = df.repartitionByRange(n, "_prefix", "_hash", *extra).withColumn("_norm", normalised(text))
     return dealt, Window.partitionBy("_prefix", "_hash", *extra, "_norm")
 
 
@@ -48,7 +48,6 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     keyed = df.select(
         payload,
         F.col(f"`{id_col}`").alias("_id"),
-        F.col(f"`{text_col}`").alias("_text"),
         F.substring(norm, 1, PREFIX_CHARS).alias("_prefix"),
         F.xxhash64(norm).alias("_hash"),
     )
@@ -68,7 +67,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         )
 
     def ranked(rows: DataFrame, extra: list[str], parts: int) -> DataFrame:
-        dealt, key = _sorted_groups(rows, "_text", extra, parts)
+        dealt, key = _sorted_groups(rows, F.col("_row").getField(text_col), extra, parts)
         order = key.orderBy(F.col("_id").asc_nulls_last())
         whole = key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return dealt.select(
@@ -85,8 +84,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     salted = keyed.join(small, "_hash").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_parts")))
     parts = ranked(salted, ["_salt"], n)
     # the first row of each part: at most 2 * MAX_HOT_TEXTS rows
-    heads = parts.where("_kept").select("_prefix", "_hash", "_salt", "_text", "_id", "_size")
-    dealt, key = _sorted_groups(heads, "_text", [], n)
+    heads = parts.where("_kept").select("_prefix", "_hash", "_salt", F.col("_row").getField(text_col).alias("_text"), "_id", "_size")
+    dealt, key = _sorted_groups(heads, F.col("_text"), [], n)
     whole = key.orderBy(F.col("_id").asc_nulls_last(), "_salt").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     merged = scratch.save(
         dealt.select(

@@ -9,6 +9,7 @@ source, and slots meet blocks in a join by (source, index).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,7 +102,7 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """(id, size, source_size, target, taken) for each row of df.
+    """(id, size, source_size, target, taken, spans) for each row of df; spans: runs of words with the times that each is taken.
 
     size: words of the text (0 for null and empty texts, which nothing is taken from). Sources weigh 5, 2, 1, repeating, by
     code point, null last. taken: words the mix takes from the row, repeats counted; never over three times its size. Rows that
@@ -157,10 +158,50 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     first, last = F.floor(F.col("before") / block_words), F.floor((F.col("before") + F.col("size") - 1) / block_words)
     covered = placed.withColumn("block", F.explode(F.sequence(first, last)))
     overlap = F.least(F.col("before") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("before"), F.col("block") * block_words)
+    start = F.greatest(F.col("before"), F.col("block") * block_words) - F.col("before")
+    span = F.struct(start.alias("start"), overlap.alias("words"), F.coalesce("times", F.lit(0)).alias("times"))
     taken = (
         covered.join(hits, ["k", "block"], "left")
         .groupBy("k", "before")
-        .agg(*[F.first(c).alias(c) for c in ("id", "size", "source_size", "target")], F.sum(overlap * F.coalesce("times", F.lit(0))).alias("taken"))
+        .agg(*[F.first(c).alias(c) for c in ("id", "size", "source_size", "target")], F.sum(overlap * F.coalesce("times", F.lit(0))).alias("taken"), F.array_sort(F.collect_list(span)).alias("spans"))
     )
-    names = ["id", "size", "source_size", "target", "taken"]
-    return taken.select(*names).unionAll(rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*names))
+    names = ["id", "size", "source_size", "target", "taken", "spans"]
+    none = F.array().cast(taken.schema["spans"].dataType)
+    return taken.select(*names).unionAll(rows.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), none.alias("spans")))
+
+
+def cut_words(text: str | None, spans: list[dict]) -> str:
+    """The words that the mix takes: in the text's own white space and order, what is taken again once more after a line break."""
+    found = [m.span() for m in re.finditer("[^\\x20\\x09-\\x0D]+", text or "")]
+    copies = []
+    for turn in range(1, MAX_REPEATS + 1):
+        at, parts = None, []
+        for s in spans:
+            if s["times"] >= turn:
+                first, last = s["start"], s["start"] + s["words"]
+                if at == first:
+                    parts[-1][1] = last
+                else:
+                    parts.append([first, last])
+                at = last
+        if parts == [[0, len(found)]]:
+            copies.append(text)
+        elif parts:
+            copies.append("\n".join(text[found[a][0] : found[b - 1][1]] for a, b in parts))
+    return "\n".join(copies)
+
+
+def realise(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """The rows of df that the mix takes words of, their text being the words taken (repeats included) and length_col its length.
+
+    An id that several rows share counts as one document: mixed must have it once.
+    """
+    ship(df.sparkSession)
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([cut_words(t, s) for t, s in zip(text, spans)], dtype=object)
+
+    own = mixed.where("taken > 0").select(F.col("id").alias("_id"), F.col("spans").alias("_spans"))
+    out = df.join(own, F.col(f"`{id_col}`") == F.col("_id")).withColumn(text_col, cut(F.col(f"`{text_col}`"), F.col("_spans"))).drop("_id", "_spans")
+    return out.withColumn(length_col, F.char_length(text_col).cast(df.schema[length_col].dataType)) if length_col in df.columns else out

@@ -72,7 +72,7 @@ def op4_repeated_passages(spark, sf_dir):
 
 
 def op5_mixing(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return mix(table(spark, sf_dir, "documents")).drop("spans").withColumnRenamed("id", "doc_id")
 
 
 def op6_quality_rules(spark, sf_dir):
@@ -87,7 +87,14 @@ def op7_packing(spark, sf_dir):
     return out.drop("ids").withColumnRenamed("id", "doc_id")
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": (pipeline, None),
     "op1_quality_classifier": (op1_quality_classifier, None),
     "op2_hmm_scores": (op2_hmm_scores, None),
     "op3_line_dedup": (op3_line_dedup, None),
