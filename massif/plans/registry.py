@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from massif.plans import quant
+from massif.plans import fdr, quant, spectra
 
-MODULES = (quant,)
+MODULES = (quant, fdr, spectra)
 
 
 def queries() -> dict:
