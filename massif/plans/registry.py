@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from massif.plans import fdr, quant, spectra
+from massif.plans import fdr, quant, ranges, spectra
 
-MODULES = (quant, fdr, spectra)
+MODULES = (quant, fdr, spectra, ranges)
 
 
 def queries() -> dict:
