@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from massif.plans import fdr, quant, ranges, spectra
+from massif.plans import fdr, library, quant, ranges, spectra
 
-MODULES = (quant, fdr, spectra, ranges)
+MODULES = (quant, fdr, spectra, ranges, library)
 
 
 def queries() -> dict:
