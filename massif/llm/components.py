@@ -5,7 +5,7 @@ Both work on tables only. No bucket, component or link set is gathered in one ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from massif.runtime import Scratch
@@ -60,9 +60,11 @@ def linked_components(keys: DataFrame, near, scratch: Scratch, rounds: int = 2)
             found = found.unionAll(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = scratch.save(components(found, scratch))
     named = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    open_ = scratch.save(named.join(mixed, "key"))
-    x = open_.select("key", F.col("node").alias("a"), F.col("label").alias("la"))
+    # of two nodes of different components at least one is not of the bucket's least label, so a bucket of one large component and few
+    # others costs its size times the few
+    whole = Window.partitionBy("key")
+    open_ = named.repartition("key").select("*", F.min("label").over(whole).alias("lo"), F.max("label").over(whole).alias("hi")).where("lo <> hi")
+    x = open_.where("label <> lo").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
     y = open_.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("la") < F.col("lb")) & near("a", "b")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    rest = x.join(y, (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & near("a", "b")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
     return components(rest.unionAll(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))), scratch)
