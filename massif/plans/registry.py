@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from massif.plans import fdr, library, quant, ranges, spectra
+from massif.plans import fdr, library, quality, quant, ranges, sequence, spectra
 
-MODULES = (quant, fdr, spectra, ranges, library)
+MODULES = (quant, fdr, spectra, ranges, library, sequence, quality)
 
 
 def queries() -> dict:
