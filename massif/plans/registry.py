@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from massif.plans import fdr, library, quality, quant, ranges, sequence, spectra
+from massif.plans import fdr, library, quality, quant, ranges, sequence, spectra, streaming
 
-MODULES = (quant, fdr, spectra, ranges, library, sequence, quality)
+MODULES = (quant, fdr, spectra, ranges, library, sequence, quality, streaming)
 
 
 def queries() -> dict:

@@ -37,11 +37,11 @@ def decoy_slide(spark, sf_dir):
 
 def fragment_masses(spark, sf_dir):
     out = S.fragments(_sequences(spark, sf_dir).where("p_partkey < 100"), "seq", ("b",), ("y",))
-    return out.select("p_partkey", "ion", F.col("number").cast("long"), F.round("mass", 5).alias("mass"))
+    return out.select("p_partkey", "ion", F.col("number").cast("long"), F.round("mass", 4).alias("mass"))
 
 
 def peptide_mass(spark, sf_dir):
-    return _sequences(spark, sf_dir).select("p_partkey", F.round(S.peptide_mass(F.col("seq")), 5).alias("mass"))
+    return _sequences(spark, sf_dir).select("p_partkey", F.round(S.peptide_mass(F.col("seq")), 4).alias("mass"))
 
 
 def _formulas(spark, sf_dir):
@@ -54,7 +54,7 @@ def formula_parse(spark, sf_dir):
 
 
 def formula_mass(spark, sf_dir):
-    return _formulas(spark, sf_dir).select("p_partkey", F.round(C.formula_mass(F.col("formula")), 5).alias("mass"))
+    return _formulas(spark, sf_dir).select("p_partkey", F.round(C.formula_mass(F.col("formula")), 4).alias("mass"))
 
 
 def formula_hill(spark, sf_dir):
@@ -156,12 +156,12 @@ SELECT p_partkey, max(h) || string_agg(substr(body, (CASE WHEN f < n THEN f ELSE
 m AS (SELECT p_partkey, n, i, {MASS_SQL}[substr(seq, i, 1)] AS m FROM x),
 b AS (SELECT p_partkey, n, i, m, sum(m) OVER w AS up, count(*) FILTER (WHERE m IS NULL) OVER w AS bu, sum(m) OVER v AS down, count(*) FILTER (WHERE m IS NULL) OVER v AS bd FROM m
   WINDOW w AS (PARTITION BY p_partkey ORDER BY i), v AS (PARTITION BY p_partkey ORDER BY i DESC))
-SELECT p_partkey, 'b' AS ion, i AS number, round(up, 5) AS mass FROM b WHERE i < n AND bu = 0 UNION ALL SELECT p_partkey, 'y', n - i + 1, round(down + {C.WATER}, 5) FROM b WHERE i > 1 AND bd = 0""",
+SELECT p_partkey, 'b' AS ion, i AS number, round(up, 4) AS mass FROM b WHERE i < n AND bu = 0 UNION ALL SELECT p_partkey, 'y', n - i + 1, round(down + {C.WATER}, 4) FROM b WHERE i > 1 AND bd = 0""",
     ),
     "peptide_mass": (
         peptide_mass,
         f"""WITH {SEQ_SQL}, x AS (SELECT p_partkey, {MASS_SQL}[unnest(string_split(seq, ''))] AS m FROM s)
-SELECT p_partkey, round(CASE WHEN count(*) = count(m) THEN sum(m) + {C.WATER} END, 5) AS mass FROM x GROUP BY 1""",
+SELECT p_partkey, round(CASE WHEN count(*) = count(m) THEN sum(m) + {C.WATER} END, 4) AS mass FROM x GROUP BY 1""",
     ),
     "formula_parse": (
         formula_parse,
@@ -171,7 +171,7 @@ SELECT p_partkey, round(CASE WHEN count(*) = count(m) THEN sum(m) + {C.WATER} EN
     "formula_mass": (
         formula_mass,
         f"""WITH {FORMULA_SQL} SELECT p_partkey, round(s::DOUBLE * {C.ISOTOPES['H'][0][0]} + (s + 3)::DOUBLE * 12.0 + {C.ISOTOPES['N'][0][0]}::DOUBLE + (s % 7 + 2) * {C.ISOTOPES['O'][0][0]}
-+ CASE WHEN s % 2 = 0 THEN {C.ISOTOPES['S'][0][0]} ELSE 0 END, 5) AS mass FROM f""",
++ CASE WHEN s % 2 = 0 THEN {C.ISOTOPES['S'][0][0]} ELSE 0 END, 4) AS mass FROM f""",
     ),
     "formula_hill": (
         formula_hill,
