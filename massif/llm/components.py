@@ -1,6 +1,6 @@
-"""Connected components of a link table, and links inside buckets without all pairs.
+"""Links inside buckets without all pairs, and their connected components.
 
-Both work on tables only. No bucket, component or link set is gathered in one task or in the driver.
+Tables only: no bucket, component or link set is gathered in one task or in the driver.
 """
 
 from __future__ import annotations
@@ -8,38 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from massif.operators.graph import components
 from massif.runtime import Scratch
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, label) for every node of links (a, b): label is the smallest node that it reaches.
-
-    Alternates the large-star and small-star steps: each node's larger neighbours, then its smaller ones, are
-    linked to the smallest node of its neighbourhood, until the table no longer changes. The number of rounds grows with the
-    logarithm of the longest path; a node of very many links is met through min() aggregates, which combine before a shuffle, and a join
-    whose skewed side Spark can split. Every round is a written table.
-    """
-    edges = scratch.save(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
-        both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        step = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = scratch.save(step)
-        mark = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        scratch.drop(edges)
-        edges = new
-        if tuple(mark) == before:
-            break
-        before = tuple(mark)
-    # at the fixed point every node but the smallest of its component is linked to that one alone
-    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return labels.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
-
-
 def linked_components(keys: DataFrame, near, scratch: Scratch, rounds: int = 2) -> DataFrame:
     """(node, label) of the nodes of keys (key, node[, payload]) that have links: two nodes link if they share a key and near(x, y).
 
