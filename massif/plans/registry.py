@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from massif.plans import fdr, library, quality, quant, ranges, sequence, spectra, streaming
+from massif.plans import fdr, lfq, library, quality, quant, ranges, sequence, spectra, streaming
 
-MODULES = (quant, fdr, spectra, ranges, library, sequence, quality, streaming)
+MODULES = (quant, fdr, spectra, ranges, library, sequence, quality, streaming, lfq)
 
 
 def queries() -> dict:
