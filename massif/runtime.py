@@ -25,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -63,6 +64,8 @@ class Scratch:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a session, so that functions in tasks can import it."""
     sc = spark.sparkContext
+    # texts can be long: what a Python worker holds at once is bounded by bytes, not by rows
+    spark.conf.set(BATCH_BYTES, str(4 << 20))
     if getattr(sc, "_massif_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
