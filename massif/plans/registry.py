@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from massif.plans import fdr, lfq, library, quality, quant, ranges, scans, sequence, spectra, streaming
+from massif.plans import fdr, lfq, library, quality, quant, ranges, scans, scores, sequence, spectra, streaming
 
-MODULES = (quant, fdr, spectra, ranges, library, sequence, quality, streaming, lfq, scans)
+MODULES = (quant, fdr, spectra, ranges, library, sequence, quality, streaming, lfq, scans, scores)
 
 
 def queries() -> dict:
