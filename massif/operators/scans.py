@@ -184,3 +184,49 @@ def loss_kind(mass: Column) -> Column:
     for name, m in known[1:]:
         out = out.when(F.abs(mass - m) < 0.01, name)
     return out.otherwise("other")
+
+# ---- matches, grids and sets ----
+
+
+def closest_match(left: DataFrame, key: str, x: str, right: DataFrame, other: str, y: str, ppm: float) -> DataFrame:
+    """Each row of left with its closest partner within ppm (ties: the lower id), rows without one having none."""
+    from massif.operators.ranges import ppm_join
+
+    pairs = ppm_join(left.select(key, x), right.select(other, y), x, y, ppm)
+    best = pairs.groupBy(key).agg(F.min_by(F.struct(other, y), F.struct(F.abs(F.col(x) - F.col(y)), F.col(other))).alias("_b"))
+    return left.join(best, key, "left").select(*left.columns, F.col("_b").getField(other).alias(other), F.col("_b").getField(y).alias(y))
+
+
+def truncations(df: DataFrame, seq: str, most: int, least_length: int) -> DataFrame:
+    """df with end (N or C), removed and product: up to `most` residues taken off either end (GEN12)."""
+    cut = lambda name, f: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.struct(F.lit(name).alias("end"), i.alias("removed"), f(i).alias("product")))
+    n = F.length(seq)
+    both = F.concat(cut("N", lambda i: F.substring(F.col(seq), i + 1, n)), cut("C", lambda i: F.substring(F.col(seq), F.lit(1), n - i)))
+    return df.withColumn("_t", F.explode(both)).select(*df.columns, "_t.*").where(F.length("product") >= least_length)
+
+
+def parameter_grid(spark, **choices: list) -> DataFrame:
+    """All combinations of a few short lists of settings (GEN29); lists in the code, not data."""
+    one = spark.range(1).select(*[F.array(*[F.lit(v) for v in values]).alias(name) for name, values in choices.items()])
+    for name in choices:
+        one = one.withColumn(name, F.explode(name))
+    return one
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(equal): whether two tables have the same rows as often, in any order (SET5)."""
+    columns = a.columns
+    both = a.select(*columns, F.lit(1).alias("_n")).unionAll(b.select(*columns, F.lit(-1).alias("_n")))
+    return both.groupBy(*columns).agg(F.sum("_n").alias("_d")).agg((F.coalesce(F.max(F.abs("_d")), F.lit(0)) == 0).alias("equal"))
+
+
+def shared_extrema(points: DataFrame, run: str, time: str, tolerance: float, share: float = 0.55) -> DataFrame:
+    """(first, last, n_runs): groups of extrema whose times follow one another within tolerance and that at least `share` of the runs have.
+
+    Times are few for one analyte, whose points these are.
+    """
+    w = Window.orderBy(time)
+    marked = points.withColumn("_g", F.coalesce((F.col(time) - F.lag(time).over(w) > tolerance).cast("int"), F.lit(0))).withColumn("_c", F.sum("_g").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    total = points.agg(F.count_distinct(run).alias("_all"))
+    out = marked.groupBy("_c").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count_distinct(run).alias("n_runs"))
+    return out.join(F.broadcast(total)).where(F.col("n_runs") >= share * F.col("_all")).select("first", "last", "n_runs")

@@ -92,6 +92,30 @@ def text_checksums(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
+def fragment_match(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("price"))
+    return S.closest_match(o, "o_orderkey", "o_totalprice", li, "l_orderkey", "price", 50.0).select("o_orderkey", "l_orderkey")
+
+
+def truncation_products(spark, sf_dir):
+    return S.truncations(_sequences(spark, sf_dir).where("p_partkey < 300"), "seq", 4, 5).select("p_partkey", "end", F.col("removed").cast("long"), "product")
+
+
+def parameter_grid(spark, sf_dir):
+    return S.parameter_grid(spark, bins=[1, 2, 5], overlap=[0, 4], mode=["sum", "mean"])
+
+
+def multiset_equality(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
+    return S.same_rows(li, li.orderBy("l_quantity"))
+
+
+def shared_extrema(spark, sf_dir):
+    x = S.extrema(_scans(spark, sf_dir).where("user_id < 12").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value").where("kind = 'max'")
+    return S.shared_extrema(x, "user_id", "event_id", 40.0, 0.3).withColumn("n_runs", F.col("n_runs").cast("long"))
+
+
 QUERIES = {
     "scan_filters": (scan_filters, "SELECT event_id, event_id % 3 + 1 AS level, value FROM events WHERE event_id % 3 + 1 IN (1, 2) AND event_id BETWEEN 100 AND 5000 AND value BETWEEN 10 AND 40"),
     "peaks_in_range": (
@@ -157,4 +181,25 @@ length(seq) - length(replace(seq, 'L', '')) AS n_l FROM s""",
 CASE p_partkey % 4 WHEN 0 THEN 'water' WHEN 1 THEN 'ammonia' WHEN 2 THEN 'none' ELSE 'other' END AS loss FROM part""",
     ),
     "text_checksums": (text_checksums, "SELECT item_id, sha256(text) AS digest, octet_length(encode(text)) AS n_bytes FROM benchmark"),
+    "fragment_match": (
+        fragment_match,
+        """WITH l AS (SELECT l_orderkey, max(l_extendedprice) AS price FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
+m AS (SELECT o_orderkey, arg_min(l_orderkey, (abs(o_totalprice - price), l_orderkey)) AS l_orderkey FROM orders JOIN l ON abs(o_totalprice - price) / price * 1e6 <= 50 GROUP BY 1)
+SELECT o.o_orderkey, m.l_orderkey FROM orders o LEFT JOIN m USING (o_orderkey)""",
+    ),
+    "truncation_products": (
+        truncation_products,
+        f"""WITH {SEQ_SQL}, c AS (SELECT p_partkey, seq, unnest([1, 2, 3, 4]) AS i FROM s WHERE p_partkey < 300),
+x AS (SELECT p_partkey, 'N' AS "end", i::BIGINT AS removed, substr(seq, i + 1) AS product FROM c UNION ALL SELECT p_partkey, 'C', i, left(seq, greatest(length(seq) - i, 0)) FROM c)
+SELECT * FROM x WHERE length(product) >= 5""",
+    ),
+    "parameter_grid": (parameter_grid, "SELECT bins, overlap, mode FROM (SELECT unnest([1, 2, 5]) AS bins), (SELECT unnest([0, 4]) AS overlap), (SELECT unnest(['sum', 'mean']) AS mode)"),
+    "multiset_equality": (multiset_equality, "SELECT true AS equal"),
+    "shared_extrema": (
+        shared_extrema,
+        """WITH w AS (SELECT user_id, event_id, value, lag(value) OVER k AS a, lead(value) OVER k AS b FROM events WHERE user_id < 12 WINDOW k AS (PARTITION BY user_id ORDER BY event_id)),
+x AS (SELECT user_id, event_id FROM w WHERE value > a AND value > b), g AS (SELECT *, CASE WHEN event_id - lag(event_id) OVER (ORDER BY event_id) > 40 THEN 1 ELSE 0 END AS new FROM x),
+c AS (SELECT *, sum(new) OVER (ORDER BY event_id) AS c FROM g), n AS (SELECT count(DISTINCT user_id) AS n FROM x)
+SELECT min(event_id) AS first, max(event_id) AS last, count(DISTINCT user_id) AS n_runs FROM c, n GROUP BY c, n HAVING count(DISTINCT user_id) >= 0.3 * n""",
+    ),
 }
