@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from massif.operators import fdr
+from massif.operators import fdr, pep
 from massif.runtime import table
 
 
@@ -30,7 +30,14 @@ def running_pep_fdr(spark, sf_dir):
     return out.select("event_id", F.round("fdr", 6).alias("fdr"))
 
 
+def pep_gbt(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", (F.col("event_id") % 13).alias("charge"))
+    ev = ev.withColumn("score", F.col("value") + F.when(F.col("event_type") == "error", 0.0).otherwise(20.0))
+    return pep.error_probabilities(ev, ["score", "charge"], F.col("event_type") == "error", "user_id", rounds=4).select("event_id", F.round("pep", 6).alias("pep"))
+
+
 QUERIES = {
+    "pep_gbt": (pep_gbt, None),
     "qvalue_target_decoy": (
         qvalue_target_decoy,
         """WITH t AS (SELECT round(value, 2) AS s, count(*) AS n, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS d FROM events GROUP BY 1),
