@@ -69,7 +69,7 @@ QUERIES = {
     ),
     "nearest_lookup": (
         nearest_lookup,
-        """WITH g AS (SELECT DISTINCT p_size * 3.5 AS point FROM part)
+        """WITH g AS (SELECT DISTINCT p_size * 3.5::DOUBLE AS point FROM part)
 SELECT event_id, round((SELECT arg_min(point, (abs(point - value), -point)) FROM g), 4) AS nearest FROM events""",
     ),
     "xic_islands": (xic_islands, f"WITH {ISLANDS_SQL} SELECT user_id, hour, island FROM i"),

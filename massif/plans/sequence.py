@@ -188,7 +188,7 @@ SELECT p_partkey, round(CASE WHEN count(*) = count(m) THEN sum(m) + {C.WATER} EN
     "strip_mods": (strip_mods, f"WITH {MOD_SQL} SELECT p_partkey, regexp_replace(full_seq, '\\[[^\\]]*\\]', '', 'g') AS base FROM f"),
     "parse_mods": (
         parse_mods,
-        """SELECT p_partkey, 3 AS position, 'Mod:' || p_type AS mod FROM part UNION ALL SELECT p_partkey, 0, 'Common:Acetyl on X' FROM part WHERE p_size % 3 = 0""",
+        """SELECT p_partkey, 3::BIGINT AS position, 'Mod:' || p_type AS mod FROM part UNION ALL SELECT p_partkey, 0, 'Common:Acetyl on X' FROM part WHERE p_size % 3 = 0""",
     ),
     "coverage_fraction": (
         coverage_fraction,
@@ -198,7 +198,7 @@ SELECT protein, count(*) AS covered, round(count(*) / 100.0, 6) AS fraction FROM
     "site_occupancy": (
         site_occupancy,
         f"""WITH {INTERVAL_SQL}, p AS (SELECT DISTINCT protein, site AS pos FROM i WHERE site IS NOT NULL)
-SELECT protein, pos AS position, count(*) FILTER (WHERE site = pos) AS n_modified, count(*) AS n_total, round(count(*) FILTER (WHERE site = pos) / count(*), 6) AS fraction,
+SELECT protein, pos::BIGINT AS position, count(*) FILTER (WHERE site = pos) AS n_modified, count(*) AS n_total, round(count(*) FILTER (WHERE site = pos) / count(*), 6) AS fraction,
 round(coalesce(sum(v) FILTER (WHERE site = pos), 0) / sum(v), 6) AS stoichiometry FROM i JOIN p USING (protein) WHERE pos BETWEEN st AND en GROUP BY 1, 2""",
     ),
     "proteoform_level": (
