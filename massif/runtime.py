@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -20,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="massif-")
+        folder = tempfile.mkdtemp(prefix="massif-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         sc.setCheckpointDir(base)
     return base
 
