@@ -1,6 +1,6 @@
 """The corpus pipeline: five stages from documents to packed sequences, each written as Parquet and read again by the next.
 
-Every stage works on all rows that its predecessor kept. doc_id identifies a document. Extra columns are carried along whatever their names.
+Every stage works on all rows that its predecessor kept. doc_id may be null or repeat: stages that carry something to a row do so by a key of their own. Extra columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +25,12 @@ def _named(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str], Callable[[
     return docs.toDF(*own.values()), own.__getitem__, lambda df: df.select(*[F.col(own[c]).alias(c) for c in names])
 
 
+def _keyed(docs: DataFrame, name: str) -> tuple[DataFrame, Callable[[str], str], Callable[[DataFrame], DataFrame]]:
+    """_named() with _row, which tells all rows apart, null and repeated ids included. The table is written, so that each reading sees the same keys."""
+    df, own, back = _named(docs)
+    return Scratch(docs.sparkSession, name).save(df.withColumn("_row", F.monotonically_increasing_id())), own, back
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of 0.5 or more stay."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -39,17 +45,18 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near fingerprints the one with the smallest id stays; a document without an id always stays."""
-    gone = near_dedup(docs).where("id <> component_id").select(F.col("id").alias("_gone")).distinct()
-    df, own, back = _named(docs)
-    return back(df.join(gone, F.col(own("doc_id")) == F.col("_gone"), "left_anti"))
+    """Of rows linked by near fingerprints one stays: that of the smallest id, ids that are null last."""
+    df, own, back = _keyed(docs, "deduped")
+    gone = near_dedup(df, own("doc_id"), own("text"), "_row").where("NOT kept").select(F.col("key").alias("_row"))
+    return back(df.join(gone, "_row", "left_anti"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with the words that the mix takes of it, repeated words in full; documents of which it takes none go."""
-    taken = Scratch(spark, "mixed").save(mix(docs))
-    df, own, back = _named(docs)
-    return back(realise(df, taken, own("doc_id"), own("text"), own("n_chars") if "n_chars" in docs.columns else None))
+    """Each row with the words that the mix takes of it, repeated words in full; rows of which it takes none go."""
+    df, own, back = _keyed(docs, "mixed")
+    mixed = Scratch(spark, "mixed").save(mix(df, own("doc_id"), own("text"), own("source"), key_col="_row"))
+    taken = mixed.select(F.col("key").alias("id"), "taken", "spans")
+    return back(realise(df, taken, "_row", own("text"), own("n_chars") if "n_chars" in docs.columns else None))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

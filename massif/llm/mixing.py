@@ -49,14 +49,14 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MA
     return out
 
 
-def prefix_sums(df: DataFrame, group: str, order: str, value: str, scratch: Scratch) -> DataFrame:
+def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, scratch: Scratch) -> DataFrame:
     """df with `before`: the sum of value over the rows of its group that come earlier by order.
 
     Rows are dealt by ranges of (group, order), so a large group spans many tasks; each task sums its own rows, and the sums of
     whole tasks (one row for each task and group) are added in a second pass.
     """
     n = shuffle_partitions(df.sparkSession)
-    dealt = df.repartitionByRange(n, group, order).sortWithinPartitions(group, order).withColumn("_part", F.spark_partition_id())
+    dealt = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumn("_part", F.spark_partition_id())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, carry = None, 0
@@ -101,18 +101,21 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, key_col: str | None = None) -> DataFrame:
     """(id, size, source_size, target, taken, spans) for each row of df; spans: runs of words with the times that each is taken.
 
     size: words of the text (0 for null and empty texts, which nothing is taken from). Sources weigh 5, 2, 1, repeating, by
     code point, null last. taken: words the mix takes from the row, repeats counted; never over three times its size. Rows that
     repeat have their own words in the stream. The same rows give the same mix. An empty table gives an empty table.
-    The table of sources (not of documents) is held by the driver.
+    The table of sources (not of documents) is held by the driver. key_col names a column that tells rows apart: rows of one id
+    come in its order, and the result has it as `key`.
     """
     spark = df.sparkSession
     ship(spark)
     scratch = Scratch(spark, "mixing")
-    sizes = scratch.save(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), n_words(text_col).alias("size")))
+    keys = ["key"] if key_col else []
+    own = [F.col(f"`{key_col}`").alias("key")] if key_col else []
+    sizes = scratch.save(df.select(*own, F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), n_words(text_col).alias("size")))
     found = [(r["source"], r["size"]) for r in sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()]
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))
     goal = targets([n for _, n in found], weights)
@@ -124,9 +127,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     plan = spark.createDataFrame(
         [(k, s, n, t) for k, ((s, n), t) in enumerate(zip(found, goal))], "k int, source string, source_size long, target double"
     )
-    rows = sizes.join(F.broadcast(plan), sizes["source"].eqNullSafe(plan["source"])).select("id", "size", "k", "source_size", "target")
+    rows = sizes.join(F.broadcast(plan), sizes["source"].eqNullSafe(plan["source"])).select("id", "size", "k", "source_size", "target", *keys)
     filled = rows.where("size > 0")
-    placed = prefix_sums(filled, "k", "id", "size", scratch)
+    placed = prefix_sums(filled, "k", ["id", *keys], "size", scratch)
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
@@ -154,7 +157,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
                     index[turn == e] = permuted(rank[turn == e] % size, size, (seed * 1_000_003 + k) * 4 + int(e))
                 yield pd.DataFrame({"k": k, "block": index})
 
-    hits = prefix_sums(draws, "k", "shard", "n", scratch).mapInPandas(fill, "k int, block long").groupBy("k", "block").agg(F.count("*").alias("times"))
+    hits = prefix_sums(draws, "k", ["shard"], "n", scratch).mapInPandas(fill, "k int, block long").groupBy("k", "block").agg(F.count("*").alias("times"))
     first, last = F.floor(F.col("before") / block_words), F.floor((F.col("before") + F.col("size") - 1) / block_words)
     covered = placed.withColumn("block", F.explode(F.sequence(first, last)))
     overlap = F.least(F.col("before") + F.col("size"), (F.col("block") + 1) * block_words) - F.greatest(F.col("before"), F.col("block") * block_words)
@@ -163,11 +166,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     taken = (
         covered.join(hits, ["k", "block"], "left")
         .groupBy("k", "before")
-        .agg(*[F.first(c).alias(c) for c in ("id", "size", "source_size", "target")], F.sum(overlap * F.coalesce("times", F.lit(0))).alias("taken"), F.array_sort(F.collect_list(span)).alias("spans"))
+        .agg(*[F.first(c).alias(c) for c in ("id", "size", "source_size", "target", *keys)], F.sum(overlap * F.coalesce("times", F.lit(0))).alias("taken"), F.array_sort(F.collect_list(span)).alias("spans"))
     )
-    names = ["id", "size", "source_size", "target", "taken", "spans"]
+    names = ["id", "size", "source_size", "target", "taken", "spans", *keys]
     none = F.array().cast(taken.schema["spans"].dataType)
-    return taken.select(*names).unionAll(rows.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), none.alias("spans")))
+    return taken.select(*names).unionAll(rows.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), none.alias("spans"), *keys))
 
 
 def cut_words(text: str | None, spans: list[dict]) -> str:
@@ -194,7 +197,7 @@ def cut_words(text: str | None, spans: list[dict]) -> str:
 def realise(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The rows of df that the mix takes words of, their text being the words taken (repeats included) and length_col its length.
 
-    An id that several rows share counts as one document: mixed must have it once.
+    id_col must tell the rows apart, as mixed's key does: mixed has each id once, and a row without an id goes.
     """
     ship(df.sparkSession)
 

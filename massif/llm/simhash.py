@@ -96,7 +96,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.fromiter((fingerprint(x.as_py()) for x in b.column(1)), dtype=np.uint64, count=b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+        rest = b.column_names[2:]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *[b.column(c) for c in rest]], ["id", "fp", *rest])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,24 +107,30 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(fps[rows])], ["key", "node"])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the signed long that holds each text's fingerprint; null and empty texts have 0."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """(id, fp[, key]): the signed long that holds each text's fingerprint; null and empty texts have 0."""
     ship(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_fingerprints, f"id {kind}, fp long")
+    columns = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")]
+    kinds = f"id {df.schema[id_col].dataType.simpleString()}, fp long"
+    if key_col:
+        columns.append(F.col(f"`{key_col}`").alias("key"))
+        kinds += f", key {df.schema[key_col].dataType.simpleString()}"
+    return df.select(*columns).mapInArrow(_fingerprints, kinds)
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) for each row of df.
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """(id, fingerprint, component_id[, key, kept]) for each row of df.
 
     Rows link if their fingerprints differ in at most four bits; component_id is the smallest id that a row reaches. Rows without a
     word have fingerprint zero and link like any others. An id that repeats counts once for each of its rows; an id that is
-    null never names a component unless it is alone there. An empty table gives an empty table.
+    null never names a component unless it is alone there. An empty table gives an empty table. key_col names a column that tells rows
+    apart: the result has it as `key`, and kept is true for one row of each component, that of the smallest id (null last), then key.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "simhash")
-    docs = scratch.save(fingerprints(df, id_col, text_col))
-    nodes = scratch.save(docs.groupBy("fp").agg(F.min("id").alias("head")))
+    docs = scratch.save(fingerprints(df, id_col, text_col, key_col))
+    head = F.struct(F.col("id").isNull().alias("none"), "id", *(["key"] if key_col else []))
+    nodes = scratch.save(docs.groupBy("fp").agg(F.min(head).alias("head")))
     keys = scratch.save(nodes.select("fp").mapInArrow(_keys, "key int, node long"))
     labels = scratch.save(linked_components(keys, lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MAX_BITS, scratch))
     scratch.drop(keys)
@@ -131,5 +138,6 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     heads = named.groupBy("label").agg(F.min("head").alias("first"))
     # only fingerprints of components of two or more need a look-up of another one's document
     lookup = named.join(heads, "label").select("fp", "first")
-    own = nodes.join(lookup, "fp", "left").select("fp", F.coalesce("first", "head").alias("component_id"))
-    return docs.join(own, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    own = nodes.join(lookup, "fp", "left").select("fp", F.coalesce("first", "head").alias("first"))
+    kept = ["key", (F.col("key") == F.col("first.key")).alias("kept")] if key_col else []
+    return docs.join(own, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.id").alias("component_id"), *kept)
