@@ -63,7 +63,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 2048 tokens, with their ids as little-endian 16-bit numbers."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [

@@ -11,6 +11,7 @@ import json
 import sys
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,36 +30,41 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def load_encoder(path: str, pattern: str):
+def load_encoder(path: str, pattern: str, added: bool = False):
     """An encoder of plain text with the ids of the byte-level tokenizer file at path.
 
     In that file each merge makes the token with the next id, so a token's id is its rank, which is how tiktoken states the same
-    vocabulary; it encodes several times as fast. Tests compare the ids with those of the tokenizers library.
+    vocabulary; it encodes several times as fast. Tests compare the ids with those of the tokenizers library. With added, the file's added
+    tokens are recognised inside a text, as that library does by default; without, their letters are plain text.
     """
     import tiktoken
 
     letters = byte_letters()
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {x["content"] for x in spec.get("added_tokens", [])}
+    tokens = spec.get("added_tokens", [])
+    if added and any(x[k] for x in tokens for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on their surroundings are not supported")
+    special = {x["content"]: x["id"] for x in tokens}
     ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special if added else {})
 
 
-def worker_encoder(path: str, pattern: str):
+def worker_encoder(path: str, pattern: str, added: bool = False):
     """The encoder, kept for the life of a Python worker."""
-    key = f"_massif_encoder:{path}"
+    key = f"_massif_encoder:{path}:{added}"
     if key not in sys.modules:
-        sys.modules[key] = load_encoder(path, pattern)
+        sys.modules[key] = load_encoder(path, pattern, added)
     return sys.modules[key]
 
 
-def token_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """(id, part, at, n, ids): each row's ids with the end id, as little-endian 16-bit numbers, and its offset `at` among its task's."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_encoder(path, pattern).encode_ordinary
+        encoder = worker_encoder(path, pattern, added)
+        encode = partial(encoder.encode, allowed_special="all") if added else encoder.encode_ordinary
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids = [np.array([*encode(x.as_py() or ""), END_ID], dtype="<u2") for x in batch.column(1)]
@@ -79,14 +85,15 @@ def token_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, part int, at long, n long, ids binary")
 
 
-def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE) -> DataFrame:
+def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, added: bool = False) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): a row for each piece of a document in one sequence.
 
     Null and empty texts give the end id alone. Rows that repeat are packed as often as they occur. All sequences but the last
-    are full; the last is padded to the full length unless its own is a power of two. An empty table gives no piece.
+    are full; the last is padded to the full length unless its own is a power of two. An empty table gives no piece. With added, the
+    vocabulary file's added tokens are recognised inside texts.
     """
     spark = df.sparkSession
-    tokens = Scratch(spark, "packing").save(token_table(df, path, pattern, id_col, text_col))
+    tokens = Scratch(spark, "packing").save(token_table(df, path, pattern, id_col, text_col, added))
     # one number for each task of the first pass
     totals = sorted((r["part"], r["n"]) for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect())
     before, sums = 0, {}

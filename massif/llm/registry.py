@@ -83,7 +83,7 @@ def op6_quality_rules(spark, sf_dir):
 def op7_packing(spark, sf_dir):
     import public_tokenizers
 
-    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
     return out.drop("ids").withColumnRenamed("id", "doc_id")
 
 

@@ -1,4 +1,4 @@
-"""The pipeline on null and repeated ids, its run() against brute force."""
+"""The pipeline on null and repeated ids, its run() against brute force, and the packing query's added tokens."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from massif.llm import mixing, quality
+from massif.llm import mixing, quality, registry
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -147,8 +147,8 @@ def test_run_against_brute_force(spark, sf_dir, tmp_path, encoder):
     given = spark.read.parquet(f"{sf_dir}/documents.parquet")
     top = given.agg(F.max("doc_id")).first()[0]
     extra = given.where("source IS NOT NULL").orderBy("doc_id").limit(6)
-    # copies of known good texts under null and repeated ids
-    odd = extra.withColumn("text", F.concat(F.reverse("text"), F.lit(" end"))).withColumn("source", F.concat(F.lit("odd"), F.col("doc_id").cast("string")))
+    # copies of known good texts under null and repeated ids, a literal added token among them
+    odd = extra.withColumn("text", F.concat(F.reverse("text"), F.lit(" <|endoftext|> end"))).withColumn("source", F.concat(F.lit("odd"), F.col("doc_id").cast("string")))
     odd = odd.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(None)).otherwise(F.lit(top + 1)).cast(given.schema["doc_id"].dataType))
     given.unionByName(odd).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -160,3 +160,13 @@ def test_run_against_brute_force(spark, sf_dir, tmp_path, encoder):
         by_text.setdefault(hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", r[2] or "").encode()).hexdigest(), r)
     want = Counter((i, (*encoder.encode(t, add_special_tokens=False).ids, 1)) for i, t in mixed(near_kept(list(by_text.values()))))
     assert packed(corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_packing_query_knows_added_tokens(spark, tmp_path, encoder):
+    texts = [(1, "<|endoftext|> it's 123\n\n x"), (2, "a  <|endoftext|>\n b<|endoftext|><|endoftext|>"), (3, "<|endoftext| >"), (4, None), (None, "plain  ")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter((i, len(encoder.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in texts)
+    assert Counter((r.doc_id, r.doc_tokens) for r in registry.op7_packing(spark, str(tmp_path)).collect()) == want
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter((i, (*encoder.encode(t or "", add_special_tokens=False).ids, 1)) for i, t in texts)
+    assert packed(corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()) == want
