@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massif.functions.chemistry import RESIDUES
+from massif.operators.prefix import chains
 
 # ---- predicates on scans and peak arrays ----
 
@@ -98,14 +99,10 @@ def sample_groups(df: DataFrame, keys: list[str], condition: str, replicate: str
 def merged_bins(peaks: DataFrame, mz: str, intensity: str, ppm: float) -> DataFrame:
     """(mz, intensity, n): peaks of all spectra whose m/z follow one another within ppm form one, with the median m/z and the summed intensity (AGG26).
 
-    The chain of gaps runs over m/z bins a hundred tolerances wide; a cluster that crosses a bin's edge is cut there.
+    Peaks are dealt by ranges of m/z and clusters run on from one range to the next.
     """
-    width = F.lit(ppm * 1e-6 * 100)
-    binned = peaks.withColumn("_bin", F.floor(F.log(mz) / width))
-    w = Window.partitionBy("_bin").orderBy(mz)
-    gap = F.coalesce(((F.col(mz) - F.lag(mz).over(w)) / F.col(mz) * 1e6 > ppm).cast("int"), F.lit(0))
-    marked = binned.withColumn("_g", gap).withColumn("_c", F.sum("_g").over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("_bin", "_c").agg(F.median(mz).alias("mz"), F.sum(intensity).alias("intensity"), F.count("*").alias("n")).drop("_bin", "_c")
+    marked = chains(peaks, mz, lambda a, b: b > a * (1 + ppm * 1e-6), "_c")
+    return marked.groupBy("_c").agg(F.median(mz).alias("mz"), F.sum(intensity).alias("intensity"), F.count("*").alias("n")).drop("_c")
 
 
 def extrema(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

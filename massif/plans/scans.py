@@ -116,6 +116,11 @@ def shared_extrema(spark, sf_dir):
     return S.shared_extrema(x, "user_id", "event_id", 40.0, 0.3).withColumn("n_runs", F.col("n_runs").cast("long"))
 
 
+def binned_merge(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("value", (F.col("event_id") % 100).alias("i"))
+    return S.merged_bins(e, "value", "i", 50.0).select(F.round("mz", 6).alias("mz"), "intensity", "n")
+
+
 QUERIES = {
     "scan_filters": (scan_filters, "SELECT event_id, event_id % 3 + 1 AS level, value FROM events WHERE event_id % 3 + 1 IN (1, 2) AND event_id BETWEEN 100 AND 5000 AND value BETWEEN 10 AND 40"),
     "peaks_in_range": (
@@ -202,4 +207,10 @@ x AS (SELECT user_id, event_id FROM w WHERE value > a AND value > b), g AS (SELE
 c AS (SELECT *, sum(new) OVER (ORDER BY event_id) AS c FROM g), n AS (SELECT count(DISTINCT user_id) AS n FROM x)
 SELECT min(event_id) AS first, max(event_id) AS last, count(DISTINCT user_id) AS n_runs FROM c, n GROUP BY c, n HAVING count(DISTINCT user_id) >= 0.3 * n""",
     ),
+    "binned_merge": (
+        binned_merge,
+        """WITH g AS (SELECT value, event_id % 100 AS i, CASE WHEN value > lag(value) OVER (ORDER BY value) * (1 + 50.0::DOUBLE * 1e-6::DOUBLE) THEN 1 ELSE 0 END AS new FROM events),
+c AS (SELECT *, sum(new) OVER (ORDER BY value RANGE UNBOUNDED PRECEDING) AS c FROM g)
+SELECT round(median(value), 6) AS mz, sum(i)::BIGINT AS intensity, count(*) AS n FROM c GROUP BY c""",
+    ),
 }
