@@ -220,10 +220,9 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def shared_extrema(points: DataFrame, run: str, time: str, tolerance: float, share: float = 0.55) -> DataFrame:
     """(first, last, n_runs): groups of extrema whose times follow one another within tolerance and that at least `share` of the runs have.
 
-    Times are few for one analyte, whose points these are.
+    Points are dealt by ranges of time, so no task holds them all.
     """
-    w = Window.orderBy(time)
-    marked = points.withColumn("_g", F.coalesce((F.col(time) - F.lag(time).over(w) > tolerance).cast("int"), F.lit(0))).withColumn("_c", F.sum("_g").over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    marked = chains(points, time, lambda a, b: b - a > tolerance, "_c")
     total = points.agg(F.count_distinct(run).alias("_all"))
     out = marked.groupBy("_c").agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count_distinct(run).alias("n_runs"))
     return out.join(F.broadcast(total)).where(F.col("n_runs") >= share * F.col("_all")).select("first", "last", "n_runs")

@@ -31,9 +31,17 @@ def mbr_calibration(spark, sf_dir):
 
 
 def mbr_anchor_shift(spark, sf_dir):
+    return _anchor_shift(spark, sf_dir, "run = 1 AND sequence % 20 = 0")
+
+
+def mbr_anchor_shift_whole(spark, sf_dir):
+    return _anchor_shift(spark, sf_dir, "run = 1")
+
+
+def _anchor_shift(spark, sf_dir, chosen):
     p = _peaks(spark, sf_dir)
     pairs = L.calibration_pairs(p, "run", "sequence", "rt", "intensity", 1, 2).select("donor_rt", "acceptor_rt").distinct()
-    t = p.where("run = 1 AND sequence % 20 = 0").select("peak", "rt").dropDuplicates(["peak"])
+    t = p.where(chosen).select("peak", "rt").dropDuplicates(["peak"])
     out = L.anchor_shift(t.groupBy("peak").agg(F.max("rt").alias("rt")), "peak", "rt", pairs)
     return out.select("peak", "n_anchors", F.round("shift", 4).alias("shift"), F.round("spread", 4).alias("spread"))
 
@@ -69,7 +77,7 @@ def greedy_envelopes(spark, sf_dir):
 
 
 def modified_forms(spark, sf_dir):
-    return L.modified_forms(_sequences(spark, sf_dir).where("p_partkey < 300"), "seq", {"M": "Oxidation", "S": "Phospho"}, 2, 20).select("p_partkey", "form", "n_mods")
+    return L.modified_forms(_sequences(spark, sf_dir), "seq", {"M": "Oxidation", "S": "Phospho"}).select("p_partkey", "form", "n_mods")
 
 
 PEAKS_SQL = """p AS (SELECT l_suppkey % 10 AS run, l_partkey AS sequence, l_quantity + l_partkey % 40 AS rt, l_extendedprice AS intensity, l_orderkey * 10 + l_linenumber AS peak, l_discount AS q, l_returnflag AS flag FROM lineitem)"""
@@ -78,6 +86,7 @@ b AS (SELECT run, sequence, arg_max(rt, (intensity, -rt)) AS rt FROM p WHERE run
 c AS (SELECT d.sequence, d.rt AS donor_rt, a.rt AS acceptor_rt FROM b d JOIN b a ON d.sequence = a.sequence AND d.run = 1 AND a.run = 2)"""
 
 QUERIES = {
+    "mbr_anchor_shift_whole": (mbr_anchor_shift_whole, None),
     "psm_peptide_join": (
         psm_peptide_join,
         f"""WITH {PEAKS_SQL}, m AS (SELECT sequence, count(*) AS n, min(peak) AS f FROM p WHERE q < 0.02 GROUP BY 1)

@@ -47,7 +47,7 @@ def isotope_distribution(spark, sf_dir):
 
 
 def deconvolute(spark, sf_dir):
-    f = G.isotope_rows(_formulas(spark, sf_dir).where("p_partkey < 200"), "p_partkey", "formula", 1e-3)
+    f = G.isotope_rows(_formulas(spark, sf_dir), "p_partkey", "formula", 1e-3)
     f = f.withColumn("z", F.col("p_partkey") % 3 + 1).withColumn("mz", F.col("mass") / F.col("z") + G.PROTON)
     s = f.groupBy("p_partkey").agg(F.array_sort(F.collect_list(F.struct("mz", "abundance"))).alias("p"))
     return G.deconvolute(s.select("p_partkey", F.col("p.mz").alias("mz"), F.col("p.abundance").alias("i")), "p_partkey", "mz", "i", 20.0, 3)

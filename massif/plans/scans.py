@@ -98,8 +98,16 @@ def fragment_match(spark, sf_dir):
     return S.closest_match(o, "o_orderkey", "o_totalprice", li, "l_orderkey", "price", 50.0).select("o_orderkey", "l_orderkey")
 
 
+def truncation_products_whole(spark, sf_dir):
+    return _truncations(_sequences(spark, sf_dir))
+
+
 def truncation_products(spark, sf_dir):
-    return S.truncations(_sequences(spark, sf_dir).where("p_partkey < 300"), "seq", 4, 5).select("p_partkey", "end", F.col("removed").cast("long"), "product")
+    return _truncations(_sequences(spark, sf_dir).where("p_partkey < 300"))
+
+
+def _truncations(s):
+    return S.truncations(s, "seq", 4, 5).select("p_partkey", "end", F.col("removed").cast("long"), "product")
 
 
 def parameter_grid(spark, sf_dir):
@@ -112,7 +120,15 @@ def multiset_equality(spark, sf_dir):
 
 
 def shared_extrema(spark, sf_dir):
-    x = S.extrema(_scans(spark, sf_dir).where("user_id < 12").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value").where("kind = 'max'")
+    return _shared(_scans(spark, sf_dir).where("user_id < 12"))
+
+
+def shared_extrema_whole(spark, sf_dir):
+    return _shared(_scans(spark, sf_dir))
+
+
+def _shared(s):
+    x = S.extrema(s.select("user_id", "event_id", "value"), ["user_id"], "event_id", "value").where("kind = 'max'")
     return S.shared_extrema(x, "user_id", "event_id", 40.0, 0.3).withColumn("n_runs", F.col("n_runs").cast("long"))
 
 
@@ -121,7 +137,10 @@ def binned_merge(spark, sf_dir):
     return S.merged_bins(e, "value", "i", 50.0).select(F.round("mz", 6).alias("mz"), "intensity", "n")
 
 
+#: Those named _whole take every row; their SQL statements keep the subsets of the queries that they follow.
 QUERIES = {
+    "truncation_products_whole": (truncation_products_whole, None),
+    "shared_extrema_whole": (shared_extrema_whole, None),
     "scan_filters": (scan_filters, "SELECT event_id, event_id % 3 + 1 AS level, value FROM events WHERE event_id % 3 + 1 IN (1, 2) AND event_id BETWEEN 100 AND 5000 AND value BETWEEN 10 AND 40"),
     "peaks_in_range": (
         peaks_in_range,

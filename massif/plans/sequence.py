@@ -23,7 +23,15 @@ def _digest(missed):
 
 
 def digest_semi(spark, sf_dir):
-    out = S.digest_semi(_sequences(spark, sf_dir).where("p_partkey < 200"), "seq", "KR", "P", 0, 3)
+    return _semi(_sequences(spark, sf_dir).where("p_partkey < 200"))
+
+
+def digest_semi_whole(spark, sf_dir):
+    return _semi(_sequences(spark, sf_dir))
+
+
+def _semi(s):
+    out = S.digest_semi(s, "seq", "KR", "P", 0, 3)
     return out.select("p_partkey", F.col("start").cast("long"), F.col("end").cast("long"), "peptide")
 
 
@@ -36,7 +44,15 @@ def decoy_slide(spark, sf_dir):
 
 
 def fragment_masses(spark, sf_dir):
-    out = S.fragments(_sequences(spark, sf_dir).where("p_partkey < 100"), "seq", ("b",), ("y",))
+    return _fragments(_sequences(spark, sf_dir).where("p_partkey < 100"))
+
+
+def fragment_masses_whole(spark, sf_dir):
+    return _fragments(_sequences(spark, sf_dir))
+
+
+def _fragments(s):
+    out = S.fragments(s, "seq", ("b",), ("y",))
     return out.select("p_partkey", "ion", F.col("number").cast("long"), F.round("mass", 4).alias("mass"))
 
 
@@ -134,6 +150,8 @@ SELECT p_partkey, st AS start, en AS "end", missed, substr(seq, st, en - st + 1)
 
 
 QUERIES = {
+    "digest_semi_whole": (digest_semi_whole, None),
+    "fragment_masses_whole": (fragment_masses_whole, None),
     "digest_full": (_digest(0), digest_sql(0)),
     "digest_missed": (_digest(2), digest_sql(2)),
     "digest_semi": (

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from statistics import median
 
 from pyspark.sql import functions as F
 
 from massif.operators import scans
+from massif.plans import registry, sequence
 
 
 def chained(values, apart):
@@ -31,3 +33,35 @@ def test_merged_bins_join_across_edges(spark):
     out = scans.merged_bins(spark.createDataFrame(peaks, "mz double, i long").repartition(5), "mz", "i", 10.0)
     assert sorted((r.mz, r.intensity, r.n) for r in out.collect()) == want and max(n for *_, n in want) >= 400
     assert scans.merged_bins(spark.createDataFrame([], "mz double, i long"), "mz", "i", 10.0).count() == 0
+
+
+def test_shared_extrema_by_ranges(spark):
+    rng = random.Random(2)
+    points = [(rng.randrange(6), t) for t in rng.sample(range(4000), 300)]
+    groups = chained([(t, r) for r, t in points], lambda a, b: b - a > 20)
+    want = sorted((c[0][0], c[-1][0], len({r for _, r in c})) for c in groups if len({r for _, r in c}) >= 0.5 * 6)
+    df = spark.createDataFrame(points, "run long, time long").repartition(5)
+    assert sorted((r.first, r.last, r.n_runs) for r in map(lambda x: type("R", (), x.asDict()), scans.shared_extrema(df, "run", "time", 20, 0.5).collect())) == want
+    assert len(want) > 1
+
+
+def test_queries_take_whole_tables(spark, sf_dir, tmp_path):
+    # part keys beyond every subset, on a few rows
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").orderBy("p_partkey").limit(8).withColumn("p_partkey", (F.col("p_partkey") + 1000).cast("long"))
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    keys = {r.p_partkey for r in part.collect()}
+    sequences = {r.p_partkey: r.seq for r in sequence._sequences(spark, str(tmp_path)).collect()}
+    run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    cuts = [(k, e, i, s[i:] if e == "N" else s[: max(len(s) - i, 0)]) for k, s in sequences.items() for e in "NC" for i in range(1, 5)]
+    assert sorted(tuple(r) for r in run("truncation_products_whole")) == sorted(c for c in cuts if len(c[3]) >= 5)
+    for name in ("digest_semi_whole", "fragment_masses_whole", "deconvolute"):
+        assert {r.p_partkey for r in run(name)} == keys, name
+    n = {k: sum(c in "MS" for c in s) for k, s in sequences.items()}
+    forms = Counter(r.p_partkey for r in run("modified_forms"))
+    assert forms == {k: min(1024, 1 + m + m * (m - 1) // 2) for k, m in n.items()}
+
+
+def test_anchor_shift_takes_all_targets(spark, sf_dir):
+    run = lambda name: {r.peak: tuple(r) for r in registry.queries()[name](spark, sf_dir).collect()}
+    whole, part = run("mbr_anchor_shift_whole"), run("mbr_anchor_shift")
+    assert all(whole[k] == v for k, v in part.items()) and len(whole) > len(part)
