@@ -24,7 +24,7 @@ def line_form(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " "))
 
 
-def probe_keys(edits: int) -> Column:
+def probe_keys(edits: int, least: int = MIN_CHARS) -> Column:
     """Keys of a line (column `line`, length `chars`): its own segments', and those of shorter or as long lines' that it may contain."""
     k = edits + 1
     base, extra = f"(l div {k})", f"(l % {k})"
@@ -35,15 +35,15 @@ def probe_keys(edits: int) -> Column:
     high = f"least(chars - {size} + 1, {start} + i, {start} + {gap} + ({edits} - i))"
     places = f"transform(filter(sequence(cast({low} as int), cast(greatest({low}, {high}) as int)), p -> p <= {high}), p -> xxhash64(l, i, substring(line, cast(p as int), cast({size} as int))))"
     segments = f"flatten(transform(sequence(0, {edits}), i -> {places}))"
-    return F.expr(f"array_distinct(flatten(transform(sequence(greatest(chars - {edits}, {MIN_CHARS} - {edits}), chars), l -> {segments})))")
+    return F.expr(f"array_distinct(flatten(transform(sequence(greatest(chars - {edits}, {least} - {edits}), chars), l -> {segments})))")
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, short: int | None = None) -> DataFrame:
     """(id, line_no, class_id, class_line, kept): a row for each line with a word, in its document's numbering from 0.
 
     class_id and class_line name the first line, by id and number, of the lines linked with it, over any number of steps, by at most `edits`
     edits of their forms (white space runs count as one space); kept is true for that one. Lines shorter than MIN_CHARS link
-    only when equal. Null and empty texts have no lines. Ids that are null come first. Rows that share an id count as one document. An empty
+    only when equal or, where `short` is given, at that many characters and more, by one edit. Null and empty texts have no lines. Ids that are null come first. Rows that share an id count as one document. An empty
     table gives an empty table. Line forms are told apart by a 64-bit hash until they are compared.
     """
     spark = df.sparkSession
@@ -53,10 +53,16 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
     distinct = scratch.save(lines.groupBy("node").agg(F.min(F.struct("id", "line_no")).alias("head"), F.first("line").alias("line")))
     long_ = distinct.select("node", "line", F.char_length("line").alias("chars")).where(F.col("chars") >= MIN_CHARS)
     keys = long_.select("node", F.explode(probe_keys(edits)).alias("key"))
+    near = lambda x, y: F.levenshtein(F.col(x), F.col(y), edits) >= 0
+    if short:
+        # one edit may also part a line of MIN_CHARS from a shorter one
+        brief = distinct.select("node", "line", F.char_length("line").alias("chars")).where(F.col("chars").between(short, MIN_CHARS))
+        keys = keys.unionAll(brief.select("node", F.explode(probe_keys(1, short)).alias("key")))
+        shorter = lambda x, y: F.least(F.char_length(x), F.char_length(y))
+        near = lambda x, y: F.when(shorter(x, y) >= MIN_CHARS, F.levenshtein(F.col(x), F.col(y), edits) >= 0).otherwise(F.levenshtein(F.col(x), F.col(y), 1) >= 0)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = scratch.save(keys.join(shared, "key", "left_semi"))
     texts = scratch.save(met.join(distinct.select("node", "line"), "node").select("key", F.col("line").alias("node")))
-    near = lambda x, y: F.levenshtein(F.col(x), F.col(y), edits) >= 0
     linked = scratch.save(linked_components(texts, near, scratch))
     named = linked.select(F.xxhash64("node").alias("node"), F.xxhash64("label").alias("label")).join(distinct.select("node", "head"), "node")
     heads = named.groupBy("label").agg(F.min("head").alias("first"))
