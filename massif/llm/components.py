@@ -5,38 +5,59 @@ Tables only: no bucket, component or link set is gathered in one task or in the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massif.operators.graph import components
 from massif.runtime import Scratch
 
+#: Buckets with more nodes of different components than this are split by further keys before their nodes meet.
+FULL = 64
+
+Verify = Callable[[DataFrame], DataFrame]
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The rows of keys (key, node, ...) whose key two rows or more have. Counts combine before the shuffle, and the join's large keys can be split."""
+    twice = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return keys.join(twice, "key", "left_semi")
+
+
+def open_buckets(keys: DataFrame) -> DataFrame:
+    """keys (key, node, label) of buckets that hold different labels, with the bucket's least label `lo` and its number of rows `n`."""
+    seen = keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    return keys.join(seen.select("key", "lo", "n"), "key")
+
 
-def linked_components(keys: DataFrame, near, scratch: Scratch, rounds: int = 2) -> DataFrame:
-    """(node, label) of the nodes of keys (key, node[, payload]) that have links: two nodes link if they share a key and near(x, y).
+def linked_components(keys: DataFrame, verify: Verify, scratch: Scratch, refine: Verify | None = None, rounds: int = 2) -> DataFrame:
+    """(node, label) of the nodes of keys (key, node) that have links; label is the smallest node that a node reaches.
 
-    near takes the column names of two nodes' payloads. First each node is compared with one representative of each of its buckets,
-    which gives a linear number of links and joins up dense groups. Then only nodes of one bucket that are still in different
-    components are compared with one another, so a large group of near copies makes no pairs; every link between
-    different components is found, so the components are exact.
+    verify takes candidate pairs (a, b), repeats included, and returns the distinct ones that are links. First each node is compared with one
+    representative of each of its buckets, which gives a linear number of pairs and joins up dense groups. Then only nodes of one bucket
+    that are still in different components are compared with one another, so a large group of near copies makes no pairs. Where
+    such a bucket is full, refine splits it: it takes (key, node, label) and returns rows with finer keys, of which two linked nodes of
+    one bucket must still share one. Every link between different components is found, so the components are exact.
     """
     labels = None
-    shared = keys
     for k in range(rounds):
         # one representative a bucket: the least by a hash that differs from round to round
         pick = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node"))).getField("node")
-        rep = shared.groupBy("key").agg(pick.alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep")
-        pairs = shared.join(rep, "key").where((F.col("node") != F.col("rep")) & near("node", "rep")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
-        found = pairs.distinct()
+        rep = keys.groupBy("key").agg(pick.alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep")
+        found = verify(keys.join(rep, "key").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
         if labels is not None:
             found = found.unionAll(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
         labels = scratch.save(components(found, scratch))
     named = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    left = scratch.save(open_buckets(named))
+    ready, full = left, left.where(F.col("n") > FULL)
+    if refine and not full.isEmpty():
+        ready = left.where(F.col("n") <= FULL).unionByName(scratch.save(open_buckets(refine(full.select("key", "node", "label")).distinct())))
     # of two nodes of different components at least one is not of the bucket's least label, so a bucket of one large component and few
     # others costs its size times the few
-    whole = Window.partitionBy("key")
-    open_ = named.repartition("key").select("*", F.min("label").over(whole).alias("lo"), F.max("label").over(whole).alias("hi")).where("lo <> hi")
-    x = open_.where("label <> lo").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    y = open_.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & near("a", "b")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    x = ready.where("label <> lo").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
+    y = ready.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), "lo")
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("lo")) | (F.col("la") < F.col("lb"))))
+    rest = verify(pairs.select("a", "b"))
     return components(rest.unionAll(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))), scratch)

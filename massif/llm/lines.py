@@ -2,72 +2,170 @@
 
 Lines within `edits` edits of one another have, among edits + 1 segments of the shorter, one that occurs unchanged in the
 longer, shifted by few places. Each distinct line is indexed by its segments and probes the substrings that the lengths and the
-positions allow (the multi-match-aware selection). Keys that no two lines share are dropped; the others' lines are
-verified by the edit distance, computed in a band of the threshold's width. Linked lines form classes; the first line of a class stays.
+positions allow (the multi-match-aware selection), one segment number at a time, so that a third of the keys lies on disk at once. Keys that
+no two lines share are dropped. A key's rows hold a line's number alone; texts are joined to candidate pairs only, which are
+verified by a banded bit-parallel edit distance. Linked lines form classes; the first line of a class stays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from massif.llm.components import linked_components
+from massif.llm.components import linked_components, shared_keys
 from massif.runtime import Scratch
 
-EDITS = 1
-#: Shorter lines are compared for equality alone: an edit changes too much of them.
-MIN_CHARS = 24
+EDITS = 2
+#: The longest common beginning or end that is cut off before the distance, less one; what is longer is compared by the distance as well.
+_TRIM_BITS = 20
 
 
 def line_form(line: Column) -> Column:
     """White space at the ends goes, each run of it inside becomes one space."""
-    return F.trim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " "))
+    return F.trim(F.regexp_replace(line, "\\x20[\\x20\\x09-\\x0D]+|[\\x09-\\x0D][\\x20\\x09-\\x0D]*", " "))
+
+
+def allowed(chars: str, edits: int, chars_per_edit: int) -> str:
+    """Edits between two lines of which the shorter has so many characters, in SQL."""
+    return f"least({edits}, {chars} div {chars_per_edit})" if chars_per_edit else str(edits)
+
+
+def probes(part: int, edits: int, chars_per_edit: int = 0) -> Column:
+    """(key, p, size) of a line (column `line`, length `chars`) for the segment number `part`: its own segment, and those of shorter or as long lines that it may contain.
+
+    p and size tell the place of the segment in the line. A line that is too short for so many segments has empty ones, which all
+    lines of nearly its length share.
+    """
+    lengths = f"transform(sequence(greatest(chars - {edits}, 0), chars), l -> struct(l, {allowed('l', edits, chars_per_edit)} + 1 AS k))"
+    lengths = f"filter({lengths}, x -> x.k > greatest(1, {part}, chars - x.l))"
+    plain = "(x.k - x.l % x.k)"  # segments of the smaller size come first
+    size = f"(x.l div x.k + if({part} >= {plain}, 1, 0))"
+    start = f"({part} * (x.l div x.k) + greatest(0, {part} - {plain}) + 1)"
+    gap, right = "(chars - x.l)", f"(x.k - 1 - {part})"
+    low = f"greatest(1, {start} - {part}, {start} + {gap} - {right})"
+    high = f"least(chars - {size} + 1, {start} + {part}, {start} + {gap} + {right})"
+    key = f"xxhash64(x.l, {part}, substring(line, p, cast({size} as int)))"
+    places = f"filter(sequence(cast({low} as int), cast(greatest({low}, {high}) as int)), p -> p <= {high})"
+    return F.expr(f"array_distinct(flatten(transform({lengths}, x -> transform({places}, p -> struct({key} AS key, p, cast({size} as int) AS size)))))")
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), value being worked out once."""
+    return F.transform(F.array(value), then)[0]
+
+
+def edit_distance(x: Column, y: Column, edits: int) -> Column:
+    """The edit distance of two strings where that is at most `edits`, some larger number otherwise.
+
+    Common beginnings and ends go first. The rest is walked column by column over the 2 * edits + 1 diagonals around the main one, whose
+    vertical differences are the bits of two numbers; the distance is read along the diagonal on which both texts end. It is one
+    expression, so that a filter by it, wherever the optimiser puts that, works it out once.
+    """
+    band, whole = 2 * edits + 1, (1 << 2 * edits + 1) - 1
+    part = lambda c, at, n: F.substr(c, (4 * at + 1).cast("int"), (4 * n).cast("int"))
+
+    def common(t: Column, most: Column, at: Callable) -> Column:
+        """How many characters agree, found from the largest power of two on; at gives the places in both texts of n characters after k."""
+        def grown(k: Column, bit: Column) -> Column:
+            n = F.call_function("shiftright", F.lit(1 << _TRIM_BITS), bit)
+            i, j = at(k, n)
+            return k + F.when((k + n <= most) & (part(t["u"], i, n) == part(t["v"], j, n)), n).otherwise(0)
 
+        return F.aggregate(F.sequence(F.lit(0), F.lit(_TRIM_BITS)), F.lit(0), grown)
 
-def probe_keys(edits: int, least: int = MIN_CHARS) -> Column:
-    """Keys of a line (column `line`, length `chars`): its own segments', and those of shorter or as long lines' that it may contain."""
-    k = edits + 1
-    base, extra = f"(l div {k})", f"(l % {k})"
-    size = f"({base} + if(i >= {k} - {extra}, 1, 0))"
-    start = f"(i * {base} + greatest(0, i - ({k} - {extra})) + 1)"
-    gap = "(chars - l)"
-    low = f"greatest(1, {start} - i, {start} + {gap} - ({edits} - i))"
-    high = f"least(chars - {size} + 1, {start} + i, {start} + {gap} + ({edits} - i))"
-    places = f"transform(filter(sequence(cast({low} as int), cast(greatest({low}, {high}) as int)), p -> p <= {high}), p -> xxhash64(l, i, substring(line, cast(p as int), cast({size} as int))))"
-    segments = f"flatten(transform(sequence(0, {edits}), i -> {places}))"
-    return F.expr(f"array_distinct(flatten(transform(sequence(greatest(chars - {edits}, {least} - {edits}), chars), l -> {segments})))")
+    def trimmed(t: Column) -> Column:
+        least = F.least(t["m"], t["n"])
 
+        def at_end(head: Column) -> Column:
+            tail = common(t, least - head, lambda k, n: (t["m"] - k - n, t["n"] - k - n))
+            return _let(tail, lambda tail: _let(rest(t, head, tail), walked))
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, short: int | None = None) -> DataFrame:
+        return _let(common(t, least, lambda k, n: (k, k)), at_end)
+
+    def rest(t: Column, head: Column, tail: Column) -> Column:
+        m, n = t["m"] - head - tail, t["n"] - head - tail
+        # rows above the first match nothing
+        above = F.lit(bytearray(b"\xff" * 4 * edits))
+        return F.struct(F.concat(above, part(t["u"], head, m)).alias("u"), part(t["v"], head, n).alias("v"), m.alias("m"), n.alias("n"))
+
+    def walked(t: Column) -> Column:
+        m, n = t["m"], t["n"]
+
+        def column(state: Column, j: Column) -> Column:
+            vp, vn = state["vp"], state["vn"]
+
+            def met(letter: Column) -> Column:
+                bits = [F.when(part(t["u"], j + (k - 1), F.lit(1)) == letter, 1 << k).otherwise(0) for k in range(band)]
+                return _let(reduce(lambda a, b: a + b, bits), after)
+
+            def after(met: Column) -> Column:
+                d0 = (met.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(met).bitwiseOR(vn).bitwiseAND(F.lit(whole))
+                return _let(d0, moved)
+
+            def moved(d0: Column) -> Column:
+                hp = vn.bitwiseOR(F.lit(whole).bitwiseXOR(d0.bitwiseOR(vp)))
+                hn, down = d0.bitwiseAND(vp), F.shiftright(d0, 1)
+                new_vp = hn.bitwiseOR(F.lit(whole).bitwiseXOR(down.bitwiseOR(hp)))
+                worse = F.when(d0.bitwiseAND(F.call_function("shiftleft", F.lit(1), m - n + edits)) == 0, 1).otherwise(0)
+                return F.struct(new_vp.alias("vp"), down.bitwiseAND(hp).alias("vn"), (state["d"] + worse).alias("d"))
+
+            return F.when(state["d"] > edits, state).otherwise(_let(part(t["v"], j - 1, F.lit(1)), met))
+
+        begin = F.struct(F.lit(whole - ((1 << edits) - 1)).alias("vp"), F.lit(0).alias("vn"), F.greatest(m - n, F.lit(0)).alias("d"))
+        return F.when(n == 0, m).otherwise(F.aggregate(F.sequence(F.lit(1), n), begin, column)["d"])
+
+    texts = F.struct(F.encode(x, "UTF-32").alias("u"), F.encode(y, "UTF-32").alias("v"), F.char_length(x).alias("m"), F.char_length(y).alias("n"))
+    return F.when(F.abs(F.char_length(x) - F.char_length(y)) > edits, edits + 1).otherwise(_let(texts, trimmed))
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, chars_per_edit: int = 0) -> DataFrame:
     """(id, line_no, class_id, class_line, kept): a row for each line with a word, in its document's numbering from 0.
 
     class_id and class_line name the first line, by id and number, of the lines linked with it, over any number of steps, by at most `edits`
-    edits of their forms (white space runs count as one space); kept is true for that one. Lines shorter than MIN_CHARS link
-    only when equal or, where `short` is given, at that many characters and more, by one edit. Null and empty texts have no lines. Ids that are null come first. Rows that share an id count as one document. An empty
-    table gives an empty table. Line forms are told apart by a 64-bit hash until they are compared.
+    edits of their forms (white space runs count as one space); kept is true for that one. Where chars_per_edit is not 0, the shorter line of a
+    link must have that many characters for each edit, so that short lines link by fewer edits or only when equal. Null and empty texts
+    have no lines. Ids that are null come first. Rows that share an id count as one document. An empty table gives an empty table. Lines
+    are equal if their SHA-256 is.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "lines")
     split = df.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")).alias("line_no", "line"))
-    lines = split.select("id", "line_no", line_form(F.col("line")).alias("line")).where("line <> ''").withColumn("node", F.xxhash64("line"))
-    distinct = scratch.save(lines.groupBy("node").agg(F.min(F.struct("id", "line_no")).alias("head"), F.first("line").alias("line")))
-    long_ = distinct.select("node", "line", F.char_length("line").alias("chars")).where(F.col("chars") >= MIN_CHARS)
-    keys = long_.select("node", F.explode(probe_keys(edits)).alias("key"))
-    near = lambda x, y: F.levenshtein(F.col(x), F.col(y), edits) >= 0
-    if short:
-        # one edit may also part a line of MIN_CHARS from a shorter one
-        brief = distinct.select("node", "line", F.char_length("line").alias("chars")).where(F.col("chars").between(short, MIN_CHARS))
-        keys = keys.unionAll(brief.select("node", F.explode(probe_keys(1, short)).alias("key")))
-        shorter = lambda x, y: F.least(F.char_length(x), F.char_length(y))
-        near = lambda x, y: F.when(shorter(x, y) >= MIN_CHARS, F.levenshtein(F.col(x), F.col(y), edits) >= 0).otherwise(F.levenshtein(F.col(x), F.col(y), 1) >= 0)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met = scratch.save(keys.join(shared, "key", "left_semi"))
-    texts = scratch.save(met.join(distinct.select("node", "line"), "node").select("key", F.col("line").alias("node")))
-    linked = scratch.save(linked_components(texts, near, scratch))
-    named = linked.select(F.xxhash64("node").alias("node"), F.xxhash64("label").alias("label")).join(distinct.select("node", "head"), "node")
+    lines = split.select("id", "line_no", line_form(F.col("line")).alias("line")).where("line <> ''").withColumn("sha", F.unhex(F.sha2("line", 256)))
+    distinct = lines.groupBy("sha").agg(F.min(F.struct("id", "line_no")).alias("head"), F.first("line").alias("line"))
+    distinct = scratch.save(distinct.withColumn("node", F.monotonically_increasing_id()))
+    sized = distinct.select("node", "line", F.char_length("line").alias("chars"))
+    met = []
+    for part in range(edits + 1):
+        keys = scratch.save(sized.select("node", F.explode(F.array_distinct(probes(part, edits, chars_per_edit)["key"])).alias("key")))
+        met.append(scratch.save(shared_keys(keys)))
+        scratch.drop(keys)
+    keys = reduce(DataFrame.unionAll, met)
+    texts = scratch.save(distinct.select("node", "line").join(keys.select("node").distinct(), "node", "left_semi"))
+    limit = F.expr(allowed("least(char_length(x), char_length(y))", edits, chars_per_edit))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        once = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        x, y = (texts.select(F.col("node").alias(n), F.col("line").alias(t)) for n, t in (("a", "x"), ("b", "y")))
+        return once.join(x, "a").join(y, "b").where(edit_distance(F.col("x"), F.col("y"), edits) <= limit).select("a", "b")
+
+    def refine(full: DataFrame) -> DataFrame:
+        """What is left of two lines within some edits of one another without a segment that both have is so as well, and shares a segment again."""
+        places = texts.join(full.select("node").distinct(), "node", "left_semi").withColumn("chars", F.char_length("line"))
+        found = [places.select("node", "line", F.explode(probes(part, edits, chars_per_edit)).alias("s")) for part in range(edits + 1)]
+        rest = reduce(DataFrame.unionAll, found).select("node", F.col("s.key").alias("key"), F.expr("concat(substring(line, 1, s.p - 1), substring(line, s.p + s.size))").alias("line"))
+        rest = full.join(rest, ["key", "node"]).withColumn("chars", F.char_length("line"))
+        again = F.concat(*[F.array_distinct(probes(part, edits)["key"]) for part in range(edits + 1)])
+        return rest.select(F.col("key").alias("whole"), "node", "label", F.explode(again).alias("key")).select(F.xxhash64("whole", "key").alias("key"), "node", "label")
+
+    linked = scratch.save(linked_components(keys, verify, scratch, refine))
+    named = linked.join(distinct.select("node", "head"), "node")
     heads = named.groupBy("label").agg(F.min("head").alias("first"))
     first = named.join(heads, "label").select("node", "first")
-    classes = distinct.select("node", "head").join(first, "node", "left").select("node", F.coalesce("first", "head").alias("first"))
-    out = lines.select("id", "line_no", "node").join(classes, "node")
+    # written, so that the join below is one of two plain exchanges, whose large partitions (a line that many documents have) Spark can split
+    classes = scratch.save(distinct.select("sha", "node", "head").join(first, "node", "left").select("sha", F.coalesce("first", "head").alias("first")))
+    out = lines.select("id", "line_no", "sha").join(classes, "sha")
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no"))
     return out.select("id", "line_no", F.col("first.id").alias("class_id"), F.col("first.line_no").alias("class_line"), same.alias("kept"))

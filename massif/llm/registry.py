@@ -63,7 +63,7 @@ def op2_hmm_scores(spark, sf_dir):
 
 
 def op3_line_dedup(spark, sf_dir):
-    return line_dedup(table(spark, sf_dir, "documents"), edits=2, short=12).withColumnRenamed("id", "doc_id")
+    return line_dedup(table(spark, sf_dir, "documents"), edits=2, chars_per_edit=12).withColumnRenamed("id", "doc_id")
 
 
 def op4_repeated_passages(spark, sf_dir):

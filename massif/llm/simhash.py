@@ -4,7 +4,9 @@ The (23, 12) Golay code is perfect: every 23-bit word lies within three bits of
 is cut into three segments (22, 21 and 21 bits, filled with zeros). Of four differing bits at most two fall into the two
 least affected segments together, so two linked fingerprints agree there up to a word in the middle, one bit away from each. A
 fingerprint's keys for a pair of segments are therefore the two codeword indices of the pair itself and of each of its one-bit neighbours,
-about ten keys of 24 bits in place of hundreds. Fingerprints that share a key are compared in full.
+about ten keys of 24 bits in place of hundreds. Fingerprints that share a key are compared in full. There are 3 * 2**24 keys, so buckets
+grow with the corpus: one that is full is split by the third segment, whose words of two linked fingerprints differ in four bits at
+most and so have a word within two bits of each; its codeword is a further key of twelve bits.
 """
 
 from __future__ import annotations
@@ -72,6 +74,33 @@ def golay_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def third_codewords(fingerprints: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the row, codeword index), without repeats: of all words within two bits of the segment that the row's key leaves out."""
+    decoder = _decoder()
+    rows, found = [], []
+    for pair, k in enumerate((2, 1, 0)):
+        own = np.flatnonzero(keys >> 24 == pair)
+        at, w = SEGMENTS[k]
+        words = ((fingerprints[own] >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64)
+        flips = np.array([0, *(1 << i | 1 << j for i in range(w) for j in range(i + 1))], dtype=np.int64)
+        made = golay_index(words ^ flips[:, None], decoder)
+        made.sort(axis=0)
+        fresh = np.ones(made.shape, dtype=bool)
+        fresh[1:] = made[1:] != made[:-1]
+        rows.append(np.broadcast_to(own, made.shape)[fresh])
+        found.append(made[fresh])
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 4096):
+            part = b.slice(at, 4096)
+            keys, nodes = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            rows, codewords = third_codewords(nodes.view(np.uint64), keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[rows] << 12 | codewords), pa.array(nodes[rows]), part.column(2).take(pa.array(rows))], ["key", "node", "label"])
+
+
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned 64-bit SimHash of the word shingles, A-Z lower-cased; 0 if there is no word."""
     words = (text or "").encode().lower().split()
@@ -104,7 +133,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = b.column(0).to_numpy(zero_copy_only=False)
         rows, keys = golay_keys(fps.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(fps[rows])], ["key", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[rows])], ["key", "node"])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
@@ -131,13 +160,16 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     docs = scratch.save(fingerprints(df, id_col, text_col, key_col))
     head = F.struct(F.col("id").isNull().alias("none"), "id", *(["key"] if key_col else []))
     nodes = scratch.save(docs.groupBy("fp").agg(F.min(head).alias("head")))
-    keys = scratch.save(nodes.select("fp").mapInArrow(_keys, "key int, node long"))
-    labels = scratch.save(linked_components(keys, lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MAX_BITS, scratch))
+    keys = scratch.save(nodes.select("fp").mapInArrow(_keys, "key long, node long"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
+    split = lambda full: full.mapInArrow(_split, "key long, node long, label long")
+    labels = scratch.save(linked_components(keys, lambda pairs: pairs.where(near).distinct(), scratch, split))
     scratch.drop(keys)
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp")
     heads = named.groupBy("label").agg(F.min("head").alias("first"))
     # only fingerprints of components of two or more need a look-up of another one's document
     lookup = named.join(heads, "label").select("fp", "first")
-    own = nodes.join(lookup, "fp", "left").select("fp", F.coalesce("first", "head").alias("first"))
+    # written, so that the join below is one of two plain exchanges, whose large partitions (a text that many rows have) Spark can split
+    own = scratch.save(nodes.join(lookup, "fp", "left").select("fp", F.coalesce("first", "head").alias("first")))
     kept = ["key", (F.col("key") == F.col("first.key")).alias("kept")] if key_col else []
     return docs.join(own, "fp").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.id").alias("component_id"), *kept)

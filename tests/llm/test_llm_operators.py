@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from massif.llm import exact, hmm, licenses, lines, mixing, packing, phrases, quality, rules, simhash
+from massif.llm import components, exact, hmm, licenses, lines, mixing, packing, phrases, quality, rules, simhash
 from massif.llm.words import pieces
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score int, kept string, id int, _norm int, block int, node int"
@@ -122,9 +122,18 @@ def test_golay_decoding_and_keys():
         at, k = simhash.golay_keys(x)
         keys.append([set(k[at == i].tolist()) for i in range(500)])
     assert all(a & b for a, b in zip(*keys))
-
-
-def test_near_dedup(table, docs, empty):
+    # a full bucket's split keeps every pair of at most four bits together, whatever the pair of segments
+    for pair in range(3):
+        split = []
+        for x in (f, g):
+            at, k = simhash.third_codewords(x, np.full(500, pair << 24))
+            split.append([set(k[at == i].tolist()) for i in range(500)])
+        assert all(a & b for a, b in zip(*split))
+
+
+@pytest.mark.parametrize("full", [64, 1])
+def test_near_dedup(table, docs, empty, monkeypatch, full):
+    monkeypatch.setattr(components, "FULL", full)
     out = simhash.near_dedup(table).collect()
     rows = [(i, brute_fingerprint(t)) for i, t in docs]
     assert Counter((r.id, r.fingerprint) for r in out) == Counter((i, f"{f:016x}") for i, f in rows)
@@ -162,50 +171,92 @@ def test_remove_repeats(table, docs, empty):
     assert any(r.n_removed for r in out) and phrases.remove_repeats(empty).count() == 0
 
 
-def test_line_dedup(table, docs, empty):
-    out = lines.line_dedup(table).collect()
-    form = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ")
-    found = {(i, k): form(x) for i, t in docs for k, x in enumerate((t or "").split("\n")) if form(x)}
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(prev + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
 
-    def near(a, b):
-        if a == b:
-            return True
-        if min(len(a), len(b)) < lines.MIN_CHARS or abs(len(a) - len(b)) > 1:
-            return False
-        k = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
-        return a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
 
+def line_classes(found, edits):
+    """{(id, line_no): (that of the class, kept)} of {(id, line_no): form}; lines of any length link."""
     forms = sorted(set(found.values()))
     label = {f: f for f in forms}
-    changed = True
-    while changed:
-        changed = False
-        for a in forms:
-            for b in forms:
-                if label[a] != label[b] and near(a, b):
-                    label[a] = label[b] = min(label[a], label[b])
-                    changed = True
-    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    for i, a in enumerate(forms):
+        for b in forms[:i]:
+            if label[a] != label[b] and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits:
+                old, new = label[a], label[b]
+                label = {f: new if k == old else k for f, k in label.items()}
     head = {}
-    for at, f in found.items():
-        head[label[f]] = min(head.get(label[f], at), at, key=key)
-    got = {(r.id, r.line_no): ((r.class_id, r.class_line), r.kept) for r in out}
-    assert got == {at: (head[label[f]], head[label[f]] == at) for at, f in found.items()}
-    assert len({label[f] for f in forms}) < len(forms) and lines.line_dedup(empty).count() == 0
-
-
-def test_probe_keys_meet_all_near_pairs(spark):
+    for at in sorted(found, key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        head.setdefault(label[found[at]], at)
+    return {at: (head[label[f]], head[label[f]] == at) for at, f in found.items()}
+
+
+def line_table(rng):
+    """Lines of all lengths from one character on, each with copies of up to three edits, in 80 texts with a null and an empty one."""
+    out = []
+    for n in (1, 2, 3, 5, 8, 13, 24, 40, 90):
+        for _ in range(4):
+            a = "".join(rng.choice("abcde 🙂é") for _ in range(n))
+            out.append(a)
+            for edits in (1, 2, 3):
+                b = list(a)
+                for _ in range(edits):
+                    k = rng.randrange(max(len(b), 1))
+                    rng.choice([lambda: b.__setitem__(slice(k, k + 1), "z"), lambda: b.insert(k, "z"), lambda: b.__setitem__(slice(k, k + 1), "")])()
+                out.append("".join(b))
+    out += [f"row {k:03d} of a long and quite usual table, as printed" for k in range(0, 1000, 13)] + out[:20]
+    rng.shuffle(out)
+    return [(0, None), (1, ""), (2, out[0]), (2, out[1]), (None, out[2]), *[(i + 3, "\n".join(out[4 * i : 4 * i + 4])) for i in range(len(out) // 4)]]
+
+
+@pytest.mark.parametrize(("edits", "full"), [(1, 64), (2, 64), (2, 3)])
+def test_line_dedup(spark, empty, monkeypatch, edits, full):
+    monkeypatch.setattr(components, "FULL", full)
+    rows = line_table(random.Random(edits))
+    form = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ")
+    got = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit("x")).withColumn("node", F.lit(1)).repartition(3), edits=edits)
+    want = Counter()
+    # rows that share an id count as one document
+    want_classes = line_classes({(i, k): form(x) for i, t in rows if i != 2 for k, x in enumerate((t or "").split("\n")) if form(x)} | {(2, -k): form(t) for k, t in enumerate(x for i, x in rows if i == 2)}, edits)
+    for (i, k), (at, kept) in want_classes.items():
+        want[i, max(k, 0), at[0], max(at[1], 0), kept or (i, max(k, 0)) == (at[0], max(at[1], 0))] += 1
+    assert Counter(tuple(r) for r in got.collect()) == want
+    assert lines.line_dedup(empty, edits=edits).count() == 0
+
+
+def test_bit_parallel_distance(spark):
+    rng = random.Random(6)
+    pairs = [("", ""), ("", "a"), ("abc", ""), ("a" * 500, "a" * 250 + "b" + "a" * 249), ("🙂é", "é🙂")]
+    for _ in range(300):
+        a = "".join(rng.choice("ab🙂") for _ in range(rng.randint(0, 30)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(b) + 1)
+            rng.choice([lambda: b.__setitem__(slice(k, k + 1), "c"), lambda: b.insert(k, "a"), lambda: b.__setitem__(slice(k, k + 1), "")])()
+        pairs += [(a, "".join(b)), ("".join(b), a)]
+    for edits in (1, 2, 3):
+        df = spark.createDataFrame(pairs, "x string, y string").withColumn("distance", lines.edit_distance(F.col("x"), F.col("y"), edits))
+        for r in df.collect():
+            d = distance(r.x, r.y)
+            assert r.distance == d if d <= edits else r.distance > edits, (r, d)
+
+
+def test_probes_meet_all_near_pairs(spark):
     rng = random.Random(2)
     pairs = []
     for i in range(60):
-        a = "".join(rng.choice("abc ") for _ in range(rng.randint(26, 60)))
+        a = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 60)))
         b = list(a)
         for _ in range(2):
-            k = rng.randrange(len(b))
-            rng.choice([lambda: b.__setitem__(k, "z"), lambda: b.insert(k, "z"), lambda: b.pop(k)])()
+            k = rng.randrange(len(b) + 1)
+            rng.choice([lambda: b.__setitem__(slice(k, k + 1), "z"), lambda: b.insert(k, "z"), lambda: b.__setitem__(slice(k, k + 1), "")])()
         pairs += [(2 * i, a), (2 * i + 1, "".join(b))]
-    df = spark.createDataFrame(pairs, "n int, line string").withColumn("chars", F.length("line"))
-    keys = {r.n: set(r.k) for r in df.select("n", lines.probe_keys(2).alias("k")).collect()}
+    df = spark.createDataFrame(pairs, "n int, line string").withColumn("chars", F.char_length("line"))
+    keys = {r.n: {*r.k0, *r.k1, *r.k2} for r in df.select("n", *[lines.probes(part, 2)["key"].alias(f"k{part}") for part in range(3)]).collect()}
     assert all(keys[2 * i] & keys[2 * i + 1] for i in range(60))
 
 
