@@ -17,8 +17,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     whose skewed side Spark can split. Every round is a written table; nothing is gathered in one task or in the driver.
     """
     edges = scratch.save(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
+    mark = lambda df: tuple(df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first())
+    before = mark(edges)
+    while before[0]:
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -26,12 +27,12 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(low, "a")
         step = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         new = scratch.save(step)
-        mark = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        after = mark(new)
         scratch.drop(edges)
         edges = new
-        if tuple(mark) == before:
+        if after == before:
             break
-        before = tuple(mark)
+        before = after
     # at the fixed point every node but the smallest of its component is linked to that one alone
     labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return labels.unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
