@@ -31,25 +31,48 @@ def open_buckets(keys: DataFrame) -> DataFrame:
     return keys.join(seen.select("key", "lo", "n"), "key")
 
 
+def _stars(found: DataFrame) -> DataFrame:
+    """The links (a: node, b: representative) with each node linked to its least representative alone, and that to the node's others.
+
+    A node has no more representatives than buckets, so its set is small.
+    """
+    own = found.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("r"))
+    ends = F.concat(F.array("a"), F.slice("r", 2, 1 << 20))
+    return own.select(F.explode(ends).alias("a"), F.col("r")[0].alias("b")).distinct()
+
+
+def _joined(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """labels (node, label) after links (a, b) between labels, or between nodes without one, whose label is themselves."""
+    links = scratch.save(links)
+    if labels is not None and links.isEmpty():
+        return labels
+    new = scratch.save(components(links, scratch))
+    if labels is None:
+        return new
+    moved = new.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return scratch.save(old.unionAll(new.join(labels.select("node"), "node", "left_anti")))
+
+
 def linked_components(keys: DataFrame, verify: Verify, scratch: Scratch, refine: Verify | None = None, rounds: int = 2) -> DataFrame:
     """(node, label) of the nodes of keys (key, node) that have links; label is the smallest node that a node reaches.
 
-    verify takes candidate pairs (a, b), repeats included, and returns the distinct ones that are links. First each node is compared with one
-    representative of each of its buckets, which gives a linear number of pairs and joins up dense groups. Then only nodes of one bucket
-    that are still in different components are compared with one another, so a large group of near copies makes no pairs. Where
-    such a bucket is full, refine splits it: it takes (key, node, label) and returns rows with finer keys, of which two linked nodes of
-    one bucket must still share one. Every link between different components is found, so the components are exact.
+    verify takes candidate pairs (a, b, ...), repeats included, and returns the distinct ones that are links, in the given order of both. First
+    each node is compared with one representative of each of its buckets, which gives a linear number of pairs and joins up dense groups.
+    Then only nodes of one bucket that are still in different components are compared with one another, so a large group of near
+    copies makes no pairs. Where such a bucket is full, refine splits it: it takes (key, node, label) and returns rows with finer keys,
+    of which two linked nodes of one bucket must still share one. Every link between different components is found, so the
+    components are exact.
     """
-    labels = None
+    labels, named = None, keys.select("key", "node", F.col("node").alias("label"))
     for k in range(rounds):
         # one representative a bucket: the least by a hash that differs from round to round
-        pick = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node"))).getField("node")
-        rep = keys.groupBy("key").agg(pick.alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep")
-        found = verify(keys.join(rep, "key").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
-        if labels is not None:
-            found = found.unionAll(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b")))
-        labels = scratch.save(components(found, scratch))
-    named = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        pick = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("rep"), F.col("label").alias("at")))
+        rep = named.groupBy("key").agg(pick.alias("pick")).select("key", "pick.rep", "pick.at")
+        found = verify(named.join(rep, "key").where("label <> at").select(F.col("node").alias("a"), F.col("rep").alias("b"), F.col("label").alias("la"), F.col("at").alias("lb")))
+        links = _stars(found) if labels is None else found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+        labels = _joined(labels, links, scratch)
+        named = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     left = scratch.save(open_buckets(named))
     ready, full = left, left.where(F.col("n") > FULL)
     if refine and not full.isEmpty():
@@ -59,5 +82,5 @@ def linked_components(keys: DataFrame, verify: Verify, scratch: Scratch, refine:
     x = ready.where("label <> lo").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
     y = ready.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), "lo")
     pairs = x.join(y, (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("lo")) | (F.col("la") < F.col("lb"))))
-    rest = verify(pairs.select("a", "b"))
-    return components(rest.unionAll(labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))), scratch)
+    rest = verify(pairs.select("a", "b", "la", "lb")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    return _joined(labels, rest, scratch)

@@ -25,7 +25,15 @@ _TRIM_BITS = 20
 
 def line_form(line: Column) -> Column:
     """White space at the ends goes, each run of it inside becomes one space."""
-    return F.trim(F.regexp_replace(line, "\\x20[\\x20\\x09-\\x0D]+|[\\x09-\\x0D][\\x20\\x09-\\x0D]*", " "))
+    return F.trim(_single_spaces(line))
+
+
+def _single_spaces(text: Column) -> Column:
+    """Each run of white space but line breaks becomes one space; most texts need no such change, which is soon seen."""
+    odd = text.contains("  ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | text.contains(c)
+    return F.when(odd, F.regexp_replace(text, "[\\x20\\x09\\x0B-\\x0D]+", " ")).otherwise(text)
 
 
 def allowed(chars: str, edits: int, chars_per_edit: int) -> str:
@@ -33,23 +41,34 @@ def allowed(chars: str, edits: int, chars_per_edit: int) -> str:
     return f"least({edits}, {chars} div {chars_per_edit})" if chars_per_edit else str(edits)
 
 
-def probes(part: int, edits: int, chars_per_edit: int = 0) -> Column:
-    """(key, p, size) of a line (column `line`, length `chars`) for the segment number `part`: its own segment, and those of shorter or as long lines that it may contain.
+def probes(part: int, edits: int, chars_per_edit: int = 0) -> list[tuple[Column, Column]]:
+    """(whether it applies, (key, p, size)) of a line (column `line`, length `chars`) for the segment number `part`: its own segment, and those of shorter lines that it may contain.
 
     p and size tell the place of the segment in the line. A line that is too short for so many segments has empty ones, which all
     lines of nearly its length share.
     """
-    lengths = f"transform(sequence(greatest(chars - {edits}, 0), chars), l -> struct(l, {allowed('l', edits, chars_per_edit)} + 1 AS k))"
-    lengths = f"filter({lengths}, x -> x.k > greatest(1, {part}, chars - x.l))"
-    plain = "(x.k - x.l % x.k)"  # segments of the smaller size come first
-    size = f"(x.l div x.k + if({part} >= {plain}, 1, 0))"
-    start = f"({part} * (x.l div x.k) + greatest(0, {part} - {plain}) + 1)"
-    gap, right = "(chars - x.l)", f"(x.k - 1 - {part})"
-    low = f"greatest(1, {start} - {part}, {start} + {gap} - {right})"
-    high = f"least(chars - {size} + 1, {start} + {part}, {start} + {gap} + {right})"
-    key = f"xxhash64(x.l, {part}, substring(line, p, cast({size} as int)))"
-    places = f"filter(sequence(cast({low} as int), cast(greatest({low}, {high}) as int)), p -> p <= {high})"
-    return F.expr(f"array_distinct(flatten(transform({lengths}, x -> transform({places}, p -> struct({key} AS key, p, cast({size} as int) AS size)))))")
+    out = []
+    for gap in range(edits + 1):
+        length = f"(chars - {gap})"
+        most = allowed(length, edits, chars_per_edit)
+        base, plain = f"({length} div ({most} + 1))", f"({most} + 1 - {length} % ({most} + 1))"  # segments of the smaller size come first
+        size = f"cast({base} + if({part} >= {plain}, 1, 0) AS int)"
+        for shift in range(-part, part + 1):
+            if abs(shift - gap) <= edits - part:
+                p = f"cast({part} * {base} + greatest(0, {part} - {plain}) + {1 + shift} AS int)"
+                fits = f"{length} >= 0 AND {most} >= {max(gap, part, 1)} AND {abs(shift - gap)} <= {most} - {part} AND {p} >= 1 AND {p} + {size} - 1 <= chars"
+                out.append((F.expr(fits), F.expr(f"struct(xxhash64({length}, {part}, substring(line, {p}, {size})) AS key, {p} AS p, {size} AS size)")))
+    return out
+
+
+def probe_keys(parts: range, edits: int, chars_per_edit: int = 0) -> Column:
+    """The keys of probes(), without repeats; one of them is null where some probe doesn't apply."""
+    return F.array_distinct(F.array(*[F.when(fits, probe["key"]) for part in parts for fits, probe in probes(part, edits, chars_per_edit)]))
+
+
+def _exploded(df: DataFrame) -> DataFrame:
+    """df with a row for each value of its array `key`. The array is worked out below the generator, once: an inner explode would add a filter by it."""
+    return df.withColumn("key", F.explode_outer("key")).where("key IS NOT NULL")
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -132,14 +151,15 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "lines")
-    split = df.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")).alias("line_no", "line"))
-    lines = split.select("id", "line_no", line_form(F.col("line")).alias("line")).where("line <> ''").withColumn("sha", F.unhex(F.sha2("line", 256)))
+    text = _single_spaces(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    split = df.select(F.col(f"`{id_col}`").alias("id"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    lines = split.select("id", "line_no", F.trim("line").alias("line")).where("line <> ''").withColumn("sha", F.unhex(F.sha2("line", 256)))
     distinct = lines.groupBy("sha").agg(F.min(F.struct("id", "line_no")).alias("head"), F.first("line").alias("line"))
     distinct = scratch.save(distinct.withColumn("node", F.monotonically_increasing_id()))
     sized = distinct.select("node", "line", F.char_length("line").alias("chars"))
     met = []
     for part in range(edits + 1):
-        keys = scratch.save(sized.select("node", F.explode(F.array_distinct(probes(part, edits, chars_per_edit)["key"])).alias("key")))
+        keys = scratch.save(_exploded(sized.select("node", probe_keys(range(part, part + 1), edits, chars_per_edit).alias("key"))))
         met.append(scratch.save(shared_keys(keys)))
         scratch.drop(keys)
     keys = reduce(DataFrame.unionAll, met)
@@ -147,18 +167,18 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
     limit = F.expr(allowed("least(char_length(x), char_length(y))", edits, chars_per_edit))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        once = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        once = pairs.distinct()
         x, y = (texts.select(F.col("node").alias(n), F.col("line").alias(t)) for n, t in (("a", "x"), ("b", "y")))
-        return once.join(x, "a").join(y, "b").where(edit_distance(F.col("x"), F.col("y"), edits) <= limit).select("a", "b")
+        return once.join(x, "a").join(y, "b").where(edit_distance(F.col("x"), F.col("y"), edits) <= limit).select(*pairs.columns)
 
     def refine(full: DataFrame) -> DataFrame:
         """What is left of two lines within some edits of one another without a segment that both have is so as well, and shares a segment again."""
         places = texts.join(full.select("node").distinct(), "node", "left_semi").withColumn("chars", F.char_length("line"))
-        found = [places.select("node", "line", F.explode(probes(part, edits, chars_per_edit)).alias("s")) for part in range(edits + 1)]
-        rest = reduce(DataFrame.unionAll, found).select("node", F.col("s.key").alias("key"), F.expr("concat(substring(line, 1, s.p - 1), substring(line, s.p + s.size))").alias("line"))
-        rest = full.join(rest, ["key", "node"]).withColumn("chars", F.char_length("line"))
-        again = F.concat(*[F.array_distinct(probes(part, edits)["key"]) for part in range(edits + 1)])
-        return rest.select(F.col("key").alias("whole"), "node", "label", F.explode(again).alias("key")).select(F.xxhash64("whole", "key").alias("key"), "node", "label")
+        found = F.array_compact(F.array(*[F.when(fits, probe) for part in range(edits + 1) for fits, probe in probes(part, edits, chars_per_edit)]))
+        cut = places.select("node", "line", F.explode(found).alias("s")).select("node", F.col("s.key").alias("key"), F.expr("concat(substring(line, 1, s.p - 1), substring(line, s.p + s.size))").alias("line"))
+        rest = full.join(cut, ["key", "node"]).withColumn("chars", F.char_length("line"))
+        again = _exploded(rest.select(F.col("key").alias("whole"), "node", "label", probe_keys(range(edits + 1), edits).alias("key")))
+        return again.select(F.xxhash64("whole", "key").alias("key"), "node", "label")
 
     linked = scratch.save(linked_components(keys, verify, scratch, refine))
     named = linked.join(distinct.select("node", "head"), "node")
