@@ -31,17 +31,9 @@ def mbr_calibration(spark, sf_dir):
 
 
 def mbr_anchor_shift(spark, sf_dir):
-    return _anchor_shift(spark, sf_dir, "run = 1 AND sequence % 20 = 0")
-
-
-def mbr_anchor_shift_whole(spark, sf_dir):
-    return _anchor_shift(spark, sf_dir, "run = 1")
-
-
-def _anchor_shift(spark, sf_dir, chosen):
     p = _peaks(spark, sf_dir)
     pairs = L.calibration_pairs(p, "run", "sequence", "rt", "intensity", 1, 2).select("donor_rt", "acceptor_rt").distinct()
-    t = p.where(chosen).select("peak", "rt").dropDuplicates(["peak"])
+    t = p.where("run = 1")
     out = L.anchor_shift(t.groupBy("peak").agg(F.max("rt").alias("rt")), "peak", "rt", pairs)
     return out.select("peak", "n_anchors", F.round("shift", 4).alias("shift"), F.round("spread", 4).alias("spread"))
 
@@ -86,7 +78,6 @@ b AS (SELECT run, sequence, arg_max(rt, (intensity, -rt)) AS rt FROM p WHERE run
 c AS (SELECT d.sequence, d.rt AS donor_rt, a.rt AS acceptor_rt FROM b d JOIN b a ON d.sequence = a.sequence AND d.run = 1 AND a.run = 2)"""
 
 QUERIES = {
-    "mbr_anchor_shift_whole": (mbr_anchor_shift_whole, None),
     "psm_peptide_join": (
         psm_peptide_join,
         f"""WITH {PEAKS_SQL}, m AS (SELECT sequence, count(*) AS n, min(peak) AS f FROM p WHERE q < 0.02 GROUP BY 1)
@@ -102,7 +93,7 @@ SELECT acceptor, sequence, run AS donor, score FROM x WHERE k = 1""",
     "mbr_calibration": (mbr_calibration, f"WITH {PAIRS_SQL} SELECT sequence, donor_rt, acceptor_rt FROM c"),
     "mbr_anchor_shift": (
         mbr_anchor_shift,
-        f"""WITH {PAIRS_SQL}, a AS (SELECT DISTINCT donor_rt, acceptor_rt - donor_rt AS s FROM c), t AS (SELECT peak, max(rt) AS rt FROM p WHERE run = 1 AND sequence % 20 = 0 GROUP BY 1),
+        f"""WITH {PAIRS_SQL}, a AS (SELECT DISTINCT donor_rt, acceptor_rt - donor_rt AS s FROM c), t AS (SELECT peak, max(rt) AS rt FROM p WHERE run = 1 GROUP BY 1),
 n AS (SELECT peak, s, row_number() OVER (PARTITION BY peak, donor_rt >= rt ORDER BY abs(donor_rt - rt), donor_rt, s) AS k FROM t JOIN a ON abs(donor_rt - rt) <= 0.5)
 SELECT peak, count(*) AS n_anchors, round(median(s), 4) AS shift, round(stddev_samp(s), 4) AS spread FROM n WHERE k <= 3 GROUP BY 1""",
     ),

@@ -14,7 +14,7 @@ def library_window_query(spark, sf_dir):
 
 
 def _sources(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 4 < 3")
+    o = table(spark, sf_dir, "orders")
     return o.select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") % 4).alias("source"), F.col("o_orderkey").alias("entry"), F.round(F.col("o_totalprice") / 1e6, 3).alias("mz"), (F.col("o_orderkey") % 97 / 100).alias("q"))
 
 
@@ -42,8 +42,8 @@ def library_stats(spark, sf_dir):
 
 
 def _traces(spark, sf_dir):
-    return table(spark, sf_dir, "customer").where("c_acctbal > 0").select(
-        "c_custkey", "c_nationkey", F.col("c_acctbal").alias("mass"), (F.col("c_custkey") % 3).alias("charge"), (F.col("c_custkey") % 50).alias("start"), (F.col("c_custkey") % 50 + 20).alias("end")
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", (F.col("c_acctbal") + 2000).alias("mass"), (F.col("c_custkey") % 3).alias("charge"), (F.col("c_custkey") % 50).alias("start"), (F.col("c_custkey") % 50 + 20).alias("end")
     )
 
 
@@ -65,7 +65,7 @@ def doc_library_dedup(spark, sf_dir):
     return L.merge_keep_first(d.unionByName(b), ["key"], "source", "entry")
 
 
-SOURCES_SQL = """e AS (SELECT o_custkey AS key, o_orderkey % 4 AS source, o_orderkey AS entry, round(o_totalprice / 1e6, 3) AS mz, o_orderkey % 97 / 100 AS q FROM orders WHERE o_orderkey % 4 < 3)"""
+SOURCES_SQL = """e AS (SELECT o_custkey AS key, o_orderkey % 4 AS source, o_orderkey AS entry, round(o_totalprice / 1e6, 3) AS mz, o_orderkey % 97 / 100 AS q FROM orders)"""
 
 QUERIES = {
     "library_window_query": (
@@ -101,7 +101,7 @@ min(p_size) AS min_rt, max(p_size) AS max_rt, count(DISTINCT p_brand) AS n_group
     ),
     "connected_features": (
         connected_features,
-        """WITH RECURSIVE t AS (SELECT c_custkey AS id, c_nationkey AS n, c_acctbal AS m, c_custkey % 3 AS z, c_custkey % 50 AS s, c_custkey % 50 + 20 AS e FROM customer WHERE c_acctbal > 0),
+        """WITH RECURSIVE t AS (SELECT c_custkey AS id, c_nationkey AS n, c_acctbal + 2000 AS m, c_custkey % 3 AS z, c_custkey % 50 AS s, c_custkey % 50 + 20 AS e FROM customer),
 l AS (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.n = b.n AND a.id <> b.id AND a.z <> b.z AND a.s <= b.e AND b.s <= a.e AND (greatest(a.m, b.m) - least(a.m, b.m)) / least(a.m, b.m) * 1e6 <= 20000),
 r AS (SELECT id, id AS root FROM t UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id)
 SELECT id AS c_custkey, min(root) AS feature FROM r GROUP BY 1""",

@@ -98,16 +98,8 @@ def fragment_match(spark, sf_dir):
     return S.closest_match(o, "o_orderkey", "o_totalprice", li, "l_orderkey", "price", 50.0).select("o_orderkey", "l_orderkey")
 
 
-def truncation_products_whole(spark, sf_dir):
-    return _truncations(_sequences(spark, sf_dir))
-
-
 def truncation_products(spark, sf_dir):
-    return _truncations(_sequences(spark, sf_dir).where("p_partkey < 300"))
-
-
-def _truncations(s):
-    return S.truncations(s, "seq", 4, 5).select("p_partkey", "end", F.col("removed").cast("long"), "product")
+    return S.truncations(_sequences(spark, sf_dir), "seq", 4, 5).select("p_partkey", "end", F.col("removed").cast("long"), "product")
 
 
 def parameter_grid(spark, sf_dir):
@@ -120,14 +112,7 @@ def multiset_equality(spark, sf_dir):
 
 
 def shared_extrema(spark, sf_dir):
-    return _shared(_scans(spark, sf_dir).where("user_id < 12"))
-
-
-def shared_extrema_whole(spark, sf_dir):
-    return _shared(_scans(spark, sf_dir))
-
-
-def _shared(s):
+    s = _scans(spark, sf_dir)
     x = S.extrema(s.select("user_id", "event_id", "value"), ["user_id"], "event_id", "value").where("kind = 'max'")
     return S.shared_extrema(x, "user_id", "event_id", 40.0, 0.3).withColumn("n_runs", F.col("n_runs").cast("long"))
 
@@ -137,10 +122,7 @@ def binned_merge(spark, sf_dir):
     return S.merged_bins(e, "value", "i", 50.0).select(F.round("mz", 6).alias("mz"), "intensity", "n")
 
 
-#: Those named _whole take every row; their SQL statements keep the subsets of the queries that they follow.
 QUERIES = {
-    "truncation_products_whole": (truncation_products_whole, None),
-    "shared_extrema_whole": (shared_extrema_whole, None),
     "scan_filters": (scan_filters, "SELECT event_id, event_id % 3 + 1 AS level, value FROM events WHERE event_id % 3 + 1 IN (1, 2) AND event_id BETWEEN 100 AND 5000 AND value BETWEEN 10 AND 40"),
     "peaks_in_range": (
         peaks_in_range,
@@ -213,7 +195,7 @@ SELECT o.o_orderkey, m.l_orderkey FROM orders o LEFT JOIN m USING (o_orderkey)""
     ),
     "truncation_products": (
         truncation_products,
-        f"""WITH {SEQ_SQL}, c AS (SELECT p_partkey, seq, unnest([1, 2, 3, 4]) AS i FROM s WHERE p_partkey < 300),
+        f"""WITH {SEQ_SQL}, c AS (SELECT p_partkey, seq, unnest([1, 2, 3, 4]) AS i FROM s),
 x AS (SELECT p_partkey, 'N' AS "end", i::BIGINT AS removed, substr(seq, i + 1) AS product FROM c UNION ALL SELECT p_partkey, 'C', i, left(seq, greatest(length(seq) - i, 0)) FROM c)
 SELECT * FROM x WHERE length(product) >= 5""",
     ),
@@ -221,7 +203,7 @@ SELECT * FROM x WHERE length(product) >= 5""",
     "multiset_equality": (multiset_equality, "SELECT true AS equal"),
     "shared_extrema": (
         shared_extrema,
-        """WITH w AS (SELECT user_id, event_id, value, lag(value) OVER k AS a, lead(value) OVER k AS b FROM events WHERE user_id < 12 WINDOW k AS (PARTITION BY user_id ORDER BY event_id)),
+        """WITH w AS (SELECT user_id, event_id, value, lag(value) OVER k AS a, lead(value) OVER k AS b FROM events WINDOW k AS (PARTITION BY user_id ORDER BY event_id)),
 x AS (SELECT user_id, event_id FROM w WHERE value > a AND value > b), g AS (SELECT *, CASE WHEN event_id - lag(event_id) OVER (ORDER BY event_id) > 40 THEN 1 ELSE 0 END AS new FROM x),
 c AS (SELECT *, sum(new) OVER (ORDER BY event_id) AS c FROM g), n AS (SELECT count(DISTINCT user_id) AS n FROM x)
 SELECT min(event_id) AS first, max(event_id) AS last, count(DISTINCT user_id) AS n_runs FROM c, n GROUP BY c, n HAVING count(DISTINCT user_id) >= 0.3 * n""",

@@ -23,15 +23,7 @@ def _digest(missed):
 
 
 def digest_semi(spark, sf_dir):
-    return _semi(_sequences(spark, sf_dir).where("p_partkey < 200"))
-
-
-def digest_semi_whole(spark, sf_dir):
-    return _semi(_sequences(spark, sf_dir))
-
-
-def _semi(s):
-    out = S.digest_semi(s, "seq", "KR", "P", 0, 3)
+    out = S.digest_semi(_sequences(spark, sf_dir), "seq", "KR", "P", 0, 3)
     return out.select("p_partkey", F.col("start").cast("long"), F.col("end").cast("long"), "peptide")
 
 
@@ -44,15 +36,7 @@ def decoy_slide(spark, sf_dir):
 
 
 def fragment_masses(spark, sf_dir):
-    return _fragments(_sequences(spark, sf_dir).where("p_partkey < 100"))
-
-
-def fragment_masses_whole(spark, sf_dir):
-    return _fragments(_sequences(spark, sf_dir))
-
-
-def _fragments(s):
-    out = S.fragments(s, "seq", ("b",), ("y",))
+    out = S.fragments(_sequences(spark, sf_dir), "seq", ("b",), ("y",))
     return out.select("p_partkey", "ion", F.col("number").cast("long"), F.round("mass", 4).alias("mass"))
 
 
@@ -150,13 +134,11 @@ SELECT p_partkey, st AS start, en AS "end", missed, substr(seq, st, en - st + 1)
 
 
 QUERIES = {
-    "digest_semi_whole": (digest_semi_whole, None),
-    "fragment_masses_whole": (fragment_masses_whole, None),
     "digest_full": (_digest(0), digest_sql(0)),
     "digest_missed": (_digest(2), digest_sql(2)),
     "digest_semi": (
         digest_semi,
-        f"""WITH {SITES_SQL}, m AS (SELECT * FROM d WHERE missed = 0 AND p_partkey < 200),
+        f"""WITH {SITES_SQL}, m AS (SELECT * FROM d WHERE missed = 0),
 e AS (SELECT p_partkey, seq, st, unnest(range(st, en + 1)) AS en FROM m UNION SELECT p_partkey, seq, unnest(range(st, en + 1)), en FROM m)
 SELECT p_partkey, st AS start, en AS "end", substr(seq, st, en - st + 1) AS peptide FROM e WHERE en - st + 1 >= 3""",
     ),
@@ -170,7 +152,7 @@ SELECT p_partkey, max(h) || string_agg(substr(body, (CASE WHEN f < n THEN f ELSE
     ),
     "fragment_masses": (
         fragment_masses,
-        f"""WITH {SEQ_SQL}, x AS (SELECT p_partkey, length(seq) AS n, seq, unnest(range(1, length(seq) + 1)) AS i FROM s WHERE p_partkey < 100),
+        f"""WITH {SEQ_SQL}, x AS (SELECT p_partkey, length(seq) AS n, seq, unnest(range(1, length(seq) + 1)) AS i FROM s),
 m AS (SELECT p_partkey, n, i, {MASS_SQL}[substr(seq, i, 1)] AS m FROM x),
 b AS (SELECT p_partkey, n, i, m, sum(m) OVER w AS up, count(*) FILTER (WHERE m IS NULL) OVER w AS bu, sum(m) OVER v AS down, count(*) FILTER (WHERE m IS NULL) OVER v AS bd FROM m
   WINDOW w AS (PARTITION BY p_partkey ORDER BY i), v AS (PARTITION BY p_partkey ORDER BY i DESC))

@@ -53,15 +53,9 @@ def test_queries_take_whole_tables(spark, sf_dir, tmp_path):
     sequences = {r.p_partkey: r.seq for r in sequence._sequences(spark, str(tmp_path)).collect()}
     run = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
     cuts = [(k, e, i, s[i:] if e == "N" else s[: max(len(s) - i, 0)]) for k, s in sequences.items() for e in "NC" for i in range(1, 5)]
-    assert sorted(tuple(r) for r in run("truncation_products_whole")) == sorted(c for c in cuts if len(c[3]) >= 5)
-    for name in ("digest_semi_whole", "fragment_masses_whole", "deconvolute"):
+    assert sorted(tuple(r) for r in run("truncation_products")) == sorted(c for c in cuts if len(c[3]) >= 5)
+    for name in ("digest_semi", "fragment_masses", "deconvolute"):
         assert {r.p_partkey for r in run(name)} == keys, name
     n = {k: sum(c in "MS" for c in s) for k, s in sequences.items()}
     forms = Counter(r.p_partkey for r in run("modified_forms"))
     assert forms == {k: min(1024, 1 + m + m * (m - 1) // 2) for k, m in n.items()}
-
-
-def test_anchor_shift_takes_all_targets(spark, sf_dir):
-    run = lambda name: {r.peak: tuple(r) for r in registry.queries()[name](spark, sf_dir).collect()}
-    whole, part = run("mbr_anchor_shift_whole"), run("mbr_anchor_shift")
-    assert all(whole[k] == v for k, v in part.items()) and len(whole) > len(part)
