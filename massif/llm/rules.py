@@ -1,9 +1,10 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a text whose statistic exceeds a cutoff. A cutoff of a stratum (texts of a like length) is admitted only if
-the exact binomial upper bound of its false rejections, over the labelled good texts of that stratum, stays within the
-risk; the confidence is divided by the number of all rules and strata, and within one rule the cutoffs are tested from the laxest
-on and testing stops at the first that fails, so that the whole family holds with the stated confidence.
+Each rule rejects a text whose statistic exceeds a cutoff. The rules' cutoffs in a stratum (texts of a like length) are tightened together,
+one step of one rule at a time, along a path that one half of the labelled good texts chooses; the other half tests the path from
+its laxest end: a step is admitted only if the exact binomial upper bound of what all rules together falsely reject stays within the
+risk, and testing stops at the first that fails. As the path does not depend on the testing half, no correction for its steps is
+needed; the doubt is divided by the number of strata, so that all bounds hold together with the stated confidence.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from massif.runtime import Scratch, ship
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WORDS = 5
-#: Allowed share of good texts that one rule may reject in a stratum, and the chance that any bound fails.
+#: Allowed share of good texts that all rules together may reject in a stratum, and the chance that any stratum's bound fails.
 RISK = 0.01
 DOUBT = 0.05
 #: Upper ends of the strata, in words.
@@ -42,11 +43,13 @@ def binomial_upper(bad: int, n: int, doubt: float) -> float:
     """The exact (Clopper-Pearson) upper confidence bound of a rate after `bad` of `n`."""
     if bad >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) for i in range(bad + 1)]
+    i = np.arange(bad + 1)
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    logs = log_factorial[n] - log_factorial[i] - log_factorial[n - i]
     lo, hi = bad / n, 1.0
     for _ in range(60):
         p = (lo + hi) / 2
-        if sum(math.exp(c + i * math.log(p) + (n - i) * math.log1p(-p)) for i, c in enumerate(logs)) > doubt:
+        if np.exp(logs + i * math.log(p) + (n - i) * math.log1p(-p)).sum() > doubt:
             lo = p
         else:
             hi = p
@@ -106,21 +109,37 @@ def ratio(rule: str) -> Column:
     return F.when(F.col("n_words") > 0, F.expr(RULES[rule])).otherwise(0.0)
 
 
+def admitted(levels: np.ndarray, testing: np.ndarray, n: np.ndarray, doubt: float, risk: float = RISK) -> np.ndarray:
+    """Steps of GRID that each rule may take in a stratum.
+
+    levels: for each group of good texts the number of cutoffs that each rule's statistic exceeds; n: texts of the group; testing: whether they
+    are of the half that tests. The path takes, step by step, the rule whose next cutoff adds least to what the choosing half loses.
+    """
+    steps = np.zeros(levels.shape[1], dtype=int)
+    lost = lambda s: (levels + s > len(GRID)).any(axis=1)
+    total = int(n[testing].sum())
+    while (steps < len(GRID)).any():
+        after = [steps + (np.arange(len(steps)) == r) for r in np.flatnonzero(steps < len(GRID))]
+        step = min(after, key=lambda s: (n[~testing & lost(s)].sum(), s.max(), s.tolist()))
+        if binomial_upper(int(n[testing & lost(step)].sum()), total, doubt) > risk:
+            break
+        steps = step
+    return steps
+
+
 def select_cutoffs(counts: DataFrame, labels: DataFrame, label_col: str = "quality") -> dict[tuple[str, int], float]:
     """The strictest admitted cutoff of each rule and stratum; a pair without one has no entry, and rejects nothing."""
     good = labels.select(F.col("doc_id").alias("id"), F.col(label_col).cast("double").alias("label")).dropna().groupBy("id").agg(F.avg("label").alias("label")).where("label > 0.5")
-    seen = counts.where(~base_failed()).join(good, "id").withColumn("stratum", stratum())
-    sums = [F.sum((ratio(r) > c).cast("long")).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(GRID)]
-    # one row a stratum
-    table = {x["stratum"]: x for x in seen.groupBy("stratum").agg(F.count("*").alias("n"), *sums).collect()}
-    doubt = DOUBT / (len(RULES) * (len(STRATA) + 1))
+    seen = counts.where(~base_failed()).join(good, "id").withColumn("stratum", stratum()).withColumn("testing", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)) == 0)
+    exceeded = [sum((ratio(r) > c).cast("int") for c in GRID).alias(r) for r in RULES]
+    # rows of a fixed number at most: strata, halves and levels
+    table = seen.select("stratum", "testing", *exceeded).groupBy("stratum", "testing", *RULES).agg(F.count("*").alias("n")).collect()
     out = {}
-    for s, row in table.items():
-        for r in RULES:
-            for i, c in enumerate(GRID):
-                if binomial_upper(row[f"{r}_{i}"], row["n"], doubt) > RISK:
-                    break
-                out[r, s] = c
+    for s in {x["stratum"] for x in table}:
+        own = [x for x in table if x["stratum"] == s]
+        levels = np.array([[x[r] for r in RULES] for x in own])
+        steps = admitted(levels, np.array([x["testing"] for x in own]), np.array([x["n"] for x in own]), DOUBT / (len(STRATA) + 1))
+        out |= {(r, s): GRID[k - 1] for r, k in zip(RULES, steps) if k}
     return out
 
 
