@@ -32,20 +32,23 @@ def op9_license_scan(spark, sf_dir):
 
 
 def license_sql() -> str:
-    """The scan as DuckDB SQL, from the same fixed tables."""
-    known = ", ".join(f"('{s}', '{letter}')" for letter, s in licenses.SENTENCES.items())
+    """The scan as DuckDB SQL, from the same fixed tables: one step a rule, each on what the ones before have left."""
+    known = ", ".join(f"('{s}', '{letter}')" for s, letter in licenses.LETTERS.items())
     norm = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
-    hits = [(name, f"len(regexp_extract_all(ids, '{licenses.rule_pattern(letters)}'))") for name, letters in licenses.RULES]
-    names = ", ".join(f"CASE WHEN {n} > 0 THEN '{name}' END" for name, n in hits)
+    letter = lambda x: f"m[regexp_replace({norm(x)}, '{licenses.OPENING}', 'under ')]"
+    steps = ["r0 AS (SELECT doc_id, ids, ids AS l, CAST([] AS VARCHAR[]) AS f, 0 AS n FROM ids)"]
+    for i, (name, letters) in enumerate(licenses.RULES):
+        p = licenses.rule_pattern(letters)
+        hits = f"len(regexp_extract_all(l, '{p}'))"
+        steps.append(f"r{i + 1} AS (SELECT doc_id, ids, regexp_replace(l, '{p}', '{licenses.USED}', 'g') AS l, CASE WHEN {hits} > 0 THEN list_append(f, '{name}') ELSE f END AS f, n + {hits} AS n FROM r{i})")
     return f"""
 WITH known(sentence, letter) AS (VALUES {known}),
 m AS (SELECT map(list(sentence), list(letter)) AS m FROM known),
 parts AS (SELECT doc_id, text, m, string_split(regexp_replace(coalesce(text, ''), '([.;:!?])[ \t\r\n]+|\n[ \t\r]*\n', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents, m),
-sentences AS (SELECT doc_id, text, m, list_filter(flatten(list_transform(p, lambda s: CASE WHEN m[{norm('s')}] IS NOT NULL THEN [s] ELSE string_split(s, chr(10)) END)), lambda s: {norm('s')} <> '') AS p FROM parts),
-ids AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '{licenses.HINT}') THEN array_to_string(list_transform(p, lambda s: coalesce(m[{norm('s')}], '.')), '') ELSE '' END AS ids FROM sentences)
-SELECT doc_id, ids AS sentence_ids, CAST(length(replace(ids, '.', '')) AS INT) AS n_known,
-       coalesce(array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x IS NOT NULL))), ' '), '') AS licences, CAST({" + ".join(n for _, n in hits)} AS INT) AS n_matches
-FROM ids"""
+sentences AS (SELECT doc_id, text, m, list_filter(flatten(list_transform(p, lambda s: CASE WHEN {letter('s')} IS NOT NULL THEN [s] ELSE string_split(s, chr(10)) END)), lambda s: {norm('s')} <> '') AS p FROM parts),
+ids AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '{licenses.HINT}') THEN array_to_string(list_transform(p, lambda s: coalesce({letter('s')}, '.')), '') ELSE '' END AS ids FROM sentences),
+{", ".join(steps)}
+SELECT doc_id, ids AS sentence_ids, CAST(length(replace(ids, '.', '')) AS INT) AS n_known, array_to_string(list_sort(list_distinct(f)), ' ') AS licences, CAST(n AS INT) AS n_matches FROM r{len(licenses.RULES)}"""
 
 
 def op10_simhash_near_dedup(spark, sf_dir):

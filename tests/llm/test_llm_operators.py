@@ -471,4 +471,19 @@ def test_license_scan(table, empty):
     found = {i: r.licences for i, r in out.items() if r.licences}
     assert list(found.values()) == [["Apache-2.0", "MIT"]] and out[0].sentence_ids == ""
     hint = re.compile(licenses.HINT)
-    assert all(hint.search(s) for s in licenses.SENTENCES.values()) and licenses.scan(empty).count() == 0
+    assert all(hint.search(s) for s in licenses.LETTERS) and len(set(licenses.LETTERS.values())) == len(licenses.LETTERS) and licenses.scan(empty).count() == 0
+
+
+def test_longest_licence_rule_uses_its_sentences_up(spark):
+    apache = "Licensed under the Apache License, Version 2.0 (the License);\nyou may not use this file except in compliance with the License.\n"
+    terms = "You may obtain a copy of the License at\n\nSee the License for the specific language governing permissions and limitations under the License.\n"
+    texts = [
+        (apache + terms, ["Apache-2.0"], 1),
+        # the second time only the shorter rule is there
+        (apache + terms + "One. Two. Three.\n" + apache, ["Apache-2.0"], 2),
+        ("Released under the terms of the GNU Lesser General Public License version 2.1. This software is available under CC0 1.0 Universal.", ["CC0-1.0", "LGPL-2.1"], 2),
+        ("This is free and unencumbered software released into the public domain.\n\nMore.", ["Unlicense"], 1),
+        ("A licence of no kind", [], 0),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(texts)], "doc_id int, text string")
+    assert [(r.licences, r.n_matches) for r in licenses.scan(df).orderBy("doc_id").collect()] == [(x, n) for _, x, n in texts]
