@@ -49,6 +49,32 @@ def atoms(formula: Column) -> Column:
     return F.when(formula.rlike(f"^({ATOM})+$"), pairs)
 
 
+def composition(formula: Column) -> Column:
+    """Map of element to count, repeated elements added up; elements whose counts cancel are left out."""
+    pairs = atoms(formula)
+    total = lambda e: F.aggregate(F.filter(pairs, lambda a: a.getField("element") == e), F.lit(0), lambda s, a: s + a.getField("count"))
+    elements = F.array_distinct(F.transform(pairs, lambda a: a.getField("element")))
+    return F.map_filter(F.map_from_arrays(elements, F.transform(elements, total)), lambda e, n: n != 0)
+
+
+def combined(a: Column, b: Column, times: int = 1) -> Column:
+    """Composition a plus `times` (which may be negative) composition b (FN5)."""
+    none = F.lit(0)
+    keys = F.array_union(F.map_keys(a), F.map_keys(b))
+    counts = F.transform(keys, lambda e: F.coalesce(F.try_element_at(a, e), none) + times * F.coalesce(F.try_element_at(b, e), none))
+    return F.map_filter(F.map_from_arrays(keys, counts), lambda e, n: n != 0)
+
+
+def contains(a: Column, b: Column) -> Column:
+    """Whether composition a has at least the atoms of b (FN5: superset)."""
+    return F.forall(F.map_entries(b), lambda x: F.coalesce(F.try_element_at(a, x["key"]), F.lit(0)) >= x["value"])
+
+
+def composition_text(a: Column) -> Column:
+    """Elements by name with their counts."""
+    return F.array_join(F.transform(F.array_sort(F.map_keys(a)), lambda e: F.concat(e, F.element_at(a, e).cast("string"))), "")
+
+
 def formula_mass(formula: Column) -> Column:
     """Monoisotopic mass; null where an element is unknown."""
     table = F.create_map(*[F.lit(x) for e, iso in ISOTOPES.items() for x in (e, iso[0][0])])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massif.operators.prefix import fill
+
 
 def ppm_join(left: DataFrame, right: DataFrame, x: str, y: str, ppm: float, on: list[str] | None = None) -> DataFrame:
     """Pairs with |x - y| / y * 1e6 <= ppm, both positive.
@@ -20,28 +22,39 @@ def ppm_join(left: DataFrame, right: DataFrame, x: str, y: str, ppm: float, on:
     return a.join(b, keys).where(F.abs(F.col(x) - F.col(y)) / F.col(y) * 1e6 <= ppm).drop("_bin")
 
 
-def nearest(values: DataFrame, value: str, grid: DataFrame, point: str) -> DataFrame:
-    """Each value's nearest grid point; beyond the ends the end, at a tie the higher one.
+def nearest(values: DataFrame, value: str, grid: DataFrame, point: str, mode: str = "closest") -> DataFrame:
+    """Each value's nearest grid point: the closest (at a tie the higher), the previous (at or below) or the next (at or above); beyond the ends the end.
 
-    Grid points and values are ordered together, and the last point at or before and the first at or after each value come from windows
-    over buckets that hold a bounded part of the axis: the grid's ends are carried along for values outside it.
+    Grid points and values are ordered together, over ranges of the axis, and the last point before each value is carried along; no
+    task holds the grid. Null values have no point.
     """
-    ends = grid.agg(F.min(point).alias("_lo"), F.max(point).alias("_hi"), F.count("*").alias("_n"))
-    marked = values.join(F.broadcast(ends)).withColumn("_v", F.greatest(F.col("_lo"), F.least(F.col("_hi"), F.col(value))))
-    span = (F.col("_hi") - F.col("_lo")) / F.greatest(F.col("_n"), F.lit(1))
-    bucket = lambda c: F.when(span > 0, F.floor((c - F.col("_lo")) / span)).otherwise(0).cast("long")
-    g = grid.join(F.broadcast(ends)).withColumn("_bucket", bucket(F.col(point))).groupBy("_bucket").agg(F.sort_array(F.collect_set(point)).alias("_points"))
-    # each bucket with the last point before it and the first after it: one row a bucket, and there are no more buckets than points
-    w = Window.orderBy("_bucket")
-    g = g.select("_bucket", "_points", F.lag(F.element_at("_points", -1)).over(w).alias("_before"), F.lead(F.element_at("_points", 1)).over(w).alias("_after"), F.lead("_bucket").over(w).alias("_next"))
-    filled = g.withColumn("_bucket2", F.explode(F.sequence("_bucket", F.greatest(F.col("_bucket"), F.coalesce(F.col("_next") - 1, F.col("_bucket"))))))
-    filled = filled.select(
-        F.col("_bucket2").alias("_bucket"),
-        F.array_compact(F.concat(F.array("_before"), F.col("_points"), F.array("_after"))).alias("_candidates"),
-    )
-    near = F.array_min(F.transform("_candidates", lambda p: F.struct(F.abs(p - F.col("_v")).alias("d"), (-p).alias("p"))))
-    out = marked.withColumn("_bucket", bucket(F.col("_v"))).join(filled, "_bucket")
-    return out.withColumn("nearest", -near.getField("p")).select(*values.columns, "nearest")
+    own = values.select("*", F.col(value).cast("double").alias("_x"), F.lit(None).cast("double").alias("_p"))
+    points = grid.select(F.col(point).cast("double").alias("_x")).withColumn("_p", F.col("_x"))
+    both = own.unionByName(points, allowMissingColumns=True)
+    first = F.col("_p").isNull()  # points come before equal values
+    ends = grid.agg(F.min(point).cast("double").alias("_lo"), F.max(point).cast("double").alias("_hi"))
+    out, low, high = both, F.lit(None), F.lit(None)
+    if mode != "next":
+        out, low = fill(out, [F.col("_x"), first], "_p", "_low"), F.coalesce("_low", "_lo")
+    if mode != "previous":
+        out, high = fill(out, [F.desc("_x"), first], "_p", "_high"), F.coalesce("_high", "_hi")
+    pick = {"previous": low, "next": high, "closest": F.when(F.col("_x") - low < high - F.col("_x"), low).otherwise(high)}[mode]
+    out = out.where("_p IS NULL").join(F.broadcast(ends))
+    pick = F.when(F.col("_x") >= F.col("_hi"), F.col("_hi")).when(F.col("_x") <= F.col("_lo"), F.col("_lo")).when(F.col("_x").isNotNull(), pick)
+    return out.select(*values.columns, pick.alias("nearest"))
+
+
+def smooth_trace(df: DataFrame, keys: list[str], index: str, intensity: str, points: int) -> DataFrame:
+    """df with `weighted` (each point of the window weighs by its own intensity) and `plain` (the mean); points too near an end for a whole window stay."""
+    half = points // 2
+    whole = Window.partitionBy(*keys)
+    order = whole.orderBy(index)
+    near = order.rowsBetween(-half, points - 1 - half)
+    place, n = F.row_number().over(order) - 1, F.count("*").over(whole)
+    inside = (place >= half) & (place < n - half)
+    y = F.col(intensity)
+    weighted = F.sum(y * y).over(near) / F.sum(y).over(near)
+    return df.select("*", F.when(inside, weighted).otherwise(y).alias("weighted"), F.when(inside, F.avg(y).over(near)).otherwise(y).alias("plain"))
 
 
 def islands(df: DataFrame, keys: list[str], index: str, missed: int) -> DataFrame:

@@ -186,3 +186,45 @@ def envelope_score(cosine: Column, ppm_error: Column, completeness: Column, rati
 
 def ion_mz(mass: Column, charge: int) -> Column:
     return mass / charge + PROTON
+
+
+def decoy_peptide(seq: Column, kept: str) -> Column:
+    """The peptide reversed around the residues of `kept`, which stay in their places: its cleavage sites are those of the target (GEN16)."""
+    letters = F.filter(F.split(seq, ""), lambda c: c != "")
+    stays = lambda c: c.isin(list(kept))
+    free = F.reverse(F.filter(letters, lambda c: ~stays(c)))
+    place = lambda i: F.size(F.filter(F.slice(letters, 1, i + 1), lambda c: ~stays(c)))
+    return F.array_join(F.transform(letters, lambda c, i: F.when(stays(c), c).otherwise(F.get(free, place(i) - 1))), "")
+
+
+def rna_digest(df: DataFrame, seq: str, cut_after: str, missed: int, min_length: int) -> DataFrame:
+    """df with start, end, missed, oligo and the chemistry of both ends (GEN7): inner ends have a hydroxyl at 5' and a phosphate at 3', outer ends those of the whole."""
+    out = digest(df, seq, cut_after, "", missed, min_length, initiator="retain").withColumnRenamed("peptide", "oligo")
+    five = F.when(F.col("start") == 1, F.lit("whole")).otherwise(F.lit("OH"))
+    three = F.when(F.col("end") == F.length(seq), F.lit("whole")).otherwise(F.lit("PO4"))
+    return out.withColumns({"five": five, "three": three})
+
+
+def fragment_coverage(length: Column, n_places: Column, c_places: Column) -> Column:
+    """Sorted residues that matched fragments tell apart (AGG20).
+
+    n_places and c_places: residue numbers of the fragments from either end. A residue is told by two fragments of one end that differ by it, by
+    fragments of both ends that meet at it or leave it alone between them, and an end residue by the first or last possible fragment.
+    """
+    n, c = F.array_sort(F.array_distinct(n_places)), F.array_sort(F.array_distinct(c_places))
+    has = F.array_contains
+    later = F.slice(n, 2, 1 << 20)
+    steps = F.filter(later, lambda x: has(n, x - 1) | has(c, x))
+    between = F.transform(F.filter(later, lambda x: has(c, x + 2)), lambda x: x + 1)
+    own = F.filter(c, lambda x: has(c, x + 1))
+    one = lambda condition, x: F.when(condition, F.array(x)).otherwise(F.array().cast("array<int>"))
+    first = one(has(n, 1) | has(c, 2), F.lit(1))
+    last = one(has(n, length - 1) | has(c, length), length)
+    return F.array_sort(F.array_distinct(F.concat(first, last, steps, between, own)))
+
+
+def residue_hits(seq: Column, polymers: Column) -> Column:
+    """For each residue the number of occurrences of the polymers that cover it, overlapping ones included (AGG21)."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1)))
+    found = F.flatten(F.transform(polymers, lambda p: F.transform(F.filter(places, lambda i: (F.substr(seq, i, F.length(p)) == p) & (p != "")), lambda i: F.struct(i.alias("lo"), (i + F.length(p) - 1).alias("hi")))))
+    return F.when(F.length(seq) > 0, F.transform(places, lambda i: F.size(F.filter(found, lambda x: (x["lo"] <= i) & (i <= x["hi"]))))).otherwise(F.array().cast("array<int>"))

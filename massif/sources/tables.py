@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from massif.operators.prefix import fill
+
 # Known result tables, by a column that tells them apart: (format, separator, columns that must be there).
 FORMATS = (
     ("psm_tsv", "\t", ("Scan Number", "Base Sequence", "Full Sequence")),
@@ -87,9 +89,8 @@ def until_first_failure(df: DataFrame, order: str, condition: Column) -> DataFra
 
 
 def fill_alternatives(df: DataFrame, order: str, id_col: str) -> DataFrame:
-    """Rows without an id belong to the last row before them that has one (SRC32)."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("owner", F.last(id_col, ignorenulls=True).over(w))
+    """Rows without an id belong to the last row before them that has one (SRC32, W16); ids are carried along over ranges of the order."""
+    return fill(df, [F.col(order)], id_col, "owner")
 
 
 def per_charge(df: DataFrame, lo: str, hi: str) -> DataFrame:

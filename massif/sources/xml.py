@@ -50,7 +50,7 @@ def encode(values: list[float]) -> str:
 def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     """(scan, ms_level, rt_min, is_centroid, tic, precursor_mz, charge, precursor_scan, mz, intensity), by scan number.
 
-    A missing precursor scan is the last one before whose level is one less. Spectra without peaks stay with empty arrays; a repeated scan number is an error.
+    A missing precursor scan is the last one before whose level is one less. Spectra without peaks stay with empty arrays; a scan number that repeats within a file is an error.
     """
     raw = spark.read.format("xml").option("rowTag", "spectrum").schema(_SPECTRUM).load(path)
     arrays = F.col("binaryDataArrayList.binaryDataArray")
@@ -59,6 +59,7 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
     ion = F.get(F.get(F.col("precursorList.precursor"), F.lit(0))["selectedIonList"]["selectedIon"], F.lit(0))["cvParam"]
     number = lambda c: F.coalesce(F.nullif(F.regexp_extract(c, r"scan=(\d+)", 1), F.lit("")).cast("int"))
     df = raw.select(
+        F.input_file_name().alias("_file"),
         F.coalesce(number(F.col("_id")), (F.col("_index") + 1).cast("int")).alias("scan"),
         term(F.col("cvParam"), LEVEL).cast("int").alias("ms_level"),
         term(F.get("scanList.scan", F.lit(0))["cvParam"], START_TIME).cast("double").alias("rt_min"),
@@ -70,12 +71,16 @@ def read_mzml(spark: SparkSession, path: str) -> DataFrame:
         data(MZ_ARRAY).alias("mz"),
         data(INTENSITY_ARRAY).alias("intensity"),
     )
-    w = Window.orderBy("scan").rowsBetween(Window.unboundedPreceding, -1)
-    same = F.count("*").over(Window.partitionBy("scan"))
+    # scan numbers count within a file
+    own = Window.partitionBy("_file")
+    w = own.orderBy("scan").rowsBetween(Window.unboundedPreceding, -1)
     last = {k: F.last(F.when(F.col("ms_level") == k, F.col("scan")), ignorenulls=True).over(w) for k in range(1, 5)}
-    back = F.coalesce("_ref", *[F.when(F.col("ms_level") == k + 1, last[k]) for k in last])
-    df = df.withColumn("precursor_scan", F.when(F.col("ms_level") > 1, back)).drop("_ref")
-    return df.withColumn("scan", F.when(same > 1, F.raise_error(F.concat(F.lit("scan number occurs twice: "), F.col("scan")))).otherwise(F.col("scan")).cast("int"))
+    back = F.coalesce(*[F.when(F.col("ms_level") == k + 1, last[k]) for k in last])
+    # the window sees numbers and levels only; the arrays stay where they are
+    slim = df.select("_file", "scan", "ms_level").withColumn("_back", back).groupBy("_file", "scan").agg(F.min("_back").alias("_back"), F.count("*").alias("_same"))
+    df = df.join(slim, ["_file", "scan"]).withColumn("precursor_scan", F.when(F.col("ms_level") > 1, F.coalesce("_ref", "_back")))
+    twice = F.raise_error(F.concat(F.lit("scan number occurs twice: "), F.col("scan")))
+    return df.withColumn("scan", F.when(F.col("_same") > 1, twice).otherwise(F.col("scan")).cast("int")).drop("_ref", "_file", "_back", "_same")
 
 
 def write_mzml(df: DataFrame, path: str) -> None:
