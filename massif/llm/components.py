@@ -55,32 +55,34 @@ def _joined(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Dat
 
 
 def linked_components(keys: DataFrame, verify: Verify, scratch: Scratch, refine: Verify | None = None, rounds: int = 2) -> DataFrame:
-    """(node, label) of the nodes of keys (key, node) that have links; label is the smallest node that a node reaches.
-
-    verify takes candidate pairs (a, b, ...), repeats included, and returns the distinct ones that are links, in the given order of both. First
-    each node is compared with one representative of each of its buckets, which gives a linear number of pairs and joins up dense groups.
-    Then only nodes of one bucket that are still in different components are compared with one another, so a large group of near
-    copies makes no pairs. Where such a bucket is full, refine splits it: it takes (key, node, label) and returns rows with finer keys,
-    of which two linked nodes of one bucket must still share one. Every link between different components is found, so the
-    components are exact.
+    """(node, label) of the nodes of keys (key, node[, mark]) that have links; label is the smallest node that a node reaches.
+
+    verify takes candidate pairs (a, b, their marks ma and mb, ...), repeats included, and returns the distinct ones that are links, in the
+    given order of both. First each node is compared with one representative of each of its buckets, which gives a linear number of
+    pairs and joins up dense groups. Then only nodes of one bucket that are still in different components are compared with one
+    another, so a large group of near copies makes no pairs. Where such a bucket is full, refine splits it: it takes (key, node, label,
+    mark) and returns rows with finer keys, of which two linked nodes of one bucket must still share one. Every link between
+    different components is found, so the components are exact.
     """
-    labels, named = None, keys.select("key", "node", F.col("node").alias("label"))
+    keys = keys if "mark" in keys.columns else keys.withColumn("mark", F.lit(0).cast("long"))
+    labels, named = None, keys.select("key", "node", "mark", F.col("node").alias("label"))
     for k in range(rounds):
         # one representative a bucket: the least by a hash that differs from round to round
-        pick = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("rep"), F.col("label").alias("at")))
-        rep = named.groupBy("key").agg(pick.alias("pick")).select("key", "pick.rep", "pick.at")
-        found = verify(named.join(rep, "key").where("label <> at").select(F.col("node").alias("a"), F.col("rep").alias("b"), F.col("label").alias("la"), F.col("at").alias("lb")))
+        pick = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("mark").alias("mb")))
+        rep = named.groupBy("key").agg(pick.alias("pick")).select("key", "pick.b", "pick.lb", "pick.mb")
+        pairs = named.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("mark").alias("ma")).join(rep, "key").where("la <> lb")
+        found = verify(pairs.drop("key"))
         links = _stars(found) if labels is None else found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
         labels = _joined(labels, links, scratch)
-        named = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        named = keys.join(labels, "node", "left").select("key", "node", "mark", F.coalesce("label", "node").alias("label"))
     left = scratch.save(open_buckets(named))
     ready, full = left, left.where(F.col("n") > FULL)
     if refine and not full.isEmpty():
-        ready = left.where(F.col("n") <= FULL).unionByName(scratch.save(open_buckets(refine(full.select("key", "node", "label")).distinct())))
+        ready = left.where(F.col("n") <= FULL).unionByName(scratch.save(open_buckets(refine(full.select("key", "node", "label", "mark")).distinct())))
     # of two nodes of different components at least one is not of the bucket's least label, so a bucket of one large component and few
     # others costs its size times the few
-    x = ready.where("label <> lo").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-    y = ready.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), "lo")
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("lo")) | (F.col("la") < F.col("lb"))))
-    rest = verify(pairs.select("a", "b", "la", "lb")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    x = ready.where("label <> lo").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("mark").alias("ma"))
+    y = ready.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("mark").alias("mb"), "lo")
+    pairs = x.join(y, "key").where("la <> lb AND (lb = lo OR la < lb)")
+    rest = verify(pairs.drop("key", "lo")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
     return _joined(labels, rest, scratch)

@@ -3,8 +3,8 @@
 Lines within `edits` edits of one another have, among edits + 1 segments of the shorter, one that occurs unchanged in the
 longer, shifted by few places. Each distinct line is indexed by its segments and probes the substrings that the lengths and the
 positions allow (the multi-match-aware selection), one segment number at a time, so that a third of the keys lies on disk at once. Keys that
-no two lines share are dropped. A key's rows hold a line's number alone; texts are joined to candidate pairs only, which are
-verified by a banded bit-parallel edit distance. Linked lines form classes; the first line of a class stays.
+no two lines share are dropped. A key's rows hold a line's number and the parities of its letters' counts, of which an edit changes two
+at most; texts are joined only to candidate pairs whose parities allow a link, which are verified by a banded bit-parallel edit distance. Linked lines form classes; the first line of a class stays.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from massif.runtime import Scratch
 EDITS = 2
 #: The longest common beginning or end that is cut off before the distance, less one; what is longer is compared by the distance as well.
 _TRIM_BITS = 20
+#: Letters whose counts' parities mark a line.
+MARKED = "abcdefghijklmnopqrstuvwxyz0123456789 .,:;-/ABCDEFGHIJKLMNOPQRST"
 
 
 def line_form(line: Column) -> Column:
@@ -66,6 +68,12 @@ def probe_keys(parts: range, edits: int, chars_per_edit: int = 0) -> Column:
     return F.array_distinct(F.array(*[F.when(fits, probe["key"]) for part in parts for fits, probe in probes(part, edits, chars_per_edit)]))
 
 
+def parities(line: Column) -> Column:
+    """A bit for each letter of MARKED: whether it occurs an odd number of times. An edit changes at most two of them."""
+    odd = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(1)).cast("long")
+    return reduce(Column.bitwiseOR, [F.shiftleft(odd(c), k) for k, c in enumerate(MARKED)])
+
+
 def _exploded(df: DataFrame) -> DataFrame:
     """df with a row for each value of its array `key`. The array is worked out below the generator, once: an inner explode would add a filter by it."""
     return df.withColumn("key", F.explode_outer("key")).where("key IS NOT NULL")
@@ -162,12 +170,13 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
         keys = scratch.save(_exploded(sized.select("node", probe_keys(range(part, part + 1), edits, chars_per_edit).alias("key"))))
         met.append(scratch.save(shared_keys(keys)))
         scratch.drop(keys)
-    keys = reduce(DataFrame.unionAll, met)
-    texts = scratch.save(distinct.select("node", "line").join(keys.select("node").distinct(), "node", "left_semi"))
+    met = reduce(DataFrame.unionAll, met)
+    texts = scratch.save(distinct.select("node", "line").join(met.select("node").distinct(), "node", "left_semi"))
+    keys = scratch.save(met.join(texts.select("node", parities(F.col("line")).alias("mark")), "node").select("key", "node", "mark"))
     limit = F.expr(allowed("least(char_length(x), char_length(y))", edits, chars_per_edit))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        once = pairs.distinct()
+        once = pairs.where(F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) <= 2 * edits).distinct()
         x, y = (texts.select(F.col("node").alias(n), F.col("line").alias(t)) for n, t in (("a", "x"), ("b", "y")))
         return once.join(x, "a").join(y, "b").where(edit_distance(F.col("x"), F.col("y"), edits) <= limit).select(*pairs.columns)
 
@@ -177,8 +186,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
         found = F.array_compact(F.array(*[F.when(fits, probe) for part in range(edits + 1) for fits, probe in probes(part, edits, chars_per_edit)]))
         cut = places.select("node", "line", F.explode(found).alias("s")).select("node", F.col("s.key").alias("key"), F.expr("concat(substring(line, 1, s.p - 1), substring(line, s.p + s.size))").alias("line"))
         rest = full.join(cut, ["key", "node"]).withColumn("chars", F.char_length("line"))
-        again = _exploded(rest.select(F.col("key").alias("whole"), "node", "label", probe_keys(range(edits + 1), edits).alias("key")))
-        return again.select(F.xxhash64("whole", "key").alias("key"), "node", "label")
+        again = _exploded(rest.select(F.col("key").alias("whole"), "node", "label", "mark", probe_keys(range(edits + 1), edits).alias("key")))
+        return again.select(F.xxhash64("whole", "key").alias("key"), "node", "label", "mark")
 
     linked = scratch.save(linked_components(keys, verify, scratch, refine))
     named = linked.join(distinct.select("node", "head"), "node")

@@ -98,7 +98,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = b.slice(at, 4096)
             keys, nodes = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             rows, codewords = third_codewords(nodes.view(np.uint64), keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[rows] << 12 | codewords), pa.array(nodes[rows]), part.column(2).take(pa.array(rows))], ["key", "node", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[rows] << 12 | codewords), pa.array(nodes[rows]), *[part.column(i).take(pa.array(rows)) for i in (2, 3)]], ["key", "node", "label", "mark"])
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -162,7 +162,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     nodes = scratch.save(docs.groupBy("fp").agg(F.min(head).alias("head")))
     keys = scratch.save(nodes.select("fp").mapInArrow(_keys, "key long, node long"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
-    split = lambda full: full.mapInArrow(_split, "key long, node long, label long")
+    split = lambda full: full.mapInArrow(_split, "key long, node long, label long, mark long")
     labels = scratch.save(linked_components(keys, lambda pairs: pairs.where(near).distinct(), scratch, split))
     scratch.drop(keys)
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp")
