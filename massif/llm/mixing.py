@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +59,11 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, scratch
     n = shuffle_partitions(df.sparkSession)
     dealt = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumn("_part", F.spark_partition_id())
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # in Arrow, as pandas would turn a column of large ids with nulls into floats
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, carry = None, 0
-        for x in frames:
-            g, v = x[group].to_numpy(), x[value].to_numpy()
+        for x in batches:
+            g, v = (x.column(x.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (group, value))
             sums = np.cumsum(v)
             new = np.ones(len(g), dtype=bool)
             new[1:] = g[1:] != g[:-1]
@@ -72,10 +74,10 @@ def prefix_sums(df: DataFrame, group: str, order: list[str], value: str, scratch
                 before[g == last] += carry
             if len(g):
                 carry, last = int(before[-1] + v[-1]), g[-1]
-            yield x.assign(_before=before)
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(before, pa.int64())], [*x.schema.names, "_before"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
-    local = scratch.save(dealt.mapInPandas(run, f"{fields}, _before long"))
+    local = scratch.save(dealt.mapInArrow(run, f"{fields}, _before long"))
     sums = local.groupBy(group, "_part").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(group, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
@@ -106,7 +108,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     size: words of the text (0 for null and empty texts, which nothing is taken from). Sources weigh 5, 2, 1, repeating, by
     code point, null last. taken: words the mix takes from the row, repeats counted; never over three times its size. Rows that
-    repeat have their own words in the stream. The same rows give the same mix. An empty table gives an empty table.
+    repeat have their own words in the stream. The same rows give the same mix, however they are dealt: rows of one id come in the order of a hash of
+    their texts. An empty table gives an empty table.
     The table of sources (not of documents) is held by the driver. key_col names a column that tells rows apart: rows of one id
     come in its order, and the result has it as `key`.
     """
@@ -115,7 +118,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     scratch = Scratch(spark, "mixing")
     keys = ["key"] if key_col else []
     own = [F.col(f"`{key_col}`").alias("key")] if key_col else []
-    sizes = scratch.save(df.select(*own, F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), n_words(text_col).alias("size")))
+    sizes = scratch.save(df.select(*own, F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), n_words(text_col).alias("size"), F.xxhash64(F.col(f"`{text_col}`")).alias("tie")))
     found = [(r["source"], r["size"]) for r in sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()]
     found.sort(key=lambda x: (x[0] is None, x[0] or ""))
     goal = targets([n for _, n in found], weights)
@@ -127,9 +130,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     plan = spark.createDataFrame(
         [(k, s, n, t) for k, ((s, n), t) in enumerate(zip(found, goal))], "k int, source string, source_size long, target double"
     )
-    rows = sizes.join(F.broadcast(plan), sizes["source"].eqNullSafe(plan["source"])).select("id", "size", "k", "source_size", "target", *keys)
+    rows = sizes.join(F.broadcast(plan), sizes["source"].eqNullSafe(plan["source"])).select("id", "tie", "size", "k", "source_size", "target", *keys)
     filled = rows.where("size > 0")
-    placed = prefix_sums(filled, "k", ["id", *keys], "size", scratch)
+    placed = prefix_sums(filled, "k", ["id", *(keys or ["tie"])], "size", scratch)
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:

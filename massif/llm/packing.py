@@ -30,7 +30,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def load_encoder(path: str, pattern: str, added: bool = False):
+def load_encoder(path: str, pattern: str, added: bool = True):
     """An encoder of plain text with the ids of the byte-level tokenizer file at path.
 
     In that file each merge makes the token with the next id, so a token's id is its rank, which is how tiktoken states the same
@@ -50,7 +50,7 @@ def load_encoder(path: str, pattern: str, added: bool = False):
     return tiktoken.Encoding("ids", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special if added else {})
 
 
-def worker_encoder(path: str, pattern: str, added: bool = False):
+def worker_encoder(path: str, pattern: str, added: bool = True):
     """The encoder, kept for the life of a Python worker."""
     key = f"_massif_encoder:{path}:{added}"
     if key not in sys.modules:
@@ -58,7 +58,7 @@ def worker_encoder(path: str, pattern: str, added: bool = False):
     return sys.modules[key]
 
 
-def token_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
+def token_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", added: bool = True) -> DataFrame:
     """(id, part, at, n, ids): each row's ids with the end id, as little-endian 16-bit numbers, and its offset `at` among its task's."""
     ship(df.sparkSession)
 
@@ -85,7 +85,7 @@ def token_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"id {kind}, part int, at long, n long, ids binary")
 
 
-def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, added: bool = False) -> DataFrame:
+def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, added: bool = True) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): a row for each piece of a document in one sequence.
 
     Null and empty texts give the end id alone. Rows that repeat are packed as often as they occur. All sequences but the last

@@ -286,6 +286,21 @@ def test_mixing(table, docs, empty):
     assert all(len(words(r.text)) == by_id[r.doc_id] and r.n_chars == len(r.text) for r in made)
 
 
+def test_mixing_agrees_however_rows_are_dealt(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(n))
+    big = (1 << 60) + 1
+    rows = [(rng.choice([None, big, big + 1, 7, 8]), say(rng.randint(1, 60)), rng.choice(["a", "b", None])) for _ in range(300)]
+    seen = []
+    for parts in (1, 5):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        out = mixing.mix(df, block_words=8, shard_slots=64).collect()
+        assert {r.id for r in out} == {r[0] for r in rows}
+        seen.append(Counter((r.id, r.size, r.source_size, r.taken) for r in out))
+    assert seen[0] == seen[1]
+
+
 def test_permutations_cover_their_range():
     for n in (1, 2, 3, 17, 64, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 9)) == list(range(n))
@@ -296,7 +311,6 @@ def test_packing(table, docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = [(i, [*t.encode(x or "", add_special_tokens=False).ids, 1]) for i, x in [*docs, (7777, "<|endoftext|> it's 123\n\n x")]]
     extra = table.sparkSession.createDataFrame([(7777, "<|endoftext|> it's 123\n\n x")], "doc_id long, text string")
     rows = packing.pack(table.select("doc_id", "text").unionByName(extra), P.path("byte_bpe_50k.json"), P.PATTERN, sequence=64).collect()
