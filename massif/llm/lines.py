@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations, pairwise, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from massif.runtime import Scratch
 EDITS = 2
 #: The longest common beginning or end that is cut off before the distance, less one; what is longer is compared by the distance as well.
 _TRIM_BITS = 20
+#: Pieces of a line for the finer keys of full buckets.
+PIECES = 8
 #: Letters whose counts' parities mark a line.
 MARKED = "abcdefghijklmnopqrstuvwxyz0123456789 .,:;-/ABCDEFGHIJKLMNOPQRST"
 
@@ -43,11 +46,11 @@ def allowed(chars: str, edits: int, chars_per_edit: int) -> str:
     return f"least({edits}, {chars} div {chars_per_edit})" if chars_per_edit else str(edits)
 
 
-def probes(part: int, edits: int, chars_per_edit: int = 0) -> list[tuple[Column, Column]]:
-    """(whether it applies, (key, p, size)) of a line (column `line`, length `chars`) for the segment number `part`: its own segment, and those of shorter lines that it may contain.
+def probe_keys(part: int, edits: int, chars_per_edit: int = 0) -> Column:
+    """Keys of a line (column `line`, length `chars`) for the segment number `part`: its own segment's, and those of shorter lines' that it may contain.
 
-    p and size tell the place of the segment in the line. A line that is too short for so many segments has empty ones, which all
-    lines of nearly its length share.
+    One is null where some probe doesn't apply. A line that is too short for so many segments has empty ones, which all lines of nearly its
+    length share.
     """
     out = []
     for gap in range(edits + 1):
@@ -59,13 +62,38 @@ def probes(part: int, edits: int, chars_per_edit: int = 0) -> list[tuple[Column,
             if abs(shift - gap) <= edits - part:
                 p = f"cast({part} * {base} + greatest(0, {part} - {plain}) + {1 + shift} AS int)"
                 fits = f"{length} >= 0 AND {most} >= {max(gap, part, 1)} AND {abs(shift - gap)} <= {most} - {part} AND {p} >= 1 AND {p} + {size} - 1 <= chars"
-                out.append((F.expr(fits), F.expr(f"struct(xxhash64({length}, {part}, substring(line, {p}, {size})) AS key, {p} AS p, {size} AS size)")))
-    return out
+                out.append(F.expr(f"if({fits}, xxhash64({length}, {part}, substring(line, {p}, {size})), NULL)"))
+    return F.array_distinct(F.array(*out))
 
 
-def probe_keys(parts: range, edits: int, chars_per_edit: int = 0) -> Column:
-    """The keys of probes(), without repeats; one of them is null where some probe doesn't apply."""
-    return F.array_distinct(F.array(*[F.when(fits, probe["key"]) for part in parts for fits, probe in probes(part, edits, chars_per_edit)]))
+def run_keys(edits: int) -> Column:
+    """Keys of a line (column `line`) of which two lines within `edits` edits share one, and few others do.
+
+    Of PIECES equal pieces of the shorter line, edits damage as many as there are edits at most; the runs between those occur unchanged in the
+    other line, each shifted by what the edits before it have put in or taken out. A key is all runs for one choice of damaged pieces, a
+    line's own for no shift, and those that it has as the longer one for each way in which shifts can add up to the gap of the lengths.
+    """
+    ways = [
+        (gap, *pieces, *shifts)
+        for gap in range(edits + 1)
+        for shifts in product(range(-edits, edits + 1), repeat=edits - 1)
+        if sum(abs(b - a) for a, b in pairwise((0, *shifts, gap))) <= edits
+        for pieces in combinations(range(PIECES), edits)
+    ]
+    names = ["gap", *(f"p{k}" for k in range(edits)), *(f"s{k}" for k in range(1, edits))]
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, way)]) for way in ways])
+    chars = F.char_length("line")
+
+    def key(way: Column) -> Column:
+        size = chars - way["gap"]
+        at = lambda piece: F.floor(piece * size / PIECES).cast("int")
+        lows = [F.lit(0), *[at(way[f"p{k}"] + 1) for k in range(edits)]]
+        highs = [*[at(way[f"p{k}"]) for k in range(edits)], size]
+        shifts = [F.lit(0), *[way[f"s{k}"] for k in range(1, edits)], way["gap"]]
+        runs = [F.substr(F.col("line"), lo + 1 + s, hi - lo) for lo, hi, s in zip(lows, highs, shifts)]
+        return F.when(size >= 0, F.xxhash64(size, *[way[f"p{k}"] for k in range(edits)], *runs))
+
+    return F.array_distinct(F.transform(table, key))
 
 
 def parities(line: Column) -> Column:
@@ -167,7 +195,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
     sized = distinct.select("node", "line", F.char_length("line").alias("chars"))
     met = []
     for part in range(edits + 1):
-        keys = scratch.save(_exploded(sized.select("node", probe_keys(range(part, part + 1), edits, chars_per_edit).alias("key"))))
+        keys = scratch.save(_exploded(sized.select("node", probe_keys(part, edits, chars_per_edit).alias("key"))))
         met.append(scratch.save(shared_keys(keys)))
         scratch.drop(keys)
     met = reduce(DataFrame.unionAll, met)
@@ -181,13 +209,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
         return once.join(x, "a").join(y, "b").where(edit_distance(F.col("x"), F.col("y"), edits) <= limit).select(*pairs.columns)
 
     def refine(full: DataFrame) -> DataFrame:
-        """What is left of two lines within some edits of one another without a segment that both have is so as well, and shares a segment again."""
-        places = texts.join(full.select("node").distinct(), "node", "left_semi").withColumn("chars", F.char_length("line"))
-        found = F.array_compact(F.array(*[F.when(fits, probe) for part in range(edits + 1) for fits, probe in probes(part, edits, chars_per_edit)]))
-        cut = places.select("node", "line", F.explode(found).alias("s")).select("node", F.col("s.key").alias("key"), F.expr("concat(substring(line, 1, s.p - 1), substring(line, s.p + s.size))").alias("line"))
-        rest = full.join(cut, ["key", "node"]).withColumn("chars", F.char_length("line"))
-        again = _exploded(rest.select(F.col("key").alias("whole"), "node", "label", "mark", probe_keys(range(edits + 1), edits).alias("key")))
-        return again.select(F.xxhash64("whole", "key").alias("key"), "node", "label", "mark")
+        nodes = full.select("node", "label", "mark").distinct()
+        finer = texts.select("node", run_keys(edits).alias("key")).join(nodes, "node")
+        return _exploded(finer.select("key", "node", "label", "mark"))
 
     linked = scratch.save(linked_components(keys, verify, scratch, refine))
     named = linked.join(distinct.select("node", "head"), "node")

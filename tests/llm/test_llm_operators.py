@@ -256,8 +256,9 @@ def test_probes_meet_all_near_pairs(spark):
             rng.choice([lambda: b.__setitem__(slice(k, k + 1), "z"), lambda: b.insert(k, "z"), lambda: b.__setitem__(slice(k, k + 1), "")])()
         pairs += [(2 * i, a), (2 * i + 1, "".join(b))]
     df = spark.createDataFrame(pairs, "n int, line string").withColumn("chars", F.char_length("line"))
-    keys = {r.n: {*r.k} - {None} for r in df.select("n", lines.probe_keys(range(3), 2).alias("k")).collect()}
-    assert all(keys[2 * i] & keys[2 * i + 1] for i in range(60))
+    for found in (F.concat(*[lines.probe_keys(part, 2) for part in range(3)]), lines.run_keys(2)):
+        keys = {r.n: {*r.k} - {None} for r in df.select("n", found.alias("k")).collect()}
+        assert all(keys[2 * i] & keys[2 * i + 1] for i in range(60))
 
 
 def test_mixing(table, docs, empty):
