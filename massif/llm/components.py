@@ -6,6 +6,7 @@ Tables only: no bucket, component or link set is gathered in one task or in the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +26,30 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.join(twice, "key", "left_semi")
 
 
+def bucket_labels(keys: DataFrame) -> DataFrame:
+    """For each key of keys (key, node, label): its least and largest label `lo` and `hi` and its number of rows `n`."""
+    return keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
+
+
 def open_buckets(keys: DataFrame) -> DataFrame:
-    """keys (key, node, label) of buckets that hold different labels, with the bucket's least label `lo` and its number of rows `n`."""
-    seen = keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    return keys.join(seen.select("key", "lo", "n"), "key")
+    """keys (key, node, label) of buckets that hold different labels, with the bucket's least label `lo`."""
+    return keys.join(bucket_labels(keys).where("lo <> hi").select("key", "lo"), "key")
+
+
+def _sides(buckets: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """Two sides of open buckets that _met() takes: of two nodes of different components at least one is not of the bucket's least label.
+
+    So a bucket of one large component and few others costs its size times the few.
+    """
+    return buckets.where("label <> lo"), buckets, "la <> lb AND (lb = lo OR la < lb)"
+
+
+def _met(x: DataFrame, y: DataFrame, which: str) -> DataFrame:
+    """Pairs (a, la, ma, b, lb, mb) of nodes of one bucket in x and y (key, node, label, mark[, lo]) of which the condition holds."""
+    x = x.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("mark").alias("ma"))
+    rest = ["lo"] if "lo" in y.columns else []
+    y = y.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("mark").alias("mb"), *rest)
+    return x.join(y, "key").where(which).select("a", "la", "ma", "b", "lb", "mb")
 
 
 def _stars(found: DataFrame) -> DataFrame:
@@ -75,14 +96,16 @@ def linked_components(keys: DataFrame, verify: Verify, scratch: Scratch, refine:
         links = _stars(found) if labels is None else found.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
         labels = _joined(labels, links, scratch)
         named = keys.join(labels, "node", "left").select("key", "node", "mark", F.coalesce("label", "node").alias("label"))
-    left = scratch.save(open_buckets(named))
-    ready, full = left, left.where(F.col("n") > FULL)
-    if refine and not full.isEmpty():
-        ready = left.where(F.col("n") <= FULL).unionByName(scratch.save(open_buckets(refine(full.select("key", "node", "label", "mark")).distinct())))
-    # of two nodes of different components at least one is not of the bucket's least label, so a bucket of one large component and few
-    # others costs its size times the few
-    x = ready.where("label <> lo").select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("mark").alias("ma"))
-    y = ready.select("key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("mark").alias("mb"), "lo")
-    pairs = x.join(y, "key").where("la <> lb AND (lb = lo OR la < lb)")
-    rest = verify(pairs.drop("key", "lo")).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
+    if refine:
+        # what a bucket that is not full can make is bounded for each of its rows, so its rows meet without being written anew
+        many = scratch.save(bucket_labels(named).where(F.col("n") > FULL))
+        small = named.join(many.select("key"), "key", "left_anti")
+        halves = [(small, small, "la < lb")]
+        if not many.isEmpty():
+            full = named.join(many.where("lo <> hi").select("key"), "key", "left_semi").select("key", "node", "label", "mark")
+            halves.append(_sides(scratch.save(open_buckets(refine(full).distinct()))))
+    else:
+        halves = [_sides(scratch.save(open_buckets(named)))]
+    pairs = reduce(DataFrame.unionAll, [_met(*x) for x in halves])
+    rest = verify(pairs).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
     return _joined(labels, rest, scratch)

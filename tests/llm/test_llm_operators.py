@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from massif.llm import components, exact, hmm, licenses, lines, mixing, packing, phrases, quality, rules, simhash
 from massif.llm.words import pieces
+from massif.runtime import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score int, kept string, id int, _norm int, block int, node int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -155,6 +156,30 @@ def test_near_dedup(table, docs, empty, monkeypatch, full):
     assert simhash.near_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("full", [64, 1])
+def test_buckets_alone_find_all_links(spark, monkeypatch, full):
+    """Without rounds over representatives each link comes from its bucket, split or not."""
+    monkeypatch.setattr(components, "FULL", full)
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    fps = {x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for x in base for _ in range(6)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keys = spark.createDataFrame([(signed(x),) for x in fps], "fp long").mapInArrow(simhash._keys, "key long, node long")
+    near = lambda pairs: pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 4).distinct()
+    split = lambda full: full.mapInArrow(simhash._split, "key long, node long, label long, mark long")
+    got = {(r.node, r.label) for r in components.linked_components(keys, near, Scratch(spark, "test"), split, rounds=0).collect()}
+    label = {x: signed(x) for x in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a in fps:
+            for b in fps:
+                if (a ^ b).bit_count() <= 4 and label[b] < label[a]:
+                    label[a], changed = label[b], True
+    linked = {x for x in fps if any(x != y and (x ^ y).bit_count() <= 4 for y in fps)}
+    assert got == {(signed(x), label[x]) for x in linked}
+
+
 def test_remove_repeats(table, docs, empty):
     out = phrases.remove_repeats(table).collect()
     counts = Counter(tuple(w[i : i + 35]) for _, t in docs for w in [words(t)] for i in range(len(w) - 34))
