@@ -9,15 +9,16 @@ source, and slots meet blocks in a join by (source, index).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from massif.llm.words import Words, pieces
 from massif.runtime import Scratch, ship, shuffle_partitions
 
 WEIGHTS = (5, 2, 1)
@@ -176,25 +177,23 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return taken.select(*names).unionAll(rows.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), none.alias("spans"), *keys))
 
 
-def cut_words(text: str | None, spans: list[dict]) -> str:
-    """The words that the mix takes: in the text's own white space and order, what is taken again once more after a line break."""
-    found = [m.span() for m in re.finditer("[^\\x20\\x09-\\x0D]+", text or "")]
+def cut_words(w: Words, i: int, start: np.ndarray, words: np.ndarray, times: np.ndarray) -> bytes:
+    """The words of text i that the mix takes, as runs of words and times: in the text's own white space and order, what is taken again once more after a line break."""
+    lo, n = w.first[i], w.first[i + 1] - w.first[i]
     copies = []
     for turn in range(1, MAX_REPEATS + 1):
-        at, parts = None, []
-        for s in spans:
-            if s["times"] >= turn:
-                first, last = s["start"], s["start"] + s["words"]
-                if at == first:
-                    parts[-1][1] = last
-                else:
-                    parts.append([first, last])
-                at = last
-        if parts == [[0, len(found)]]:
-            copies.append(text)
-        elif parts:
-            copies.append("\n".join(text[found[a][0] : found[b - 1][1]] for a, b in parts))
-    return "\n".join(copies)
+        on = times >= turn
+        if not on.any():
+            break
+        first, last = start[on], start[on] + words[on]
+        apart = first[1:] != last[:-1]
+        first, last = first[np.append(True, apart)], last[np.append(apart, True)]
+        if len(first) == 1 and last[0] - first[0] == n:
+            copies.append(w.buf[w.doc_at[i] : w.doc_at[i + 1]].tobytes())
+        else:
+            runs = zip(w.start[lo + first].tolist(), w.end[lo + last - 1].tolist())
+            copies.append(b"\n".join(w.buf[x:y].tobytes() for x, y in runs))
+    return b"\n".join(copies)
 
 
 def realise(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -204,9 +203,17 @@ def realise(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: s
     """
     ship(df.sparkSession)
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut_words(t, s) for t, s in zip(text, spans)], dtype=object)
+    # on the bytes of Arrow columns: a word of a long text, or a run of it, is no Python object
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        runs = spans.flatten()
+        start, words, times = (pc.struct_field(runs, c).to_numpy(zero_copy_only=False) for c in ("start", "words", "times"))
+        at = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)))
+        out = []
+        for a, b, w in pieces(text):
+            made = [cut_words(w, i - a, *(c[at[i] : at[i + 1]] for c in (start, words, times))) for i in range(a, b)]
+            out.append(pa.array(made, pa.binary()).cast(pa.string()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     own = mixed.where("taken > 0").select(F.col("id").alias("_id"), F.col("spans").alias("_spans"))
     out = df.join(own, F.col(f"`{id_col}`") == F.col("_id")).withColumn(text_col, cut(F.col(f"`{text_col}`"), F.col("_spans"))).drop("_id", "_spans")

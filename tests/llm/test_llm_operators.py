@@ -312,6 +312,34 @@ def test_mixing(table, docs, empty):
     assert all(len(words(r.text)) == by_id[r.doc_id] and r.n_chars == len(r.text) for r in made)
 
 
+def test_mixed_texts_are_cut_as_word_by_word(spark):
+    rng = random.Random(5)
+    rows, taken, want = [], [], {}
+    for k in range(120):
+        parts = [(rng.choice(["a", "éç", "日本", "x😀"]), rng.choice([" ", "\n ", "\t", "  "])) for _ in range(rng.choice([0, 1, 3, 64, 65, 700]))]
+        text = rng.choice(["", " "]) + "".join(w + gap for w, gap in parts)
+        found = [m.span() for m in re.finditer("[^\\x20\\x09-\\x0D]+", text)]
+        spans, at = [], 0
+        while at < len(found):
+            n = min(rng.randint(1, 64), len(found) - at)
+            spans.append((at, n, rng.randint(0, 3) if k % 2 else k % 4))
+            at += n
+        rows.append((k, text if parts else None))
+        taken.append((k, sum(n * times for _, n, times in spans), spans))
+        copies = []
+        for turn in (1, 2, 3):
+            on = sorted(i for first, n, times in spans if times >= turn for i in range(first, first + n))
+            out = "".join((text[found[j - 1][1] : found[j][0]] if j - 1 == i else "\n") * (i is not None) + text[slice(*found[j])] for i, j in zip([None, *on], on))
+            if on:
+                copies.append(text if len(on) == len(found) else out)
+        if copies:
+            want[k] = "\n".join(copies)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    mixed = spark.createDataFrame(taken, "id long, taken long, spans array<struct<start:long,words:long,times:long>>")
+    assert {r.doc_id: r.text for r in mixing.realise(df, mixed).collect()} == want
+    assert mixing.realise(df.limit(0), mixed).count() == 0
+
+
 def test_mixing_agrees_however_rows_are_dealt(spark):
     rng = random.Random(9)
     say = lambda n: " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(n))
