@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massif.llm import hmm, licenses, quality
@@ -12,6 +13,7 @@ from massif.llm.packing import pack
 from massif.llm.phrases import remove_repeats
 from massif.llm.rules import judge
 from massif.llm.simhash import near_dedup
+from massif.llm.tandem import periodic_runs
 from massif.runtime import table
 
 
@@ -90,6 +92,28 @@ def op7_packing(spark, sf_dir):
     return out.drop("ids").withColumnRenamed("id", "doc_id")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in which a tenth of the documents, told by the crc32 of their ids, end in words that repeat with a period.
+
+    With h that checksum, g = floor(h / 10), n words and a = g % n, each word i >= a becomes word a + (i - a) % p with
+    p = 1 + floor((n - a) / (3 + g % 8)). Rows with a null id keep their text.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    w = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.filter(F.split("text", "[ \\t-\\r]+"), lambda x: x != "")).alias("w"))
+    g = F.floor(F.col("h") / 10)
+    w = w.withColumns({"n": F.size("w"), "g": g}).withColumn("a", (F.col("g") % F.greatest("n", F.lit(1))).cast("int"))
+    w = w.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    period = F.slice("w", F.col("a") + 1, F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(period, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))), F.lit(1), F.col("n") - F.col("a"))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return w.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark, sf_dir):
+    out = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    return out.drop("starts", "lengths", "periods").withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -108,6 +132,7 @@ QUERIES = {
     "op8_exact_dedup": (op8_exact_dedup, OP8_SQL),
     "op9_license_scan": (op9_license_scan, license_sql()),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
 }
 
 
