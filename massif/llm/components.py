@@ -76,20 +76,21 @@ def _joined(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Dat
 
 
 def linked_components(keys: DataFrame, verify: Verify, scratch: Scratch, refine: Verify | None = None, rounds: int = 2) -> DataFrame:
-    """(node, label) of the nodes of keys (key, node[, mark]) that have links; label is the smallest node that a node reaches.
+    """(node, label) of the nodes of keys (key, node[, mark][, rank]) that have links; label is the smallest node that a node reaches.
 
     verify takes candidate pairs (a, b, their marks ma and mb, ...), repeats included, and returns the distinct ones that are links, in the
-    given order of both. First each node is compared with one representative of each of its buckets, which gives a linear number of
+    given order of both. First each node is compared with one representative of each of its buckets (one of the least rank in the first round), which gives a linear number of
     pairs and joins up dense groups. Then only nodes of one bucket that are still in different components are compared with one
     another, so a large group of near copies makes no pairs. Where such a bucket is full, refine splits it: it takes (key, node, label,
     mark) and returns rows with finer keys, of which two linked nodes of one bucket must still share one. Every link between
     different components is found, so the components are exact.
     """
     keys = keys if "mark" in keys.columns else keys.withColumn("mark", F.lit(0).cast("long"))
-    labels, named = None, keys.select("key", "node", "mark", F.col("node").alias("label"))
+    rank = ["rank"] if "rank" in keys.columns else []
+    labels, named = None, keys.select("key", "node", "mark", F.col("node").alias("label"), *rank)
     for k in range(rounds):
         # one representative a bucket: the least by a hash that differs from round to round
-        pick = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("mark").alias("mb")))
+        pick = F.min(F.struct(*(rank if k == 0 else []), F.xxhash64("node", F.lit(k)).alias("h"), F.col("node").alias("b"), F.col("label").alias("lb"), F.col("mark").alias("mb")))
         rep = named.groupBy("key").agg(pick.alias("pick")).select("key", "pick.b", "pick.lb", "pick.mb")
         pairs = named.select("key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("mark").alias("ma")).join(rep, "key").where("la <> lb")
         found = verify(pairs.drop("key"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from massif.llm import hmm, licenses, quality
 from massif.llm.exact import exact_dedup
+from massif.llm.jaccard import near_components
 from massif.llm.lines import line_dedup
 from massif.llm.mixing import mix
 from massif.llm.packing import pack
@@ -114,6 +115,10 @@ def op11_periodic_runs(spark, sf_dir):
     return out.drop("starts", "lengths", "periods").withColumnRenamed("id", "doc_id")
 
 
+def op12_jaccard_join(spark, sf_dir):
+    return near_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -133,6 +138,7 @@ QUERIES = {
     "op9_license_scan": (op9_license_scan, license_sql()),
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
     "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_jaccard_join": (op12_jaccard_join, None),
 }
 
 
