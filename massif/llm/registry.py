@@ -10,6 +10,7 @@ from massif.llm.exact import exact_dedup
 from massif.llm.jaccard import near_components
 from massif.llm.lines import line_dedup
 from massif.llm.mixing import mix
+from massif.llm.negatives import hard_negatives
 from massif.llm.packing import pack
 from massif.llm.phrases import remove_repeats
 from massif.llm.rules import judge
@@ -119,6 +120,24 @@ def op12_jaccard_join(spark, sf_dir):
     return near_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op13_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score,
+             CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INT) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -139,6 +158,7 @@ QUERIES = {
     "op10_simhash_near_dedup": (op10_simhash_near_dedup, None),
     "op11_periodic_runs": (op11_periodic_runs, None),
     "op12_jaccard_join": (op12_jaccard_join, None),
+    "op13_hard_negatives": (op13_hard_negatives, OP13_SQL),
 }
 
 

@@ -38,5 +38,5 @@ def test_stages_take_an_empty_table(spark, sf_dir):
 
 
 def test_registry_names_every_operator():
-    assert {f"op{n}" for n in range(1, 13)} == {k.split("_")[0] for k in registry.queries() if k.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in registry.queries() if k.startswith("op")}
     assert "pipeline" in registry.queries()
