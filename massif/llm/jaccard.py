@@ -111,12 +111,15 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = scratch.save(made.select("id.id", "id.th", "h1", "h2", "n", "tokens"))
     nodes = docs.where("n > 0").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.min("th").alias("th"), F.first("tokens").alias("tokens"))
     nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()))
+    named = scratch.save(docs.select("id", "h1", "h2", "n"))
+    scratch.drop(docs)
+    docs = named
     size = nodes.select("node", "n")
     p = F.col("n") - _part(F.col("n"), least) + 1
 
     def whole_sets(wanted: DataFrame) -> DataFrame:
         """(node, n, tokens) with the whole sets of the nodes wanted (node, th, h1, h2): one text of each is read again."""
-        texts = source.withColumn("th", F.xxhash64("text")).join(wanted.select("th"), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
+        texts = source.withColumn("th", F.xxhash64("text")).join(_small(wanted.select("th")), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text"))
         sets = texts.mapInArrow(_sketch(width, least, True), "id long, h1 long, h2 long, n long, tokens array<long>")
         return scratch.save(sets.join(wanted.select("node", "h1", "h2"), ["h1", "h2"]).select("node", "n", "tokens"))
 
@@ -159,6 +162,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = met.groupBy("node_a", "node_b", "n_a", "n_b").agg(F.count("*").alias("m"))
     pairs = pairs.where(F.col("m") >= _share(F.col("n_a"), F.col("n_b"), least) - _part(high, least) + 1)
     pairs = scratch.save(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    for done in (shared, hit, keys):
+        scratch.drop(done)
 
     def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """pairs (a, b, ...) whose whole sets are near enough."""
