@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from massif.plans import fdr, features, lfq, library, quality, quant, ranges, scans, scores, sequence, spectra, streaming
+from massif.plans import fdr, features, labelfree, lfq, library, quality, quant, ranges, scans, scores, sequence, spectra, streaming
 
-MODULES = (quant, fdr, spectra, ranges, library, sequence, quality, streaming, lfq, scans, scores, features)
+MODULES = (quant, fdr, spectra, ranges, library, sequence, quality, streaming, lfq, scans, scores, features, labelfree)
 
 
 def queries() -> dict:
