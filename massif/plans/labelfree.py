@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from massif.functions.chemistry import PROTON
 from massif.operators import labelfree as L
+from massif.operators import xics as X
 from massif.runtime import table
 
 STEP = 0.05
@@ -118,6 +119,12 @@ def match_between_runs(spark, sf_dir):
     return out.select("run", "sequence", "decoy", "donor", F.round("mbr_score", 4).alias("mbr_score"), F.round("intensity", 3).alias("intensity"), "apex_scan", "apex_charge", "n_envelopes")
 
 
+def all_xics(spark, sf_dir):
+    rows = X.all_xics(_peaks(_pairs(spark, sf_dir)).select("run", "scan", "rt", "mz", "intensity"), 10.0, 1, 4, factor=0.6)
+    out = X.trace_table(rows)
+    return out.select("run", "seed_scan", F.round("seed_mz", 6).alias("seed_mz"), "apex_scan", F.round("apex_intensity", 4).alias("apex_intensity"), "start_scan", "end_scan", F.round("mean_mz", 6).alias("mean_mz"), "n_peaks")
+
+
 PAIRS_SQL = f"""q AS (SELECT CAST(l_suppkey % 4 AS BIGINT) AS run, CAST(l_partkey AS BIGINT) AS part, sum(l_extendedprice) AS height, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS w FROM lineitem GROUP BY 1, 2),
 r AS (SELECT *, 200 + (part * 731) % 1600 + 3 * run AS apex, 700 + ((part * 370137) % 15000000) / 10000.0::DOUBLE AS mono, 2 + part % 2 AS charge, w % 5 < 3 AS known FROM q),
 p AS (SELECT *, mono * 0.0006::DOUBLE AS lam, CASE WHEN mono * 0.0006::DOUBLE < 1 THEN 0 ELSE 1 END AS top, mono + CASE WHEN mono * 0.0006::DOUBLE < 1 THEN 0 ELSE {L.C13_STEP!r}::DOUBLE END AS peak_mass FROM r),
@@ -179,4 +186,5 @@ QUERIES = {
     "scorer_distributions": (scorer_distributions, SCORER_SQL),
     "label_free_features": (label_free_features, None),
     "match_between_runs": (match_between_runs, None),
+    "all_xics": (all_xics, None),
 }
