@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from massif.functions.chemistry import PROTON
 from massif.operators import labelfree as L
+from massif.operators import normalise as N
 from massif.operators import xics as X
 from massif.runtime import table
 
@@ -125,6 +126,33 @@ def all_xics(spark, sf_dir):
     return out.select("run", "seed_scan", F.round("seed_mz", 6).alias("seed_mz"), "apex_scan", F.round("apex_intensity", 4).alias("apex_intensity"), "start_scan", "end_scan", F.round("mean_mz", 6).alias("mean_mz"), "n_peaks")
 
 
+def _matrix(spark, sf_dir, runs: int) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("P"), F.col("l_partkey")).alias("sequence"), (F.col("l_suppkey") % runs).cast("long").alias("run"), "l_extendedprice")
+    return items.groupBy("sequence", "run").agg((F.sum("l_extendedprice") * (1 + F.col("run") / 10.0)).alias("intensity"))
+
+
+def normalise_replicates(spark, sf_dir):
+    m = _saved(spark, _matrix(spark, sf_dir, 8))
+    r = F.col("run")
+    design = m.select("run").distinct().select("run", (r % 2).alias("condition"), (F.floor(r / 2) % 2).alias("biorep"), F.lit(0).cast("long").alias("fraction"), F.floor(r / 4).alias("techrep"))
+    out, _ = N.normalised(m, _saved(spark, design))
+    return out.select("sequence", "run", F.round("intensity", 4).alias("intensity"))
+
+
+def normalise_fractions(spark, sf_dir):
+    m = _saved(spark, _matrix(spark, sf_dir, 12))
+    r = F.col("run")
+    design = m.select("run").distinct().select("run", (r % 2).alias("condition"), (F.floor(r / 2) % 2).alias("biorep"), F.floor(r / 4).alias("fraction"), F.lit(0).cast("long").alias("techrep"))
+    _, factors = N.normalised(m, _saved(spark, design))
+    return factors.select("run", F.round("factor", 3).alias("factor"))
+
+
+MATRIX_SQL = """m AS (SELECT 'P' || l_partkey AS sequence, CAST(l_suppkey % 8 AS BIGINT) AS run, sum(l_extendedprice) * (1 + (l_suppkey % 8) / 10.0::DOUBLE) AS y FROM lineitem GROUP BY 1, 2, l_suppkey % 8),
+d AS (SELECT *, run % 2 AS c, (run // 2) % 2 AS b, run // 4 AS t FROM m),
+bio AS (SELECT d.c, d.b, 1 / median(d.y / r.y) AS f FROM d JOIN d r ON r.sequence = d.sequence AND r.c = 0 AND r.b = 0 AND r.t = 0 WHERE d.t = 0 AND d.y > 0 AND r.y > 0 GROUP BY 1, 2),
+tech AS (SELECT d.run, 1 / median(d.y / r.y) AS f FROM d JOIN d r ON r.sequence = d.sequence AND r.c = d.c AND r.b = d.b AND r.t = 0 WHERE d.t > 0 AND d.y > 0 AND r.y > 0 GROUP BY 1)
+SELECT sequence, run, round(y * coalesce(bio.f, 1) * coalesce(tech.f, 1), 4) AS intensity FROM d LEFT JOIN bio USING (c, b) LEFT JOIN tech USING (run)"""
+
 PAIRS_SQL = f"""q AS (SELECT CAST(l_suppkey % 4 AS BIGINT) AS run, CAST(l_partkey AS BIGINT) AS part, sum(l_extendedprice) AS height, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS w FROM lineitem GROUP BY 1, 2),
 r AS (SELECT *, 200 + (part * 731) % 1600 + 3 * run AS apex, 700 + ((part * 370137) % 15000000) / 10000.0::DOUBLE AS mono, 2 + part % 2 AS charge, w % 5 < 3 AS known FROM q),
 p AS (SELECT *, mono * 0.0006::DOUBLE AS lam, CASE WHEN mono * 0.0006::DOUBLE < 1 THEN 0 ELSE 1 END AS top, mono + CASE WHEN mono * 0.0006::DOUBLE < 1 THEN 0 ELSE {L.C13_STEP!r}::DOUBLE END AS peak_mass FROM r),
@@ -187,4 +215,6 @@ QUERIES = {
     "label_free_features": (label_free_features, None),
     "match_between_runs": (match_between_runs, None),
     "all_xics": (all_xics, None),
+    "normalise_replicates": (normalise_replicates, f"WITH {MATRIX_SQL}"),
+    "normalise_fractions": (normalise_fractions, None),
 }
