@@ -37,7 +37,7 @@ def _partials(rows: DataFrame, n: int, tried: dict[int, np.ndarray], normal: boo
         for batch in batches:
             sample, ref = (batch.column(i).to_numpy() for i in (0, 1))
             values = batch.column(2).flatten().to_numpy().reshape(-1, n)
-            for s in np.unique(sample).tolist():
+            for s in set(sample.tolist()) & tried.keys():
                 own = np.flatnonzero(sample == s)
                 for a in range(0, len(own), BATCH):
                     v, r = values[own[a : a + BATCH]], np.log(ref[own[a : a + BATCH]])
