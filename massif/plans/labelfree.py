@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from massif.functions.chemistry import PROTON
 from massif.operators import labelfree as L
 from massif.operators import normalise as N
+from massif.operators import signals as G
 from massif.operators import xics as X
 from massif.runtime import table
 
@@ -147,6 +148,40 @@ def normalise_fractions(spark, sf_dir):
     return factors.select("run", F.round("factor", 3).alias("factor"))
 
 
+def _traces(spark, sf_dir) -> DataFrame:
+    """(part, run, height, t, y): the trace of each part's most abundant isotope in each run."""
+    pairs = _pairs(spark, sf_dir)
+    top = _peaks(pairs).join(pairs.select("run", "part", "charge", "top", "height"), ["run", "part"]).where("z = charge AND i = top")
+    lists = top.groupBy("part", "run", "height").agg(F.array_sort(F.collect_list(F.struct("rt", "intensity"))).alias("l"))
+    return lists.select("part", "run", "height", F.col("l.rt").alias("t"), F.col("l.intensity").alias("y"))
+
+
+def _highest(traces: DataFrame) -> DataFrame:
+    top = traces.groupBy("part").agg(F.max("height").alias("_top"))
+    return traces.join(top, "part").withColumn("ref", F.col("height") == F.col("_top")).drop("_top")
+
+
+def trace_alignment(spark, sf_dir):
+    out = G.aligned(_highest(_traces(spark, sf_dir)), ["part"], "t", "y", F.col("ref"), F.col("run"))
+    return out.select("part", "run", F.round("shift", 3).alias("shift"))
+
+
+def shared_peak_regions(spark, sf_dir):
+    out = G.peak_regions(_highest(_traces(spark, sf_dir)), ["part"], "t", "y", F.col("ref"), F.col("run"), least=100.0, window=0.05)
+    return out.select("part", *[F.round(c, 4).alias(c) for c in ("apex", "start", "end")])
+
+
+def spline_resampling(spark, sf_dir):
+    out = _traces(spark, sf_dir).select("part", "run", F.posexplode(G.resampled(F.col("t"), F.col("y"), "linear", 0.02)).alias("place", "p"))
+    return out.select("part", "run", F.col("place").cast("long").alias("place"), F.round("p.x", 6).alias("x"), F.round("p.y", 4).alias("y"))
+
+
+def wavelet_noise(spark, sf_dir):
+    events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("l"))
+    out = events.select("user_id", G.wavelet_noise(F.col("l.value")).alias("n"))
+    return out.select("user_id", F.round("n.noise", 6).alias("noise"), "n.settled", "n.rounds")
+
+
 MATRIX_SQL = """m AS (SELECT 'P' || l_partkey AS sequence, CAST(l_suppkey % 8 AS BIGINT) AS run, sum(l_extendedprice) * (1 + (l_suppkey % 8) / 10.0::DOUBLE) AS y FROM lineitem GROUP BY 1, 2, l_suppkey % 8),
 d AS (SELECT *, run % 2 AS c, (run // 2) % 2 AS b, run // 4 AS t FROM m),
 bio AS (SELECT d.c, d.b, 1 / median(d.y / r.y) AS f FROM d JOIN d r ON r.sequence = d.sequence AND r.c = 0 AND r.b = 0 AND r.t = 0 WHERE d.t = 0 AND d.y > 0 AND r.y > 0 GROUP BY 1, 2),
@@ -207,6 +242,13 @@ b AS (SELECT *, {_R8('e', 0.5)} AS me, ({_R8('e', 0.75)} - ({_R8('e', 0.25)})) /
 SELECT run, n AS n_peaks, round(me, 6) AS ppm_mean, round({_SAFE('(CASE WHEN n > 30 THEN ie ELSE sde END)')}, 6) AS ppm_sd, round(abs(me) + 4 * CASE WHEN n > 30 THEN ie ELSE sde END, 6) AS ppm_reach, round(mg, 6) AS log_mean, round({_SAFE('ig')}, 6) AS log_sd,
 round(ms, 6) AS scans_mean, round({_SAFE('(CASE WHEN n > 30 THEN sds ELSE is_ END)')}, 6) AS scans_sd, round(mc * mc / vc, 6) AS shape, round(mc / vc, 6) AS rate FROM b WHERE n >= 3"""
 
+# steps of 0.02 over points 0.05 apart: sixteen of them, the last one the end
+SPLINE_SQL = f"""WITH {PAIRS_SQL},
+t AS (SELECT pk.part, pk.run, scan * {STEP}::DOUBLE AS x, intensity AS y, scan - p.apex + 3 AS k, min(scan * {STEP}::DOUBLE) OVER (PARTITION BY pk.part, pk.run) AS x0 FROM pk JOIN p ON p.run = pk.run AND p.part = pk.part WHERE pk.z = pk.charge AND pk.i = pk.top),
+g AS (SELECT part, run, x0, unnest(range(16)) AS place FROM (SELECT DISTINCT part, run, x0 FROM t)),
+s AS (SELECT g.part, g.run, place, x0 + place * 0.02::DOUBLE AS x, least((place * 2) // 5, 5) AS k FROM g)
+SELECT s.part, s.run, place, round(s.x, 6) AS x, round(a.y + (b.y - a.y) / (b.x - a.x) * (s.x - a.x), 4) AS y FROM s JOIN t a ON a.part = s.part AND a.run = s.run AND a.k = s.k JOIN t b ON b.part = s.part AND b.run = s.run AND b.k = s.k + 1"""
+
 QUERIES = {
     "envelope_match": (envelope_match, ENVELOPE_SQL),
     "acceptor_search": (acceptor_search, ACCEPTOR_SQL),
@@ -217,4 +259,8 @@ QUERIES = {
     "all_xics": (all_xics, None),
     "normalise_replicates": (normalise_replicates, f"WITH {MATRIX_SQL}"),
     "normalise_fractions": (normalise_fractions, None),
+    "trace_alignment": (trace_alignment, None),
+    "shared_peak_regions": (shared_peak_regions, None),
+    "spline_resampling": (spline_resampling, SPLINE_SQL),
+    "wavelet_noise": (wavelet_noise, None),
 }
