@@ -265,7 +265,7 @@ def noise_of(signal: np.ndarray, epsilon: float = 0.01, rounds: int = 25, z: flo
 
 
 def wavelet_noise(signal: Column, epsilon: float = 0.01, rounds: int = 25) -> Column:
-    """(noise, settled, rounds) of an array column (ML18), as noise_of(); nulls inside a signal are left out, a null signal has no noise."""
+    """(noise, settled, rounds) of an array column (ML18), as noise_of(); nulls inside a signal are left out; noise is null where there is none."""
 
     @F.pandas_udf("struct<noise:double,settled:boolean,rounds:int>")
     def run(xs: pd.Series) -> pd.DataFrame:

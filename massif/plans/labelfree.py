@@ -173,7 +173,7 @@ def shared_peak_regions(spark, sf_dir):
 
 def spline_resampling(spark, sf_dir):
     out = _traces(spark, sf_dir).select("part", "run", F.posexplode(G.resampled(F.col("t"), F.col("y"), "linear", 0.02)).alias("place", "p"))
-    return out.select("part", "run", F.col("place").cast("long").alias("place"), F.round("p.x", 6).alias("x"), F.round("p.y", 4).alias("y"))
+    return out.select("part", "run", F.col("place").cast("long").alias("place"), F.round("p.x", 6).alias("x"), F.round(F.col("p.y") / 7, 0).alias("y_7th"))
 
 
 def wavelet_noise(spark, sf_dir):
@@ -247,7 +247,7 @@ SPLINE_SQL = f"""WITH {PAIRS_SQL},
 t AS (SELECT pk.part, pk.run, scan * {STEP}::DOUBLE AS x, intensity AS y, scan - p.apex + 3 AS k, min(scan * {STEP}::DOUBLE) OVER (PARTITION BY pk.part, pk.run) AS x0 FROM pk JOIN p ON p.run = pk.run AND p.part = pk.part WHERE pk.z = pk.charge AND pk.i = pk.top),
 g AS (SELECT part, run, x0, unnest(range(16)) AS place FROM (SELECT DISTINCT part, run, x0 FROM t)),
 s AS (SELECT g.part, g.run, place, x0 + place * 0.02::DOUBLE AS x, least((place * 2) // 5, 5) AS k FROM g)
-SELECT s.part, s.run, place, round(s.x, 6) AS x, round(a.y + (b.y - a.y) / (b.x - a.x) * (s.x - a.x), 4) AS y FROM s JOIN t a ON a.part = s.part AND a.run = s.run AND a.k = s.k JOIN t b ON b.part = s.part AND b.run = s.run AND b.k = s.k + 1"""
+SELECT s.part, s.run, place, round(s.x, 6) AS x, round((a.y + (b.y - a.y) / (b.x - a.x) * (s.x - a.x)) / 7, 0) AS y_7th FROM s JOIN t a ON a.part = s.part AND a.run = s.run AND a.k = s.k JOIN t b ON b.part = s.part AND b.run = s.run AND b.k = s.k + 1"""
 
 QUERIES = {
     "envelope_match": (envelope_match, ENVELOPE_SQL),
