@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massif.operators.graph import components
@@ -18,6 +18,7 @@ from massif.runtime import Scratch
 FULL = 64
 
 Verify = Callable[[DataFrame], DataFrame]
+Near = Callable[[Column, Column], Column]
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -52,6 +53,14 @@ def _met(x: DataFrame, y: DataFrame, which: str) -> DataFrame:
     return x.join(y, "key").where(which).select("a", "la", "ma", "b", "lb", "mb")
 
 
+def _inside(small: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, la, ma, b, lb, mb) of rows of one open bucket, of at most FULL rows, that are near: they are compared inside the bucket's list, each once."""
+    lists = small.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.collect_list(F.struct("label", "node", "mark")).alias("rows")).where("lo <> hi")
+    pair = lambda x, y: F.struct(x.node.alias("a"), x.label.alias("la"), x.mark.alias("ma"), y.node.alias("b"), y.label.alias("lb"), y.mark.alias("mb"))
+    met = F.transform("rows", lambda x: F.transform(F.filter("rows", lambda y: (x.label < y.label) & near(x, y)), lambda y: pair(x, y)))
+    return lists.select(F.explode(F.flatten(met)).alias("p")).select("p.*")
+
+
 def _stars(found: DataFrame) -> DataFrame:
     """The links (a: node, b: representative) with each node linked to its least representative alone, and that to the node's others.
 
@@ -75,14 +84,15 @@ def _joined(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Dat
     return scratch.save(old.unionAll(new.join(labels.select("node"), "node", "left_anti")))
 
 
-def linked_components(keys: DataFrame, verify: Verify, scratch: Scratch, refine: Verify | None = None, rounds: int = 2) -> DataFrame:
+def linked_components(keys: DataFrame, verify: Verify, scratch: Scratch, refine: Verify | None = None, rounds: int = 2, near: Near | None = None) -> DataFrame:
     """(node, label) of the nodes of keys (key, node[, mark][, rank]) that have links; label is the smallest node that a node reaches.
 
     verify takes candidate pairs (a, b, their marks ma and mb, ...), repeats included, and returns the distinct ones that are links, in the
     given order of both. First each node is compared with one representative of each of its buckets (one of the least rank in the first round), which gives a linear number of
     pairs and joins up dense groups. Then only nodes of one bucket that are still in different components are compared with one
     another, so a large group of near copies makes no pairs. Where such a bucket is full, refine splits it: it takes (key, node, label,
-    mark) and returns rows with finer keys, of which two linked nodes of one bucket must still share one. Every link between
+    mark) and returns rows with finer keys, of which two linked nodes of one bucket must still share one; a bucket that is not full is compared inside
+    one list, where it still holds several components: near tells of two rows (node, label, mark) whether they may link. Every link between
     different components is found, so the components are exact.
     """
     keys = keys if "mark" in keys.columns else keys.withColumn("mark", F.lit(0).cast("long"))
@@ -98,15 +108,14 @@ def linked_components(keys: DataFrame, verify: Verify, scratch: Scratch, refine:
         labels = _joined(labels, links, scratch)
         named = keys.join(labels, "node", "left").select("key", "node", "mark", F.coalesce("label", "node").alias("label"))
     if refine:
-        # what a bucket that is not full can make is bounded for each of its rows, so its rows meet without being written anew
         many = scratch.save(bucket_labels(named).where(F.col("n") > FULL))
-        small = named.join(many.select("key"), "key", "left_anti")
-        halves = [(small, small, "la < lb")]
+        small = named.join(many.select("key"), "key", "left_anti").select("key", "node", "label", "mark")
+        met = [_inside(small, near or (lambda x, y: F.lit(True)))]
         if not many.isEmpty():
             full = named.join(many.where("lo <> hi").select("key"), "key", "left_semi").select("key", "node", "label", "mark")
-            halves.append(_sides(scratch.save(open_buckets(refine(full).distinct()))))
+            met.append(_met(*_sides(scratch.save(open_buckets(refine(full).distinct())))))
     else:
-        halves = [_sides(scratch.save(open_buckets(named)))]
-    pairs = reduce(DataFrame.unionAll, [_met(*x) for x in halves])
+        met = [_met(*_sides(scratch.save(open_buckets(named))))]
+    pairs = reduce(DataFrame.unionAll, met)
     rest = verify(pairs).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()
     return _joined(labels, rest, scratch)

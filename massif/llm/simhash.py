@@ -163,7 +163,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     keys = scratch.save(nodes.select("fp").mapInArrow(_keys, "key long, node long"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
     split = lambda full: full.mapInArrow(_split, "key long, node long, label long, mark long")
-    labels = scratch.save(linked_components(keys, lambda pairs: pairs.where(near).distinct(), scratch, split))
+    close = lambda x, y: F.bit_count(x.node.bitwiseXOR(y.node)) <= MAX_BITS
+    labels = scratch.save(linked_components(keys, lambda pairs: pairs.where(near).distinct(), scratch, split, near=close))
     scratch.drop(keys)
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp")
     heads = named.groupBy("label").agg(F.min("head").alias("first"))
