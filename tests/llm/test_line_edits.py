@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from massif.llm import registry
+from pyspark.sql import functions as F
+
+from massif.llm import lines, registry
 
 
 def distance(a, b):
@@ -46,3 +48,23 @@ def test_line_query_against_brute_force(spark, tmp_path):
                 label = [new if x == old else x for x in label]
     want = sorted((k // 5, k % 5, m // 5, m % 5, k == m) for k, m in enumerate(label))
     assert sorted(tuple(r) for r in registry.op3_line_dedup(spark, str(tmp_path)).collect()) == want
+
+
+def test_an_edit_changes_few_parities(spark):
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(300):
+        a = [rng.choice("abc é🙂") for _ in range(rng.randint(0, 30))]
+        b = list(a)
+        k = rng.randrange(len(b) + 1)
+        if b and rng.random() < 0.6:
+            k = min(k, len(b) - 1)
+            b[k : k + 1] = rng.choice([[], ["z"]])
+        else:
+            b.insert(k, rng.choice("ab "))
+        pairs.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(pairs, "x string, y string").select("x", "y", lines.parities(F.col("x")).alias("m"), lines.parities(F.col("y")).alias("n"))
+    mask = (1 << 64) - 1
+    assert all(((r.m ^ r.n) & mask).bit_count() <= lines.CHANGED for r in df.collect())
+    swapped = spark.createDataFrame([("north wind east rain over the hill", "east rain north wind over hill the")], "x string, y string")
+    assert swapped.select(F.bit_count(lines.parities(F.col("x")).bitwiseXOR(lines.parities(F.col("y"))))).first()[0] > 2
