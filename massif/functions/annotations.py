@@ -10,15 +10,40 @@ from massif.functions.chemistry import ISOTOPES, parsed
 # Product types and the atoms that their neutral mass has over the sum of the residues.
 PRODUCT_ATOMS = {
     "a": "C-1O-1", "aStar": "C-1O-1N-1H-3", "aDegree": "C-1O-2H-2", "b": "", "bAmmoniaLoss": "N-1H-3", "bWaterLoss": "H-2O-1", "c": "N1H3", "x": "C1O2", "y": "H2O1",
-    "yAmmoniaLoss": "O1H-1N-1", "yWaterLoss": "", "zPlusOne": "O1H1N-1", "M": "", "D": "", "Y": "",
+    "yAmmoniaLoss": "O1H-1N-1", "yWaterLoss": "", "zDot": "O1N-1H-1", "zPlusOne": "O1H1N-1", "M": "", "D": "", "Y": "", "Ycore": "",
 }
+# Fixed value: the masses of an electron and a proton, which a zDot product has besides its atoms.
+ELECTRON, PROTON = 0.00054857990946, 1.007276466879
+# Product types that are known and have no shift of their own (nucleic acids).
+UNSHIFTED = tuple("aWaterLoss aBaseLoss bBaseLoss cWaterLoss cBaseLoss d dWaterLoss dBaseLoss w wWaterLoss wBaseLoss xWaterLoss xBaseLoss yBaseLoss z zWaterLoss zBaseLoss".split())
+# Product types of each way of dissociation, those that hold the first residue and those that hold the last, and the losses that may be looked for besides.
+DISSOCIATION = {
+    "Unknown": (), "CID": ("b", "y"), "LowCID": ("b", "y", "aStar", "bAmmoniaLoss", "yAmmoniaLoss", "aDegree", "bWaterLoss", "yWaterLoss"), "IRMPD": ("b", "y"), "ECD": ("c", "zDot"), "PQD": (), "ETD": ("c", "zDot"),
+    "HCD": ("b", "y"), "AnyActivationType": ("b", "y"), "EThcD": ("b", "y", "c", "zDot"), "Custom": (), "ISCID": (),
+}
+FIRST = ("a", "aDegree", "aStar", "b", "bWaterLoss", "bAmmoniaLoss", "c")
+LAST = ("x", "y", "yWaterLoss", "yAmmoniaLoss", "zDot", "zPlusOne")
+LOSSES = ("bWaterLoss", "bAmmoniaLoss", "yWaterLoss", "yAmmoniaLoss")
+WITH_LOSSES = ("CID", "IRMPD", "HCD", "AnyActivationType", "EThcD")
+
+# Fixed value: a substitution stands in brackets after the residue, as the number of changed nucleotides, the words "nucleotide substitution:", and "X->Y on Z".
 SUBSTITUTION = "\\[\\d+\\+?\\s*nucleotide substitution:\\s*([A-Z])->([A-Z]) on ([A-Z])\\]"
 
 
+SHIFTS = {k: float(sum(n * ISOTOPES[e][0][0] for e, n in parsed(v).items())) + (ELECTRON + PROTON if k == "zDot" else 0.0) for k, v in PRODUCT_ATOMS.items()} | dict.fromkeys(UNSHIFTED, 0.0)
+
+
 def product_shift(product: Column) -> Column:
-    """Neutral mass shift of a product type (FN53); null for an unknown one."""
-    shifts = {k: float(sum(n * ISOTOPES[e][0][0] for e, n in parsed(v).items())) for k, v in PRODUCT_ATOMS.items()}
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in shifts.items() for x in pair]), product)
+    """Neutral mass shift of a product type (FN53); an unknown one is an error, null has none."""
+    known = F.try_element_at(F.create_map(*[F.lit(x) for pair in SHIFTS.items() for x in pair]), product)
+    return F.when(product.isNotNull() & known.isNull(), F.raise_error(F.concat(F.lit("unknown product type: "), product)).cast("double")).otherwise(known)
+
+
+def product_types(dissociation: str, terminus: str = "both", losses: bool = False) -> tuple[str, ...]:
+    """Product types of a way of dissociation that hold the first residue, the last one, or both kinds, with those of lost water and ammonia if asked for (FN54)."""
+    ends = {"first": FIRST, "last": LAST, "both": FIRST + LAST, "none": ()}[terminus]
+    own = DISSOCIATION[dissociation] + (LOSSES if losses and dissociation in WITH_LOSSES else ())
+    return tuple(k for k in ends if k in own)
 
 
 def essential_sequence(full: Column, kinds: list[str]) -> Column:

@@ -42,10 +42,10 @@ def features_in(features: DataFrame, mz: tuple[float, float], rt: tuple[float, f
     return features.where(F.col("mz").between(*mz) & F.col("charge").between(*charges) & (F.col("rt_end") >= rt[0]) & (F.col("rt_start") <= rt[1]))
 
 
-def merged_groups(members: DataFrame, group: str, sets: list[str], scores: str) -> DataFrame:
-    """Groups of one name as one: the union of each set, a name made of the first set's members, and the best score (AGG17)."""
+def merged_groups(members: DataFrame, group: str, sets: list[str], scores: str, order: str) -> DataFrame:
+    """Groups of one name as one: the union of each set, a name made of the first set's members, and the score of the group that is first by `order` (AGG17)."""
     unions = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in sets]
-    out = members.groupBy(group).agg(*unions, F.max(scores).alias(scores))
+    out = members.groupBy(group).agg(*unions, F.min_by(scores, order).alias(scores))
     return out.withColumn("name", F.array_join(F.transform(sets[0], lambda x: x.cast("string")), "|"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +24,35 @@ def ppm_join(left: DataFrame, right: DataFrame, x: str, y: str, ppm: float, on:
     return a.join(b, keys).where(F.abs(F.col(x) - F.col(y)) / F.col(y) * 1e6 <= ppm).drop("_bin")
 
 
+#: Grids of up to this many points are sent to all tasks.
+SMALL_GRID = 100_000
+
+
+def _searched(points: np.ndarray, mode: str):
+    """The function from values to the nearest of the sorted points."""
+
+    @F.pandas_udf("double")
+    def find(x: pd.Series) -> pd.Series:
+        v = x.to_numpy(float)
+        if not len(points):
+            return pd.Series(np.full(len(v), None), dtype=object)
+        low = points[np.clip(np.searchsorted(points, v, side="right") - 1, 0, len(points) - 1)]
+        high = points[np.clip(np.searchsorted(points, v, side="left"), 0, len(points) - 1)]
+        out = {"previous": low, "next": high, "closest": np.where(v - low < high - v, low, high)}[mode]
+        return pd.Series(out).where(~np.isnan(v), None)
+
+    return find
+
+
 def nearest(values: DataFrame, value: str, grid: DataFrame, point: str, mode: str = "closest") -> DataFrame:
     """Each value's nearest grid point: the closest (at a tie the higher), the previous (at or below) or the next (at or above); beyond the ends the end.
 
-    Grid points and values are ordered together, over ranges of the axis, and the last point before each value is carried along; no
-    task holds the grid. Null values have no point.
+    A grid of up to SMALL_GRID points goes to all tasks and is searched there. For a larger one, points and values are ordered together, over ranges of the axis, and
+    the last point before each value is carried along; no task holds the grid. Null values have no point; without a grid no value has one.
     """
+    few = [r[0] for r in grid.select(F.col(point).cast("double")).where(F.col(point).isNotNull()).distinct().limit(SMALL_GRID + 1).collect()]
+    if len(few) <= SMALL_GRID:
+        return values.withColumn("nearest", _searched(np.sort(np.array(few, dtype=float)), mode)(F.col(value).cast("double")))
     own = values.select("*", F.col(value).cast("double").alias("_x"), F.lit(None).cast("double").alias("_p"))
     points = grid.select(F.col(point).cast("double").alias("_x")).withColumn("_p", F.col("_x"))
     both = own.unionByName(points, allowMissingColumns=True)
@@ -45,7 +70,7 @@ def nearest(values: DataFrame, value: str, grid: DataFrame, point: str, mode: st
 
 
 def smooth_trace(df: DataFrame, keys: list[str], index: str, intensity: str, points: int) -> DataFrame:
-    """df with `weighted` (each point of the window weighs by its own intensity) and `plain` (the mean); points too near an end for a whole window stay."""
+    """df with `weighted` (each point of the window weighs by its own intensity) and `plain` (the mean); points too near an end for a whole window stay; a window of zeros has no weighted mean, which is NaN."""
     half = points // 2
     whole = Window.partitionBy(*keys)
     order = whole.orderBy(index)
@@ -53,7 +78,7 @@ def smooth_trace(df: DataFrame, keys: list[str], index: str, intensity: str, poi
     place, n = F.row_number().over(order) - 1, F.count("*").over(whole)
     inside = (place >= half) & (place < n - half)
     y = F.col(intensity)
-    weighted = F.sum(y * y).over(near) / F.sum(y).over(near)
+    weighted = F.coalesce(F.try_divide(F.sum(y * y).over(near), F.sum(y).over(near)), F.lit(float("nan")))
     return df.select("*", F.when(inside, weighted).otherwise(y).alias("weighted"), F.when(inside, F.avg(y).over(near)).otherwise(y).alias("plain"))
 
 

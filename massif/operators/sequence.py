@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massif.functions.annotations import FIRST, LAST, SHIFTS
 from massif.functions.chemistry import PROTON, RESIDUES, WATER
 
 # Product types as shifts from the sum of the residues of the fragment.
-PREFIX_SHIFT = {"a": -27.99491462, "b": 0.0, "c": 17.02654910}
-SUFFIX_SHIFT = {"x": 43.98982924, "y": WATER, "zDot": 1.99184063}
+PREFIX_SHIFT = {k: SHIFTS[k] for k in FIRST}
+SUFFIX_SHIFT = {k: SHIFTS[k] for k in LAST}
 
 
 def cleavage_sites(seq: Column, cut_after: str, prevented_by: str = "") -> Column:

@@ -9,7 +9,7 @@ from massif.functions import chemistry as C
 from massif.operators import features as X
 from massif.operators import ranges as R
 from massif.operators import sequence as S
-from massif.plans.sequence import SEQ_SQL, _sequences
+from massif.plans.sequence import MASS_SQL, SEQ_SQL, _sequences
 from massif.runtime import table
 
 
@@ -56,8 +56,8 @@ def feature_filter(spark, sf_dir):
 
 
 def group_merge(spark, sf_dir):
-    m = table(spark, sf_dir, "part").select("p_brand", F.array("p_size", F.col("p_size") % 7).alias("sizes"), F.array("p_type").alias("kinds"), F.col("p_retailprice").alias("score"))
-    out = X.merged_groups(m, "p_brand", ["sizes", "kinds"], "score")
+    m = table(spark, sf_dir, "part").select("p_brand", F.array("p_size", F.col("p_size") % 7).alias("sizes"), F.array("p_type").alias("kinds"), F.col("p_retailprice").alias("score"), "p_partkey")
+    out = X.merged_groups(m, "p_brand", ["sizes", "kinds"], "score", "p_partkey")
     return out.select("p_brand", "name", F.array_join("kinds", ",").alias("kinds"), "score")
 
 
@@ -72,7 +72,7 @@ def similarity_prefilter(spark, sf_dir):
 
 
 def trace_smoothing(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") + 1).alias("value"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("user_id") % 10 == 0, 0.0).otherwise(F.col("value")).alias("value"))
     out = R.smooth_trace(e, ["user_id"], "event_id", "value", 5)
     return out.select("event_id", F.round("weighted", 5).alias("weighted"), F.round("plain", 5).alias("plain"))
 
@@ -108,9 +108,25 @@ def formula_arithmetic(spark, sf_dir):
     return p.select("p_partkey", text(C.combined(a, b)).alias("added"), text(C.combined(a, b, -1)).alias("removed"), text(C.combined(a, a)).alias("doubled"), C.contains(a, b).alias("contains"))
 
 
+PRODUCTS = list(A.SHIFTS)
+
+
 def product_shifts(spark, sf_dir):
-    names = spark.createDataFrame([(k,) for k in A.PRODUCT_ATOMS], "product string")
-    return names.select("product", F.round(A.product_shift(F.col("product")), 5).alias("shift"))
+    kinds = F.array(*map(F.lit, PRODUCTS))
+    ions = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(kinds, ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % len(PRODUCTS) + 1).cast("int")).alias("product"))
+    return ions.select("l_orderkey", "l_linenumber", "product", F.round(A.product_shift(F.col("product")), 5).alias("shift"))
+
+
+WAYS = ("CID", "LowCID", "ETD", "EThcD")
+
+
+def dissociation_fragments(spark, sf_dir):
+    s, out = _sequences(spark, sf_dir), None
+    for k, way in enumerate(WAYS):
+        types = [A.product_types(way, end, losses=True) for end in ("first", "last")]
+        own = S.fragments(s.where(F.col("p_partkey") % len(WAYS) == k), "seq", *types).select("p_partkey", "ion", F.col("number").cast("long"), F.round("mass", 4).alias("mass"))
+        out = own if out is None else out.unionAll(own)
+    return out
 
 
 def sequence_texts(spark, sf_dir):
@@ -162,7 +178,7 @@ SELECT f AS feature, i AS apex_intensity, round(s, 2) AS integrated, n AS n_char
     "group_merge": (
         group_merge,
         """WITH s AS (SELECT p_brand, p_size AS z FROM part UNION SELECT p_brand, p_size % 7 FROM part), n AS (SELECT p_brand, string_agg(z::VARCHAR, '|' ORDER BY z) AS name FROM s GROUP BY 1)
-SELECT p_brand, name, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS kinds, max(p_retailprice) AS score FROM part JOIN n USING (p_brand) GROUP BY 1, 2""",
+SELECT p_brand, name, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS kinds, arg_min(p_retailprice, p_partkey) AS score FROM part JOIN n USING (p_brand) GROUP BY 1, 2""",
     ),
     "isobaric_groups": (
         isobaric_groups,
@@ -175,7 +191,8 @@ FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1""",
     ),
     "trace_smoothing": (
         trace_smoothing,
-        """WITH w AS (SELECT event_id, value + 1 AS v, row_number() OVER k - 1 AS p, count(*) OVER (PARTITION BY user_id) AS n, sum((value + 1) * (value + 1)) OVER r / sum(value + 1) OVER r AS q, avg(value + 1) OVER r AS a FROM events
+        """WITH e AS (SELECT event_id, user_id, CASE WHEN user_id % 10 = 0 THEN 0::DOUBLE ELSE value END AS v FROM events),
+w AS (SELECT event_id, v, row_number() OVER k - 1 AS p, count(*) OVER (PARTITION BY user_id) AS n, CASE WHEN sum(v) OVER r = 0 THEN 'nan'::DOUBLE ELSE sum(v * v) OVER r / sum(v) OVER r END AS q, avg(v) OVER r AS a FROM e
 WINDOW k AS (PARTITION BY user_id ORDER BY event_id), r AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
 SELECT event_id, round(CASE WHEN p >= 2 AND p < n - 2 THEN q ELSE v END, 5) AS weighted, round(CASE WHEN p >= 2 AND p < n - 2 THEN a ELSE v END, 5) AS plain FROM w""",
     ),
@@ -217,10 +234,24 @@ FROM d WHERE en - st + 1 >= 2""",
     ),
     "product_shifts": (
         product_shifts,
-        """WITH m AS (SELECT 12.0::DOUBLE AS c, 1.00782503223::DOUBLE AS h, 14.00307400443::DOUBLE AS n, 15.99491461957::DOUBLE AS o),
+        f"""WITH m AS (SELECT 12.0::DOUBLE AS c, 1.00782503223::DOUBLE AS h, 14.00307400443::DOUBLE AS n, 15.99491461957::DOUBLE AS o),
 x(product, nc, nh, nn, no) AS (VALUES ('a', -1, 0, 0, -1), ('aStar', -1, -3, -1, -1), ('aDegree', -1, -2, 0, -2), ('b', 0, 0, 0, 0), ('bAmmoniaLoss', 0, -3, -1, 0), ('bWaterLoss', 0, -2, 0, -1), ('c', 0, 3, 1, 0), ('x', 1, 0, 0, 2),
-('y', 0, 2, 0, 1), ('yAmmoniaLoss', 0, -1, -1, 1), ('yWaterLoss', 0, 0, 0, 0), ('zPlusOne', 0, 1, -1, 1), ('M', 0, 0, 0, 0), ('D', 0, 0, 0, 0), ('Y', 0, 0, 0, 0))
-SELECT product, round(nc * c + nh * h + nn * n + no * o, 5) AS shift FROM x, m""",
+('y', 0, 2, 0, 1), ('yAmmoniaLoss', 0, -1, -1, 1), ('yWaterLoss', 0, 0, 0, 0), ('zDot', 0, -1, -1, 1), ('zPlusOne', 0, 1, -1, 1)),
+y AS (SELECT product, nc * c + nh * h + nn * n + no * o + CASE WHEN product = 'zDot' THEN 0.00054857990946::DOUBLE + 1.007276466879::DOUBLE ELSE 0 END AS shift FROM x, m),
+l AS (SELECT l_orderkey, l_linenumber, list_extract({PRODUCTS!r}, CAST((l_orderkey * 7 + l_linenumber) % {len(PRODUCTS)} + 1 AS INT)) AS product FROM lineitem)
+SELECT l_orderkey, l_linenumber, product, round(coalesce(shift, 0), 5) AS shift FROM l LEFT JOIN y USING (product)""",
+    ),
+    "dissociation_fragments": (
+        dissociation_fragments,
+        f"""WITH {SEQ_SQL}, x AS (SELECT p_partkey, length(seq) AS n, seq, unnest(range(1, length(seq) + 1)) AS i FROM s), m AS (SELECT p_partkey, n, i, substr(seq, i, 1) AS r, {MASS_SQL}[substr(seq, i, 1)] AS m FROM x),
+b AS (SELECT p_partkey, n, i, r, sum(m) OVER w AS up, count(*) FILTER (WHERE m IS NULL) OVER w AS bu, sum(m) OVER v AS down, count(*) FILTER (WHERE m IS NULL) OVER v AS bd FROM m
+  WINDOW w AS (PARTITION BY p_partkey ORDER BY i), v AS (PARTITION BY p_partkey ORDER BY i DESC)),
+t(way, ion, first, shift) AS (VALUES (0, 'b', true, 0.0::DOUBLE), (0, 'bWaterLoss', true, -18.01056468403), (0, 'bAmmoniaLoss', true, -17.02654910112), (0, 'y', false, 18.01056468403), (0, 'yWaterLoss', false, 0), (0, 'yAmmoniaLoss', false, 0.98401558291),
+  (1, 'b', true, 0), (1, 'bWaterLoss', true, -18.01056468403), (1, 'bAmmoniaLoss', true, -17.02654910112), (1, 'y', false, 18.01056468403), (1, 'yWaterLoss', false, 0), (1, 'yAmmoniaLoss', false, 0.98401558291), (1, 'aStar', true, -45.02146372), (1, 'aDegree', true, -46.0054793036),
+  (2, 'c', true, 17.02654910112), (2, 'zDot', false, 1.99184063), (3, 'b', true, 0), (3, 'bWaterLoss', true, -18.01056468403), (3, 'bAmmoniaLoss', true, -17.02654910112), (3, 'y', false, 18.01056468403), (3, 'yWaterLoss', false, 0), (3, 'yAmmoniaLoss', false, 0.98401558291),
+  (3, 'c', true, 17.02654910112), (3, 'zDot', false, 1.99184063))
+SELECT p_partkey, ion, CASE WHEN first THEN i ELSE n - i + 1 END AS number, round(CASE WHEN first THEN up ELSE down END + shift, 4) AS mass FROM b JOIN t ON way = p_partkey % 4
+WHERE CASE WHEN first THEN i < n AND bu = 0 ELSE i > 1 AND bd = 0 AND NOT (ion = 'zDot' AND r = 'P') END""",
     ),
     "sequence_texts": (
         sequence_texts,
