@@ -137,6 +137,20 @@ def top_by_quantile(peaks: DataFrame, scan: str, intensity: str, n: int) -> Data
     return peaks.withColumn("_r", F.rank().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def most_intense(peaks: DataFrame, scan: str, intensity: str, n: int) -> DataFrame:
+    """Peaks at or above the scan's quantile 1 - n / its size, between neighbouring values by the median-unbiased rule (SORT1): ties may exceed n, and short scans stay whole."""
+    values = F.array_sort(F.collect_list(F.col(intensity).cast("double")))
+    size = F.size("_v")
+    share = F.greatest(F.lit(0.0), 1 - n / size)
+    at = (size + 1 / 3) * share + 1 / 3
+    k = F.floor(at).cast("int")
+    low = F.try_element_at("_v", F.greatest(k, F.lit(1)))
+    between = low + (at - k) * (F.try_element_at("_v", F.least(k + 1, size)) - low)
+    cut = F.when((share == 0) | (size == 1) | (k < 1), F.try_element_at("_v", F.lit(1))).when(k >= size, F.try_element_at("_v", size)).otherwise(between)
+    cuts = peaks.groupBy(scan).agg(values.alias("_v")).select(scan, cut.alias("_cut"))
+    return peaks.join(cuts, scan).where(F.col(intensity) >= F.col("_cut")).drop("_cut")
+
+
 # ---- text and number helpers ----
 
 

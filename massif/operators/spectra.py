@@ -124,6 +124,59 @@ def top_k_per_window(peaks: DataFrame, scan: str, mz: str, intensity: str, width
     return peaks.withColumn("window", F.ceil(F.col(mz) / width).cast("long")).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k).drop("_rank")
 
 
+def filter_windows(peaks: DataFrame, scan: str, mz: str, intensity: str, lo: float, hi: float, ratio: float | None = None, width: float | None = None, n_windows: int | None = None, k: int | None = None, normalise: bool = False) -> DataFrame:
+    """Peaks of lo to hi that stay, by m/z windows of each scan (PF9).
+
+    Peaks of at most `ratio` times their scan's largest go, and those without intensity. Windows are as wide as `width` (at most hi - lo), at multiples of it, the first from lo on; or n_windows equal ones
+    from lo to hi; or a single one. A peak on an edge belongs to the lower window. In each the k most intense peaks stay (ties: lower m/z), scaled to a largest of 50 if normalise.
+    """
+    x, y = F.col(mz), F.col(intensity)
+    top = peaks.groupBy(scan).agg(F.max(intensity).alias("_top"))
+    good = peaks.join(top, scan).where((x >= lo) & (x <= hi) & (y > 1e-9))
+    if ratio is not None:
+        good = good.where(y > ratio * F.col("_top"))
+    if width:
+        step = min(hi - lo, width)
+        number = F.greatest(F.ceil(x / step), F.lit(int(lo // step) + 1))
+    elif n_windows and n_windows > 1:
+        number = F.greatest(F.ceil((x - lo) / ((hi - lo) / n_windows)), F.lit(1))
+    else:
+        number = F.lit(1)
+    own = good.drop("_top").withColumn("window", number.cast("long"))
+    w = Window.partitionBy(scan, "window")
+    if normalise:
+        own = own.withColumn("_max", F.max(intensity).over(w))
+    if k is not None:
+        own = own.withColumn("_rank", F.row_number().over(w.orderBy(F.desc(intensity), mz))).where(F.col("_rank") <= k).drop("_rank")
+    if normalise:
+        own = own.withColumn(intensity, y / F.col("_max") * 50).drop("_max")
+    return own
+
+
+def xcorr_spectrum(peaks: DataFrame, scan: str, mz: str, intensity: str, precursor: str, lo: float, hi: float, discard: float = 1.5, bin_width: float = 1.0005079, ratio: float = 0.05, reach: int = 75) -> DataFrame:
+    """(scan, mz, value) of each scan's unit-mass bins from lo to hi, made ready for a cross-correlation (PF10).
+
+    A bin has the largest square root of its peaks, but for those between the bin numbers of the precursor less and plus `discard`. Bins of at most `ratio` times the largest are zero, the others scaled to a largest of 50 in windows a tenth of the range
+    wide, and the mean of the bins within reach on either side, as far as the range goes, is taken off. Values above 1e-4 stay, at their bin's m/z.
+    """
+    last = round((hi - lo) / bin_width)
+    base = round(lo / bin_width) * bin_width
+    number = F.rint((F.col(mz) - lo) / bin_width).cast("long")
+    edge = lambda d: F.rint((F.col(precursor) + d) / bin_width)
+    inside = number.between(0, last) & ((F.col(mz) <= edge(-discard)) | (F.col(mz) >= edge(discard))) & (F.col(intensity) >= 0)
+    bins = peaks.where(inside).groupBy(scan, number.alias("bin")).agg(F.max(F.sqrt(intensity)).alias("v"))
+    top = bins.groupBy(scan).agg(F.max("v").alias("_top"))
+    at = F.col("bin") * bin_width + base
+    high = last * bin_width + base
+    step = min(high - base, float(round((hi - lo) / 10)))
+    window = F.greatest(F.ceil(at / step), F.lit(int(base // step) + 1))
+    strong = bins.join(top, scan).where((F.col("v") > ratio * F.col("_top")) & (F.col("v") > 0)).withColumn("_w", window)
+    scaled = strong.withColumn("v", F.col("v") / F.max("v").over(Window.partitionBy(scan, "_w")) * 50)
+    near = Window.partitionBy(scan).orderBy("bin").rangeBetween(-reach, reach)
+    count = F.least(F.col("bin") + reach, F.lit(last)) - F.greatest(F.col("bin") - reach, F.lit(0)) + 1
+    return scaled.withColumn("value", F.col("v") - F.sum("v").over(near) / count).where("value > 1e-4").select(scan, at.alias("mz"), "value")
+
+
 def xcorr_preprocess(peaks: DataFrame, scan: str, mz: str, intensity: str, bin_width: float = 1.0005079, reach: int = 75) -> DataFrame:
     """(scan, bin, value): largest square root of each unit-mass bin less the mean of the bins within reach (absent bins are zero), above 1e-4 (PF10)."""
     bins = peaks.groupBy(scan, F.round(F.col(mz) / bin_width).cast("long").alias("bin")).agg(F.max(F.sqrt(intensity)).alias("v"))

@@ -73,6 +73,10 @@ def top_n_peaks(spark, sf_dir):
     return S.top_by_quantile(_scans(spark, sf_dir).select("user_id", "event_id", F.floor("value").alias("value")), "user_id", "value", 5)
 
 
+def most_intense_peaks(spark, sf_dir):
+    return S.most_intense(_scans(spark, sf_dir).select("user_id", "event_id", "value"), "user_id", "value", 7)
+
+
 def sequence_checks(spark, sf_dir):
     s = _sequences(spark, sf_dir)
     return s.select("p_partkey", S.is_sequence(F.col("seq")).alias("valid"), S.sanitised(F.col("seq")).alias("clean"), F.size(S.all_places(F.col("seq"), "L")).cast("long").alias("n_l"))
@@ -175,6 +179,12 @@ SELECT a.user_id, apex, (SELECT min(event_id) FROM l2 WHERE l2.user_id = a.user_
         top_n_peaks,
         "SELECT user_id, event_id, value FROM (SELECT user_id, event_id, floor(value)::BIGINT AS value, rank() OVER (PARTITION BY user_id ORDER BY floor(value) DESC) AS r FROM events) WHERE r <= 5",
     ),
+    "most_intense_peaks": (
+        most_intense_peaks,
+        """WITH v AS (SELECT user_id, list_sort(list(value::DOUBLE)) AS l, count(*) AS n FROM events GROUP BY 1), h AS (SELECT *, greatest(0, 1 - 7::DOUBLE / n) AS p FROM v), g AS (SELECT *, (n + 1 / 3::DOUBLE) * p + 1 / 3::DOUBLE AS h FROM h),
+c AS (SELECT user_id, CASE WHEN p = 0 OR n = 1 OR h < 1 THEN l[1] WHEN h >= n THEN l[n] ELSE l[floor(h)::INT] + (h - floor(h)) * (l[floor(h)::INT + 1] - l[floor(h)::INT]) END AS cut FROM g)
+SELECT user_id, event_id, value FROM events JOIN c USING (user_id) WHERE value >= cut""",
+    ),
     "sequence_checks": (
         sequence_checks,
         f"""WITH {SEQ_SQL} SELECT p_partkey, regexp_matches(seq, '^[ACDEFGHIKLMNOPQRSTUVWY]+$') AS valid, regexp_replace(seq, '[^ACDEFGHIKLMNOPQRSTUVWY]', 'X', 'g') AS clean,

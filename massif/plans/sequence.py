@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from massif.functions import chemistry as C
+from massif.operators import modifications as M
 from massif.operators import sequence as S
 from massif.runtime import table
 
@@ -27,6 +28,15 @@ def digest_semi(spark, sf_dir):
     return out.select("p_partkey", F.col("start").cast("long"), F.col("end").cast("long"), "peptide")
 
 
+FIXED = [M.Mod("Carbamidomethyl", "Common", "C", "Anywhere.", 57.021464)]
+VARIABLE = [M.Mod("Oxidation", "Common", "M", "Anywhere.", 15.994915), M.Mod("Phospho", "Common", "S", "Anywhere.", 79.966331), M.Mod("Acetyl", "Common", "X", "N-terminal.", 42.010565)]
+
+
+def modified_digest(spark, sf_dir):
+    out = M.modified_digest(_sequences(spark, sf_dir), "seq", "KR", FIXED, VARIABLE, "P", missed=0, min_length=3, initiator="retain", most_mods=2, most_forms=100000)
+    return out.select("p_partkey", F.col("start").cast("long"), F.col("end").cast("long"), "full_sequence", F.col("n_variable").cast("long"), F.col("n_fixed").cast("long"), F.round("mass", 4).alias("mass"))
+
+
 def decoy_reverse(spark, sf_dir):
     return _sequences(spark, sf_dir).select("p_partkey", S.decoy_reverse(F.col("seq")).alias("decoy"))
 
@@ -141,6 +151,17 @@ QUERIES = {
         f"""WITH {SITES_SQL}, m AS (SELECT * FROM d WHERE missed = 0),
 e AS (SELECT p_partkey, seq, st, unnest(range(st, en + 1)) AS en FROM m UNION SELECT p_partkey, seq, unnest(range(st, en + 1)), en FROM m)
 SELECT p_partkey, st AS start, en AS "end", substr(seq, st, en - st + 1) AS peptide FROM e WHERE en - st + 1 >= 3""",
+    ),
+    "modified_digest": (
+        modified_digest,
+        f"""WITH {SITES_SQL}, q AS (SELECT p_partkey, seq, st, en FROM d WHERE missed = 0 AND en - st + 1 >= 3),
+r AS (SELECT p_partkey, st, en, unnest(range(st, en + 1)) AS i, seq FROM q), l AS (SELECT p_partkey, st, en, i, substr(seq, i, 1) AS c FROM r),
+v AS (SELECT p_partkey, st, en, i - st + 2 AS place FROM l WHERE c IN ('M', 'S') UNION ALL SELECT p_partkey, st, en, 1 FROM q WHERE st <= 2),
+f AS (SELECT p_partkey, st, en, 0 AS a, 0 AS b FROM q UNION ALL SELECT p_partkey, st, en, place, 0 FROM v UNION ALL SELECT x.p_partkey, x.st, x.en, x.place, y.place FROM v x JOIN v y ON x.p_partkey = y.p_partkey AND x.st = y.st AND x.en = y.en AND x.place < y.place)
+SELECT f.p_partkey, f.st AS start, f.en AS "end", CASE WHEN 1 IN (a, b) THEN '[Common:Acetyl]' ELSE '' END || string_agg(c || CASE WHEN i - f.st + 2 IN (a, b) THEN CASE c WHEN 'M' THEN '[Common:Oxidation]' ELSE '[Common:Phospho]' END WHEN c = 'C' THEN '[Common:Carbamidomethyl]' ELSE '' END, '' ORDER BY i) AS full_sequence,
+(a > 0)::BIGINT + (b > 0)::BIGINT AS n_variable, count(*) FILTER (WHERE c = 'C') AS n_fixed,
+round(CASE WHEN count(*) = count({MASS_SQL}[c]) THEN {C.WATER} + sum({MASS_SQL}[c] + CASE WHEN i - f.st + 2 IN (a, b) THEN CASE c WHEN 'M' THEN 15.994915::DOUBLE ELSE 79.966331::DOUBLE END WHEN c = 'C' THEN 57.021464::DOUBLE ELSE 0 END) + CASE WHEN 1 IN (a, b) THEN 42.010565::DOUBLE ELSE 0 END END, 4) AS mass
+FROM f JOIN l ON l.p_partkey = f.p_partkey AND l.st = f.st AND l.en = f.en GROUP BY f.p_partkey, f.st, f.en, a, b""",
     ),
     "decoy_reverse": (decoy_reverse, f"WITH {SEQ_SQL} SELECT p_partkey, CASE WHEN seq LIKE 'M%' THEN 'M' || reverse(substr(seq, 2)) ELSE reverse(seq) END AS decoy FROM s"),
     "decoy_slide": (

@@ -61,6 +61,20 @@ def xcorr_preprocess(spark, sf_dir):
     return S.xcorr_preprocess(_peaks(spark, sf_dir).where("intensity >= 0"), "scan", "mz", "intensity").select("scan", "bin", F.round("value", 4).alias("value"))
 
 
+def peak_windows(spark, sf_dir):
+    p = _peaks(spark, sf_dir).withColumn("mz", F.col("mz").cast("double"))
+    wide = S.filter_windows(p, "scan", "mz", "intensity", 300.0, 1e7, ratio=0.1, width=700.0, k=3, normalise=True).withColumn("mode", F.lit("width"))
+    many = S.filter_windows(p, "scan", "mz", "intensity", 0.0, 10000.0, n_windows=12, k=2).withColumn("mode", F.lit("number"))
+    whole = S.filter_windows(p, "scan", "mz", "intensity", 100.0, 5000.0, ratio=0.5, normalise=True).withColumn("mode", F.lit("whole"))
+    out = wide.unionAll(many).unionAll(whole)
+    return out.select("mode", "scan", "mz", F.round("intensity", 6).alias("intensity"), "window")
+
+
+def xcorr_spectrum(spark, sf_dir):
+    p = _peaks(spark, sf_dir).select("scan", (150 + (F.col("mz") * 37 + F.col("scan") * 11) % 1500 + (F.col("mz") % 10) / 10.0).alias("mz"), "intensity", (400.0 + F.col("scan") % 500).alias("precursor"))
+    return S.xcorr_spectrum(p, "scan", "mz", "intensity", "precursor", 150.0, 1650.0).select("scan", F.round("mz", 4).alias("mz"), F.round("value", 5).alias("value"))
+
+
 def _order_pairs(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     a = o.select("o_custkey", F.col("o_orderkey").alias("x"), F.col("o_totalprice").alias("e"))
@@ -127,6 +141,25 @@ row_number() OVER (PARTITION BY user_id, ceil(event_id / 1000.0) ORDER BY value
         """WITH b AS (SELECT user_id AS scan, round(event_id / 1.0005079)::BIGINT AS bin, max(sqrt(value)) AS v FROM events WHERE value >= 0 GROUP BY 1, 2),
 w AS (SELECT scan, bin, v - (sum(v) OVER (PARTITION BY scan ORDER BY bin RANGE BETWEEN 75 PRECEDING AND 75 FOLLOWING) - v) / 150 AS value FROM b)
 SELECT scan, bin, round(value, 4) AS value FROM w WHERE value > 1e-4""",
+    ),
+    "peak_windows": (
+        peak_windows,
+        """WITH e AS (SELECT user_id AS scan, event_id::DOUBLE AS mz, value AS y, max(value) OVER (PARTITION BY user_id) AS top FROM events),
+w AS (SELECT 'width' AS mode, scan, mz, y, greatest(ceil(mz / 700.0::DOUBLE), 1)::BIGINT AS win, true AS norm, 3 AS k FROM e WHERE mz BETWEEN 300 AND 1e7 AND y > 1e-9 AND y > 0.1::DOUBLE * top
+UNION ALL SELECT 'number', scan, mz, y, greatest(ceil(mz / (10000.0::DOUBLE / 12)), 1)::BIGINT, false, 2 FROM e WHERE mz BETWEEN 0 AND 10000 AND y > 1e-9
+UNION ALL SELECT 'whole', scan, mz, y, 1, true, 1000000000 FROM e WHERE mz BETWEEN 100 AND 5000 AND y > 1e-9 AND y > 0.5::DOUBLE * top),
+r AS (SELECT *, row_number() OVER (PARTITION BY mode, scan, win ORDER BY y DESC, mz) AS n, max(y) OVER (PARTITION BY mode, scan, win) AS m FROM w)
+SELECT mode, scan, mz, round(CASE WHEN norm THEN y / m * 50 ELSE y END, 6) AS intensity, win AS "window" FROM r WHERE n <= k""",
+    ),
+    "xcorr_spectrum": (
+        xcorr_spectrum,
+        """WITH e AS (SELECT user_id AS scan, 150 + (event_id * 37 + user_id * 11) % 1500 + (event_id % 10) / 10.0::DOUBLE AS mz, value AS y, 400.0::DOUBLE + user_id % 500 AS p FROM events),
+b AS (SELECT scan, round_even((mz - 150) / 1.0005079::DOUBLE, 0)::BIGINT AS bin, max(sqrt(y)) AS v FROM e
+  WHERE round_even((mz - 150) / 1.0005079::DOUBLE, 0) BETWEEN 0 AND 1499 AND (mz <= round_even((p - 1.5) / 1.0005079::DOUBLE, 0) OR mz >= round_even((p + 1.5) / 1.0005079::DOUBLE, 0)) AND y >= 0 GROUP BY 1, 2),
+t AS (SELECT *, max(v) OVER (PARTITION BY scan) AS top, bin * 1.0005079::DOUBLE + 150 * 1.0005079::DOUBLE AS at_mz FROM b),
+s AS (SELECT scan, bin, at_mz, v / max(v) OVER (PARTITION BY scan, ceil(at_mz / 150.0::DOUBLE)) * 50 AS v FROM t WHERE v > 0.05::DOUBLE * top AND v > 0),
+c AS (SELECT scan, at_mz, v - sum(v) OVER (PARTITION BY scan ORDER BY bin RANGE BETWEEN 75 PRECEDING AND 75 FOLLOWING) / (least(bin + 75, 1499) - greatest(bin - 75, 0) + 1) AS value FROM s)
+SELECT scan, round(at_mz, 4) AS mz, round(value, 5) AS value FROM c WHERE value > 1e-4""",
     ),
     "tolerance_ppm": (tolerance_ppm, PAIR_SQL + "abs((a.o_totalprice - b.o_totalprice) / b.o_totalprice) * 1e6 <= 20000"),
     "tolerance_abs": (tolerance_abs, PAIR_SQL + "abs(a.o_totalprice - b.o_totalprice) <= 500"),
