@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from massif.functions import chemistry as C
 from massif.operators import modifications as M
+from massif.operators import notation as N
 from massif.operators import sequence as S
 from massif.runtime import table
 
@@ -37,6 +38,22 @@ def modified_digest(spark, sf_dir):
     return out.select("p_partkey", F.col("start").cast("long"), F.col("end").cast("long"), "full_sequence", F.col("n_variable").cast("long"), F.col("n_fixed").cast("long"), F.round("mass", 4).alias("mass"))
 
 
+KNOWN = [N.Known("Oxidation", "Common", "M", mass=15.994915, formula="O", unimod=35), N.Known("Phospho", "Bio", "S", mass=79.966331, formula="HO3P", unimod=21), N.Known("Acetyl", "Common", "X", "N-terminal.", 42.010565, "C2H2O", 1), N.Known("Odd", "Other", "X")]
+
+
+def sequence_conversion(spark, sf_dir):
+    """Named sequences in four notations, and back from masses; a third has a modification at its first end, some a kind of their own that no notation but names can hold."""
+    s = _sequences(spark, sf_dir).where("seq <> ''")
+    head = F.when(F.col("p_partkey") % 3 == 0, "[Common:Acetyl on X]").otherwise("")
+    tail = F.when(F.col("p_partkey") % 5 == 0, "-[Other:Odd on X]").otherwise("")
+    named = F.concat(head, F.replace(F.replace("seq", F.lit("S"), F.lit("S[Bio:Phospho on S]")), F.lit("M"), F.lit("M[Common:Oxidation on M]")), tail)
+    s = s.withColumn("named", named)
+    made = {way: N.convert(F.col("named"), way, KNOWN, "named", mode) for way, mode in (("mass", "remove"), ("unimod", "null"), ("proforma", "remove"), ("primary", "null"))}
+    out = s.select("p_partkey", *[c.alias(way) for way, c in made.items()])
+    back = N.convert(F.col("mass.text"), "named", KNOWN)
+    return out.select("p_partkey", *[F.col(f"{way}.text").alias(way) for way in made], F.size("mass.lost").cast("long").alias("n_lost"), back.getField("text").alias("back"))
+
+
 def decoy_reverse(spark, sf_dir):
     return _sequences(spark, sf_dir).select("p_partkey", S.decoy_reverse(F.col("seq")).alias("decoy"))
 
@@ -162,6 +179,14 @@ SELECT f.p_partkey, f.st AS start, f.en AS "end", CASE WHEN 1 IN (a, b) THEN '[C
 (a > 0)::BIGINT + (b > 0)::BIGINT AS n_variable, count(*) FILTER (WHERE c = 'C') AS n_fixed,
 round(CASE WHEN count(*) = count({MASS_SQL}[c]) THEN {C.WATER} + sum({MASS_SQL}[c] + CASE WHEN i - f.st + 2 IN (a, b) THEN CASE c WHEN 'M' THEN 15.994915::DOUBLE ELSE 79.966331::DOUBLE END WHEN c = 'C' THEN 57.021464::DOUBLE ELSE 0 END) + CASE WHEN 1 IN (a, b) THEN 42.010565::DOUBLE ELSE 0 END END, 4) AS mass
 FROM f JOIN l ON l.p_partkey = f.p_partkey AND l.st = f.st AND l.en = f.en GROUP BY f.p_partkey, f.st, f.en, a, b""",
+    ),
+    "sequence_conversion": (
+        sequence_conversion,
+        f"""WITH {SEQ_SQL}, t AS (SELECT p_partkey, seq, translate(seq, 'SM', chr(1) || chr(2)) AS x, p_partkey % 3 = 0 AS h, p_partkey % 5 = 0 AS o FROM s WHERE seq <> ''),
+f AS (SELECT *, replace(replace(x, chr(1), 'S[+79.966331]'), chr(2), 'M[+15.994915]') AS m, replace(replace(x, chr(1), 'S[UNIMOD:21]'), chr(2), 'M[UNIMOD:35]') AS u, replace(replace(x, chr(1), 'S[Phospho]'), chr(2), 'M[Oxidation]') AS p,
+  replace(replace(x, chr(1), 'S[Bio:Phospho on S]'), chr(2), 'M[Common:Oxidation on M]') AS n FROM t)
+SELECT p_partkey, CASE WHEN h THEN '[+42.010565]' ELSE '' END || m AS mass, CASE WHEN NOT o THEN CASE WHEN h THEN '[UNIMOD:1]' ELSE '' END || u END AS unimod, CASE WHEN h THEN '[Acetyl]-' ELSE '' END || p || CASE WHEN o THEN '-[Odd]' ELSE '' END AS proforma,
+seq AS "primary", o::BIGINT AS n_lost, CASE WHEN h THEN '[Common:Acetyl on X]' ELSE '' END || n AS back FROM f""",
     ),
     "decoy_reverse": (decoy_reverse, f"WITH {SEQ_SQL} SELECT p_partkey, CASE WHEN seq LIKE 'M%' THEN 'M' || reverse(substr(seq, 2)) ELSE reverse(seq) END AS decoy FROM s"),
     "decoy_slide": (
