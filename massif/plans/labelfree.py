@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massif.functions.chemistry import PROTON
+from massif.operators import bayes as B
 from massif.operators import labelfree as L
 from massif.operators import normalise as N
 from massif.operators import signals as G
@@ -182,6 +183,12 @@ def wavelet_noise(spark, sf_dir):
     return out.select("user_id", F.round("n.noise", 6).alias("noise"), "n.settled", "n.rounds")
 
 
+def protein_fold_changes(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).alias("protein"), F.when(F.col("l_suppkey") % 2 == 0, "a").otherwise("b").alias("condition"), (F.col("l_extendedprice") * F.when(F.col("l_suppkey") % 2 == 1, 1 + F.col("l_partkey") % 3).otherwise(1)).alias("y"))
+    out = B.fold_changes(items, "protein", "condition", "y", "a", "b", burn_in=200, steps=400)
+    return out.select("protein", *[F.round(c, 3).alias(c) for c in ("change", "low", "high", "pep")], "n_first", "n_second")
+
+
 MATRIX_SQL = """m AS (SELECT 'P' || l_partkey AS sequence, CAST(l_suppkey % 8 AS BIGINT) AS run, sum(l_extendedprice) * (1 + (l_suppkey % 8) / 10.0::DOUBLE) AS y FROM lineitem GROUP BY 1, 2, l_suppkey % 8),
 d AS (SELECT *, run % 2 AS c, (run // 2) % 2 AS b, run // 4 AS t FROM m),
 bio AS (SELECT d.c, d.b, 1 / median(d.y / r.y) AS f FROM d JOIN d r ON r.sequence = d.sequence AND r.c = 0 AND r.b = 0 AND r.t = 0 WHERE d.t = 0 AND d.y > 0 AND r.y > 0 GROUP BY 1, 2),
@@ -263,4 +270,5 @@ QUERIES = {
     "shared_peak_regions": (shared_peak_regions, None),
     "spline_resampling": (spline_resampling, SPLINE_SQL),
     "wavelet_noise": (wavelet_noise, None),
+    "protein_fold_changes": (protein_fold_changes, None),
 }
