@@ -3,8 +3,8 @@
 Lines within `edits` edits of one another have, among edits + 1 segments of the shorter, one that occurs unchanged in the
 longer, shifted by few places. Each distinct line is indexed by its segments and probes the substrings that the lengths and the
 positions allow (the multi-match-aware selection), one segment number at a time, so that a third of the keys lies on disk at once. Keys that
-no two lines share are dropped. A key's rows hold a line's number and 64 parities of the counts of its runs of three letters, of which an edit changes six
-at most; texts are joined only to candidate pairs whose parities allow a link, which are verified by a banded bit-parallel edit distance. Linked lines form classes; the first line of a class stays.
+no two lines share are dropped. A key's rows hold a line's number and the parities of its letters' counts, of which an edit changes two
+at most, and of its pairs of neighbouring words, of which it changes five; texts are joined only to candidate pairs whose parities allow a link, which are verified by a banded bit-parallel edit distance. Linked lines form classes; the first line of a class stays.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ EDITS = 2
 _TRIM_BITS = 20
 #: Pieces of a line for the finer keys of full buckets.
 PIECES = 8
-#: Letters of a run whose counts' parities mark a line, and the parities that one edit can change: of as many runs that go and that come.
-RUN = 3
-CHANGED = 2 * RUN
+#: Letters whose counts' parities mark a line.
+MARKED = "abcdefghijklmnopqrstuvwxyz0123456789 .,:;-/ABCDEFGHIJKLMNOPQRST"
+#: Parities that one edit can change: those of two letters, and those of the pairs of neighbouring words that go and come where a space does.
+LETTERS_CHANGED, PAIRS_CHANGED = 2, 5
 
 
 def line_form(line: Column) -> Column:
@@ -98,13 +99,22 @@ def run_keys(edits: int) -> Column:
 
 
 def parities(line: Column) -> Column:
-    """64 bits: whether the runs of RUN letters with a hash of that number occur an odd number of times. An edit changes at most CHANGED of them; swapped words change those at their borders."""
-    def mark(t: Column) -> Column:
-        bit = lambda i: F.pmod(F.xxhash64(F.substr(t["u"], 4 * i + 1, F.lit(4 * RUN))), F.lit(64)).cast("int")
+    """(letters, pairs) of 64 bits each: which letters of MARKED occur an odd number of times, and which hashes of neighbouring words do. Swapped words leave the first alone, but not the second."""
+    odd = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(1)).cast("long")
+    letters = reduce(Column.bitwiseOR, [F.shiftleft(odd(c), k) for k, c in enumerate(MARKED)])
+
+    def pairs(words: Column) -> Column:
+        bit = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1)).bitwiseAND(F.lit(63)).cast("int")
         flip = lambda m, i: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit(i)))
-        return F.when(t["n"] < RUN, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(0), t["n"] - RUN), F.lit(0).cast("long"), flip))
+        return F.when(F.size(words) < 2, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(words) - 2), F.lit(0).cast("long"), flip))
+
+    return F.struct(letters.alias("letters"), _let(F.split(line, " "), pairs).alias("pairs"))
+
 
-    return _let(F.struct(F.encode(line, "UTF-32").alias("u"), F.char_length(line).alias("n")), mark)
+def may_link(a: Column, b: Column, edits: int) -> Column:
+    """Whether the parities of two lines allow for so few edits."""
+    apart = lambda c: F.bit_count(a.getField(c).bitwiseXOR(b.getField(c)))
+    return (apart("letters") <= LETTERS_CHANGED * edits) & (apart("pairs") <= PAIRS_CHANGED * edits)
 
 
 def _exploded(df: DataFrame) -> DataFrame:
@@ -209,7 +219,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
     limit = F.expr(allowed("least(char_length(x), char_length(y))", edits, chars_per_edit))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        once = pairs.where(F.bit_count(F.col("ma").bitwiseXOR(F.col("mb"))) <= CHANGED * edits).distinct()
+        once = pairs.where(may_link(F.col("ma"), F.col("mb"), edits)).distinct()
         x, y = (texts.select(F.col("node").alias(n), F.col("line").alias(t)) for n, t in (("a", "x"), ("b", "y")))
         return once.join(x, "a").join(y, "b").where(edit_distance(F.col("x"), F.col("y"), edits) <= limit).select(*pairs.columns)
 
@@ -218,8 +228,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
         finer = texts.select("node", run_keys(edits).alias("key")).join(nodes, "node")
         return _exploded(finer.select("key", "node", "label", "mark"))
 
-    near = lambda x, y: F.bit_count(x.mark.bitwiseXOR(y.mark)) <= CHANGED * edits
-    linked = scratch.save(linked_components(keys, verify, scratch, refine, near=near))
+    linked = scratch.save(linked_components(keys, verify, scratch, refine, near=lambda x, y: may_link(x.mark, y.mark, edits)))
     named = linked.join(distinct.select("node", "head"), "node")
     heads = named.groupBy("label").agg(F.min("head").alias("first"))
     first = named.join(heads, "label").select("node", "first")
