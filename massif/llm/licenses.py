@@ -99,8 +99,9 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     Rules are tried from the longest on, and a match uses its sentences up: a rule counts as often as it matches what longer ones have
     left. Null and empty texts, and texts without any licence word, have an empty string and no licence. Every row stays, repeated
-    ones too; columns of df with these names are replaced.
+    ones too; columns of df with these four names are replaced, all others stay.
     """
+    own = "_scan" + "_" * max(map(len, df.columns))  # a name that no column has
     out = df.withColumn("sentence_ids", sentence_string(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
     # only strings with a letter go through the rules
     left = F.regexp_replace("sentence_ids", "^\\.*$", "")
@@ -112,10 +113,10 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(rule_pattern(letters)).alias("p")) for name, letters in RULES])
     start = F.struct(left.alias("ids"), F.array().cast("array<string>").alias("found"), F.lit(0).alias("n"))
-    out = out.withColumn("_scan", F.aggregate(rules, start, taken))
+    out = out.withColumn(own, F.aggregate(rules, start, taken))
     return (
         out.withColumn("n_known", F.length(F.regexp_replace("sentence_ids", "\\.", "")))
-        .withColumn("licences", F.array_sort(F.col("_scan.found")))
-        .withColumn("n_matches", F.col("_scan.n"))
-        .drop("_scan")
+        .withColumn("licences", F.array_sort(F.col(own)["found"]))
+        .withColumn("n_matches", F.col(own)["n"])
+        .drop(own)
     )
