@@ -97,7 +97,12 @@ def isotope_rows(df: DataFrame, key: str, formula: str, least: float = 1e-4) ->
 
 
 def envelopes(mz: np.ndarray, intensity: np.ndarray, ppm: float, charges: range) -> list[tuple[float, int, float, int]]:
-    """(monoisotopic mass, charge, score, peaks): for each strong peak and charge the average-peptide envelope is grown from its apex until a peak misses; the best by score that share no peak stay."""
+    """(monoisotopic mass, charge, score, number of peaks) of envelope_peaks()."""
+    return [(mass, z, score, len(used)) for mass, z, score, used in envelope_peaks(mz, intensity, ppm, charges)]
+
+
+def envelope_peaks(mz: np.ndarray, intensity: np.ndarray, ppm: float, charges: range) -> list[tuple[float, int, float, frozenset[int]]]:
+    """(monoisotopic mass, charge, score, places of its peaks): for each strong peak and charge the average-peptide envelope is grown from its apex until a peak misses; the best by score that share no peak stay."""
     found = []
     for i in np.flatnonzero(intensity >= 0.01 * intensity.max()) if len(mz) else ():
         for z in charges:
@@ -121,7 +126,7 @@ def envelopes(mz: np.ndarray, intensity: np.ndarray, ppm: float, charges: range)
     for score, mono, z, used in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
         if not used & taken:
             taken |= used
-            out.append((mono, z, float(score), len(used)))
+            out.append((mono, z, float(score), used))
     return out
 
 

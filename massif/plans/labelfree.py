@@ -12,6 +12,7 @@ from massif.functions.chemistry import PROTON
 from massif.operators import bayes as B
 from massif.operators import labelfree as L
 from massif.operators import normalise as N
+from massif.operators import precursors as R
 from massif.operators import signals as G
 from massif.operators import xics as X
 from massif.runtime import table
@@ -183,6 +184,23 @@ def wavelet_noise(spark, sf_dir):
     return out.select("user_id", F.round("n.noise", 6).alias("noise"), "n.settled", "n.rounds")
 
 
+def refined_precursors(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    chosen = pairs.where("known").select("run", "part", (F.col("apex") + F.col("w") % 9 - 4).alias("scan"), (F.col("peak_mass") / F.col("charge") + PROTON + (F.col("w") % 11 - 5) * 0.05).alias("selected"))
+    out = R.refined(chosen, _peaks(pairs).select("run", "scan", "mz", "intensity"), ["run", "scan"], "selected", 0.4)
+    return out.select("run", "part", "scan", F.round("refined_mz", 6).alias("refined_mz"), F.round("refined_intensity", 6).alias("refined_intensity"))
+
+
+def isolated_envelopes(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    lists = _peaks(pairs).groupBy("run", "scan").agg(F.array_sort(F.collect_list(F.struct("mz", "intensity"))).alias("l"))
+    spectra = lists.select("run", "scan", F.col("l.mz").alias("mz"), F.col("l.intensity").alias("intensity"))
+    center = F.col("peak_mass") / F.col("charge") + PROTON
+    windows = pairs.where("known").select((F.col("part") * 4 + F.col("run")).alias("window"), "run", F.col("apex").alias("scan"), (center - 0.6).alias("low"), (center + 0.6).alias("high"))
+    out = R.isolated(windows, spectra, ["run", "scan"], most_charge=4)
+    return out.select("window", F.round("mass", 4).alias("mass"), "charge", F.round("score", 3).alias("score"), "n_peaks")
+
+
 def protein_fold_changes(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).alias("protein"), F.when(F.col("l_suppkey") % 2 == 0, "a").otherwise("b").alias("condition"), (F.col("l_extendedprice") * F.when(F.col("l_suppkey") % 2 == 1, 1 + F.col("l_partkey") % 3).otherwise(1)).alias("y"))
     out = B.fold_changes(items, "protein", "condition", "y", "a", "b", burn_in=200, steps=400)
@@ -249,6 +267,11 @@ b AS (SELECT *, {_R8('e', 0.5)} AS me, ({_R8('e', 0.75)} - ({_R8('e', 0.25)})) /
 SELECT run, n AS n_peaks, round(me, 6) AS ppm_mean, round({_SAFE('(CASE WHEN n > 30 THEN ie ELSE sde END)')}, 6) AS ppm_sd, round(abs(me) + 4 * CASE WHEN n > 30 THEN ie ELSE sde END, 6) AS ppm_reach, round(mg, 6) AS log_mean, round({_SAFE('ig')}, 6) AS log_sd,
 round(ms, 6) AS scans_mean, round({_SAFE('(CASE WHEN n > 30 THEN sds ELSE is_ END)')}, 6) AS scans_sd, round(mc * mc / vc, 6) AS shape, round(mc / vc, 6) AS rate FROM b WHERE n >= 3"""
 
+REFINED_SQL = f"""WITH {PAIRS_SQL},
+c AS (SELECT run, part, apex + w % 9 - 4 AS scan, peak_mass / charge + {PROTON!r}::DOUBLE + (w % 11 - 5) * 0.05::DOUBLE AS sel FROM p WHERE known)
+SELECT c.run, c.part, c.scan, round(arg_min(pk.mz, (abs(pk.mz - sel), -pk.mz)), 6) AS refined_mz, round(arg_min(pk.intensity, (abs(pk.mz - sel), -pk.mz)), 6) AS refined_intensity
+FROM c LEFT JOIN pk ON pk.run = c.run AND pk.scan = c.scan AND abs(pk.mz - sel) <= 0.4 GROUP BY c.run, c.part, c.scan"""
+
 # steps of 0.02 over points 0.05 apart: sixteen of them, the last one the end
 SPLINE_SQL = f"""WITH {PAIRS_SQL},
 t AS (SELECT pk.part, pk.run, scan * {STEP}::DOUBLE AS x, intensity AS y, scan - p.apex + 3 AS k, min(scan * {STEP}::DOUBLE) OVER (PARTITION BY pk.part, pk.run) AS x0 FROM pk JOIN p ON p.run = pk.run AND p.part = pk.part WHERE pk.z = pk.charge AND pk.i = pk.top),
@@ -271,4 +294,6 @@ QUERIES = {
     "spline_resampling": (spline_resampling, SPLINE_SQL),
     "wavelet_noise": (wavelet_noise, None),
     "protein_fold_changes": (protein_fold_changes, None),
+    "refined_precursors": (refined_precursors, REFINED_SQL),
+    "isolated_envelopes": (isolated_envelopes, None),
 }
