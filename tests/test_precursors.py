@@ -31,7 +31,7 @@ def spectrum(masses):
         shifts, share = averagine(mass)
         for s, a in zip(shifts, share):
             if a > 0.02 * max(share):
-                out[(mass + s) / z + PROTON] = height * a
+                out[float((mass + s) / z + PROTON)] = float(height * a)
     return sorted(out.items())
 
 
