@@ -199,7 +199,8 @@ def cut_words(w: Words, i: int, start: np.ndarray, words: np.ndarray, times: np.
 def realise(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The rows of df that the mix takes words of, their text being the words taken (repeats included) and length_col its length.
 
-    id_col must tell the rows apart, as mixed's key does: mixed has each id once, and a row without an id goes.
+    id_col must tell the rows apart, as mixed's key does: mixed has each id once, and a row without an id goes. A null text has no words and goes too;
+    a long one is cut in the bytes of its column. An empty table gives an empty table.
     """
     ship(df.sparkSession)
 

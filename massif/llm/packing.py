@@ -88,7 +88,7 @@ def token_table(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 def pack(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", sequence: int = SEQUENCE, added: bool = True) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids): a row for each piece of a document in one sequence.
 
-    Null and empty texts give the end id alone. Rows that repeat are packed as often as they occur. All sequences but the last
+    Null and empty texts give the end id alone; a long one spreads over as many sequences as it needs. Rows that repeat are packed as often as they occur. All sequences but the last
     are full; the last is padded to the full length unless its own is a power of two. An empty table gives no piece. With added, the
     vocabulary file's added tokens are recognised inside texts.
     """

@@ -126,7 +126,7 @@ def held_out(id_col: str) -> Column:
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> Model:
     """Fit on the rows of df that labels has, without held-out ids; ids with labels of both kinds count by their mean.
 
-    Labels that are null are left out. With no labelled row every score is 0.5.
+    Labels that are null are left out. With no labelled row, as in an empty table, every score is 0.5. Rows that repeat count as often as they occur. Texts are read whole, one at a time.
     """
     ship(df.sparkSession)
     own = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("label")).dropna().where(~held_out("id"))
@@ -182,7 +182,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """df with score (0 to 1) and predicted (1 if score >= 0.5, else 0); null texts count as empty, which have a score too."""
+    """df with score (0 to 1) and predicted (1 if score >= 0.5, else 0); null texts count as empty, which have a score too.
+
+    Each row is scored by itself: rows that repeat get equal scores, an empty table gives an empty table, a long text is read whole, and columns of these two names are replaced.
+    """
     ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 

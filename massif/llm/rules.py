@@ -147,7 +147,8 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """text_counts(df) with base_failed, kept and rejected_by (names of the rules that reject the text, "base" first).
 
     A row that fails the base rules is not kept; any other is kept unless its statistic exceeds an admitted cutoff. Too few
-    labelled texts in a stratum admit no cutoff there, so nothing more is rejected. An empty table gives an empty table.
+    labelled texts in a stratum admit no cutoff there, so nothing more is rejected. Null texts count as empty and fail the base rules. Rows that repeat are judged each
+    by itself and alike, a null id has no label, a long text is read whole, and an empty table gives an empty table.
     """
     counts = Scratch(df.sparkSession, "rules").save(text_counts(df, id_col, text_col))
     cutoffs = select_cutoffs(counts, labels)
