@@ -32,27 +32,27 @@ def _keyed(docs: DataFrame, name: str) -> tuple[DataFrame, Callable[[str], str],
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.5 or more stay."""
+    """Documents with a quality score of 0.5 or more stay; null texts are scored as empty ones, rows that repeat alike. An empty table stays empty."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     df, own, back = _named(docs)
     return back(quality.score(df, model, own("text")).where("predicted = 1"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal up to white space the one with the smallest id stays."""
+    """Of documents equal up to white space the one with the smallest id stays, of rows of one id too; null texts equal empty ones. An empty table stays empty."""
     df, own, back = _named(docs)
     return back(exact_dedup(df, own("doc_id"), own("text")).where("kept"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked by near fingerprints one stays: that of the smallest id, ids that are null last."""
+    """Of rows linked by near fingerprints one stays: that of the smallest id, ids that are null last. Texts are read whole, one at a time; rows without a word link like any others. An empty table stays empty."""
     df, own, back = _keyed(docs, "deduped")
     gone = near_dedup(df, own("doc_id"), own("text"), "_row").where("NOT kept").select(F.col("key").alias("_row"))
     return back(df.join(gone, "_row", "left_anti"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row with the words that the mix takes of it, repeated words in full; rows of which it takes none go."""
+    """Each row with the words that the mix takes of it, repeated words in full; rows of which it takes none, null and empty texts among them, go. A long text is cut in the bytes of its column. An empty table stays empty."""
     df, own, back = _keyed(docs, "mixed")
     mixed = Scratch(spark, "mixed").save(mix(df, own("doc_id"), own("text"), own("source"), key_col="_row"))
     taken = mixed.select(F.col("key").alias("id"), "taken", "spans")
@@ -60,7 +60,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of 2048 tokens, with their ids as little-endian 16-bit numbers."""
+    """The pieces of the documents in sequences of 2048 tokens, with their ids as little-endian 16-bit numbers. A null text gives its end id alone, a long one as many pieces as it needs. An empty table gives no piece."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True).withColumnRenamed("id", "doc_id")
