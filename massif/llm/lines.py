@@ -224,9 +224,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ed
         return once.join(x, "a").join(y, "b").where(edit_distance(F.col("x"), F.col("y"), edits) <= limit).select(*pairs.columns)
 
     def refine(full: DataFrame) -> DataFrame:
-        nodes = full.select("node", "label", "mark").distinct()
-        finer = texts.select("node", run_keys(edits).alias("key")).join(nodes, "node")
-        return _exploded(finer.select("key", "node", "label", "mark"))
+        # keys are made of the texts that are in full buckets, not of all
+        own = texts.join(full.select("node", "label", "mark").distinct(), "node")
+        return _exploded(own.select(run_keys(edits).alias("key"), "node", "label", "mark"))
 
     linked = scratch.save(linked_components(keys, verify, scratch, refine, near=lambda x, y: may_link(x.mark, y.mark, edits)))
     named = linked.join(distinct.select("node", "head"), "node")
