@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Up to this many runs are broadcast.
+MOST_RUNS = 10_000
+
+
 def match_to_peptides(matches: DataFrame, peptides: DataFrame, sequence: str, order: str) -> DataFrame:
     """Each peptide with the number and the first of its matches; matches of unknown peptides go, peptides without matches stay."""
     own = matches.groupBy(sequence).agg(F.count("*").alias("n_matches"), F.min(order).alias("first_match"))
@@ -24,8 +28,10 @@ def donors(identified: DataFrame, run: str, sequence: str, score: str, q: str, m
     w = Window.partitionBy(sequence).orderBy(F.desc(score), run)
     per_run = good.groupBy(sequence, run).agg(F.max(score).alias(score))
     best = per_run.withColumn("_k", F.row_number().over(w)).where("_k <= 2")
+    # every sequence meets every run, as the result does; a list of runs goes to all tasks up to MOST_RUNS of them
     runs = identified.select(F.col(run).alias("acceptor")).distinct()
-    met = best.join(F.broadcast(runs), F.col(run) != F.col("acceptor"))
+    runs = F.broadcast(runs) if runs.limit(MOST_RUNS + 1).count() <= MOST_RUNS else runs
+    met = best.join(runs, F.col(run) != F.col("acceptor"))
     own = per_run.select(F.col(run).alias("acceptor"), sequence)
     open_ = met.join(own, ["acceptor", sequence], "left_anti")
     pick = F.min_by(F.struct(run, score), F.col("_k")).alias("_d")

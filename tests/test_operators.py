@@ -53,7 +53,9 @@ def test_ppm_join_equals_all_pairs(spark):
     assert got == {(i, j) for i, p in enumerate(x) for j, q in enumerate(y) if abs(p - q) / q * 1e6 <= 5000}
 
 
-def test_nearest_clamps_and_prefers_the_higher(spark):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_nearest_clamps_and_prefers_the_higher(spark, monkeypatch, small):
+    monkeypatch.setattr(ranges, "SMALL_GRID", small)
     values = spark.createDataFrame([(v,) for v in (-5.0, 1.4, 1.5, 1.6, 50.0, 99.0)], "v double")
     grid = spark.createDataFrame([(p,) for p in (1.0, 2.0, 90.0)], "p double")
     assert {r.v: r.nearest for r in ranges.nearest(values, "v", grid, "p").collect()} == {-5.0: 1.0, 1.4: 1.0, 1.5: 2.0, 1.6: 2.0, 50.0: 90.0, 99.0: 90.0}
