@@ -75,9 +75,9 @@ def mod_fits(position: Column, length: Column, restriction: Column, protein_posi
 
 
 def closest_per_scan(peaks: DataFrame, scan: str, mz: str, intensity: str, target: float, ppm: float) -> DataFrame:
-    """(scan, mz, intensity): each scan's peak closest to the target, 0 where none lies within ppm."""
+    """(scan, mz, intensity): each scan's peak closest to the target (at a tie the lower m/z, then the lower intensity), 0 where none lies within ppm."""
     near = F.abs(F.col(mz) - target) / target * 1e6 <= ppm
-    best = F.min_by(F.struct(mz, intensity), F.when(near, F.struct(F.abs(F.col(mz) - target), F.col(mz)))).alias("_b")
+    best = F.min_by(F.struct(mz, intensity), F.when(near, F.struct(F.abs(F.col(mz) - target), F.col(mz), F.col(intensity)))).alias("_b")
     out = peaks.groupBy(scan).agg(best, F.max(near).alias("_any"))
     pick = lambda c: F.when(F.col("_any"), F.col("_b").getField(c))
     return out.select(scan, pick(mz).alias(mz), F.coalesce(pick(intensity), F.lit(0.0)).alias(intensity))

@@ -59,3 +59,11 @@ def test_queries_take_whole_tables(spark, sf_dir, tmp_path):
     n = {k: sum(c in "MS" for c in s) for k, s in sequences.items()}
     forms = Counter(r.p_partkey for r in run("modified_forms"))
     assert forms == {k: min(1024, 1 + m + m * (m - 1) // 2) for k, m in n.items()}
+
+
+def test_closest_peak_of_equal_ones(spark):
+    rows = [(1, 25.0, 9.0), (1, 25.0, 3.0), (1, 26.0, 1.0), (2, 24.9, 8.0), (2, 24.9, 4.0), (3, 90.0, 1.0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "scan int, mz double, y double").coalesce(1)
+        got = sorted(map(tuple, scans.closest_per_scan(df, "scan", "mz", "y", 25.0, 5000.0).collect()))
+        assert got == [(1, 25.0, 3.0), (2, 24.9, 4.0), (3, None, 0.0)]
