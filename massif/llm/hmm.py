@@ -2,8 +2,8 @@
 
 Latent states emit symbols: the most frequent training words, one symbol for each class of the other words, and the
 end of the text. Within its class a word has an add-one share of the class's training count, and any unseen word the whole share
-of unseen ones. Baum-Welch starts on a bounded sample and then runs over every training text; expected counts are added up within
-tasks and then across them. The forward recursion, rescaled at each step, gives each text's exact likelihood.
+of unseen ones. Every training text is counted and learned from: the states start as groups of symbols with like neighbours, and Baum-Welch goes on
+from there; counts are added up within tasks and then across them. The forward recursion, rescaled at each step, gives each text's exact likelihood.
 
 Words are known by a 64-bit hash. Counts are tables of one row a word; only the bounded tables of frequent words and the
 model's parameters go through the driver.
@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,12 @@ STATES = 16
 SYMBOLS = 20_000
 COUNTED = 200_000
 CLASSES = 256
-#: Texts of the starting sample, rounds over it, and rounds over all training texts.
-START_TEXTS = 3000
+#: Most frequent symbols that are told apart as neighbours, rounds that group the symbols by them, and rounds of Baum-Welch; all are over all training texts.
+NEIGHBOURS = 30
 START_ROUNDS = 12
 ROUNDS = 2
+#: A symbol's share in its own state at the start.
+OWN = 0.8
 #: Tokens times texts that the expectation step holds at once.
 CELLS = 1 << 18
 PRIOR = 20.0
@@ -184,14 +187,13 @@ def _summed(frames: pd.DataFrame) -> bytes:
     return np.sum([np.frombuffer(x, dtype=np.float64) for x in frames["v"]], axis=0).tobytes()
 
 
-def baum_welch(texts: DataFrame, hmm: Hmm, lexicon: Lexicon) -> Hmm:
-    """One round over all texts (a column `text`)."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((hmm, lexicon))
+def _totals(texts: DataFrame, scratch: Scratch, lexicon: Broadcast, hmm: Hmm | None) -> np.ndarray:
+    """The values of Expected, or of Contexts without a model, summed over all texts (a column `text`)."""
+    shared = texts.sparkSession.sparkContext.broadcast(hmm)
 
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, lex = shared.value
-        total = Expected(model)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, lex = shared.value, lexicon.value
+        total = Expected(model) if model else Contexts(lex)
         for batch in batches:
             for _, _, w in pieces(batch.column(0), lower=True):
                 symbols, at, _, _ = lex.coded(w)
@@ -203,17 +205,70 @@ def baum_welch(texts: DataFrame, hmm: Hmm, lexicon: Lexicon) -> Hmm:
             [pa.array(range(len(at)), pa.int32()), pa.array([part % 64] * len(at), pa.int32()), pa.array([v[i : i + VALUES].tobytes() for i in at], pa.binary())], ["block", "salt", "v"]
         )
 
-    # sums of at most 64 groups of tasks for each block of values, then of those
-    sums = texts.select("text").mapInArrow(expect, "block int, salt int, v binary")
+    # sums of at most 64 groups of tasks for each block of values, then of those; written, so that the shuffles' files go at once
+    sums = texts.select("text").mapInArrow(count, "block int, salt int, v binary")
     sums = sums.groupBy("block", "salt").applyInPandas(lambda x: pd.DataFrame({"block": x["block"].iloc[:1], "v": [_summed(x)]}), "block int, v binary")
-    sums = sums.groupBy("block").applyInPandas(lambda x: pd.DataFrame({"block": x["block"].iloc[:1], "v": [_summed(x)]}), "block int, v binary")
-    blocks = sums.collect()
-    n = len(hmm.emit)
-    values = np.zeros(STATES + STATES * STATES + STATES * n)
-    for r in blocks:
-        v = np.frombuffer(r["v"])
-        values[r["block"] * VALUES :][: len(v)] = v
-    return maximised(values, n)
+    sums = scratch.save(sums.groupBy("block").applyInPandas(lambda x: pd.DataFrame({"block": x["block"].iloc[:1], "v": [_summed(x)]}), "block int, v binary"))
+    out = np.concatenate([np.frombuffer(r["v"]) for r in sorted(sums.collect(), key=lambda r: r["block"])])
+    scratch.drop(sums)
+    shared.destroy()
+    return out
+
+
+def baum_welch(texts: DataFrame, hmm: Hmm, lexicon: Broadcast, scratch: Scratch) -> Hmm:
+    """One round over all texts (a column `text`)."""
+    return maximised(_totals(texts, scratch, lexicon, hmm), len(hmm.emit))
+
+
+class Contexts:
+    """How often each symbol stands after and before each of the most frequent ones, an end of the text, and any other."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.named, self.end = min(NEIGHBOURS, lexicon.n_symbols), lexicon.end
+        self.counts = np.zeros((self.end + 1) * 2 * (self.named + 2))
+
+    def add(self, symbols: np.ndarray, at: np.ndarray) -> None:
+        width = self.named + 2
+        kind = np.where(symbols < self.named, symbols, np.where(symbols == self.end, self.named, self.named + 1))
+        # what follows an end is the next text's, if any; what comes first has an end before it
+        before, after = np.insert(kind[:-1], 0, self.named), np.append(kind[1:], self.named)
+        after[at[1:] - 1] = self.named
+        for side, k in enumerate((before, after)):
+            self.counts += np.bincount((symbols * 2 + side) * width + k, minlength=len(self.counts))
+
+    def values(self) -> np.ndarray:
+        return self.counts
+
+
+def started(values: np.ndarray, n_emit: int) -> Hmm:
+    """The model to start from: symbols are grouped by the distributions of their neighbours (k-means on square roots, weighted by frequency), each group makes a state, and neighbours give the steps."""
+    counts = values.reshape(n_emit, 2, -1)
+    named = counts.shape[2] - 2
+    total = counts[:, 0].sum(axis=1)
+    x = np.sqrt(counts / np.maximum(total, 1)[:, None, None]).reshape(n_emit, -1)
+    rng = np.random.default_rng(SEED)
+    far = lambda c: ((x - c) ** 2).sum(axis=1)
+    centers, gap = [x[int(np.argmax(total))]], np.full(n_emit, np.inf)
+    for _ in range(STATES - 1):
+        gap = np.minimum(gap, far(centers[-1]))
+        p = gap * np.sqrt(total)
+        centers.append(x[rng.choice(n_emit, p=p / p.sum())] if p.sum() > 0 else centers[0] + rng.normal(0, 0.01, x.shape[1]))
+    for _ in range(START_ROUNDS):
+        own = np.argmin([far(c) for c in centers], axis=0)
+        for k in range(STATES):
+            w = np.where(own == k, total, 0)
+            if w.any():
+                centers[k] = w @ x / w.sum()
+    own = np.argmin([far(c) for c in centers], axis=0)
+    share = np.full((n_emit, STATES), (1 - OWN) / (STATES - 1))
+    share[np.arange(n_emit), own] = OWN
+    emit = share * total[:, None]
+    # the states of each kind of neighbour
+    kinds = np.vstack([emit[:named], emit[-1:], emit[named:-1].sum(axis=0)[None]])
+    kinds /= np.maximum(kinds.sum(axis=1, keepdims=True), 1e-300)
+    step = share[:-1].T @ counts[:-1, 1] @ kinds
+    begin = share.T @ counts[:, 0, named]
+    return maximised(np.concatenate([begin, step.ravel(), emit.T.ravel()]), n_emit)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -282,20 +337,16 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         in_class[int(c)] -= n, 1
     share = np.log10(in_class.sum(axis=1) + 1)
 
-    rng = np.random.default_rng(SEED)
     n_emit = lexicon.end + 1
-    hmm = maximised(rng.gamma(1.0, 1.0, STATES + STATES * STATES + STATES * n_emit), n_emit)
-    part = min(1.0, START_TEXTS / max(n_train, 1))
-    start = scratch.save(train.where(F.pmod(F.xxhash64("id", F.lit("start")), F.lit(1 << 24)) < int(part * (1 << 24))).select("text").repartition(6))
-    for _ in range(START_ROUNDS if n_train else 0):
-        hmm = baum_welch(start, hmm, lexicon)
+    words = spark.sparkContext.broadcast(lexicon)
+    hmm = started(_totals(train, scratch, words, None) if n_train else Contexts(lexicon).values(), n_emit)
     for _ in range(ROUNDS if n_train else 0):
-        hmm = baum_welch(train, hmm, lexicon)
-    shared = spark.sparkContext.broadcast((hmm, lexicon, share))
+        hmm = baum_welch(train, hmm, words, scratch)
+    shared = spark.sparkContext.broadcast((hmm, share))
     n_end = n_train
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, lex, shares = shared.value
+        (model, shares), lex = shared.value, words.value
         row = TaskContext.get().partitionId() << 33
         logs = np.log10(lex.counts + 1.0)
         for batch in batches:

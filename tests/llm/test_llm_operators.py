@@ -534,6 +534,25 @@ def test_language_model(table, docs, empty, monkeypatch):
     assert all(r.score < 0 for r in out) and hmm.score(empty).count() == 0
 
 
+def test_language_model_learns_from_all_texts(spark, monkeypatch):
+    for name, value in (("SYMBOLS", 40), ("ROUNDS", 1)):
+        monkeypatch.setattr(hmm, name, value)
+    read, one_round = [], hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda texts, *more: (read.append(texts.count()), one_round(texts, *more))[1])
+    rows = [(i, f"the w{i % 50} of a w{i % 7}") for i in range(6000)]
+    out = hmm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 6000 and read == [sum(not r.held_out for r in out)]
+    lexicon = hmm.Lexicon(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, int), 3)
+    c = hmm.Contexts(lexicon)
+    end, width = lexicon.end, 5
+    c.add(np.array([0, 2, 9, end, 1, end, end]), np.array([0, 4, 6, 7]))
+    got = c.values().reshape(end + 1, 2, width)
+    assert got[0, 0, 3] == got[0, 1, 2] == got[2, 1, 4] == got[9, 0, 2] == got[9, 1, 3] == got[1, 0, 3] == 1 and got[end, 0].tolist() == [0, 1, 0, 1, 1]
+    assert got[:, 0].sum() == got[:, 1].sum() == 7
+    model = hmm.started(c.values(), end + 1)
+    assert all(np.allclose(v, 1) for v in (model.begin.sum(), model.step.sum(axis=1), model.emit.sum(axis=0)))
+
+
 def test_license_scan(table, empty):
     out = {r.doc_id: r for r in licenses.scan(table).collect()}
     found = {i: r.licences for i, r in out.items() if r.licences}
