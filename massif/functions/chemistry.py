@@ -41,6 +41,11 @@ def electrospray(mass: Column, lo: int, hi: int) -> Column:
     return F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda z: F.struct(z.alias("charge"), to_mz(mass, z).alias("mz")))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), where value is worked out once a row however often the body names it: inside lambdas it would be worked out anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def atoms(formula: Column) -> Column:
     """Array of (element, count) of a formula, in its order; an absent count is 1. Null for a text that is no formula."""
     names = F.regexp_extract_all(formula, F.lit(ATOM), 1)
@@ -51,28 +56,34 @@ def atoms(formula: Column) -> Column:
 
 def composition(formula: Column) -> Column:
     """Map of element to count, repeated elements added up; elements whose counts cancel are left out."""
-    pairs = atoms(formula)
-    total = lambda e: F.aggregate(F.filter(pairs, lambda a: a.getField("element") == e), F.lit(0), lambda s, a: s + a.getField("count"))
-    elements = F.array_distinct(F.transform(pairs, lambda a: a.getField("element")))
-    return F.map_filter(F.map_from_arrays(elements, F.transform(elements, total)), lambda e, n: n != 0)
+
+    def made(pairs: Column) -> Column:
+        total = lambda e: F.aggregate(F.filter(pairs, lambda a: a.getField("element") == e), F.lit(0), lambda s, a: s + a.getField("count"))
+        elements = F.array_distinct(F.transform(pairs, lambda a: a.getField("element")))
+        return bound(elements, lambda names: F.map_filter(F.map_from_arrays(names, F.transform(names, total)), lambda e, n: n != 0))
+
+    return bound(atoms(formula), made)
 
 
 def combined(a: Column, b: Column, times: int = 1) -> Column:
     """Composition a plus `times` (which may be negative) composition b (FN5)."""
     none = F.lit(0)
-    keys = F.array_union(F.map_keys(a), F.map_keys(b))
-    counts = F.transform(keys, lambda e: F.coalesce(F.try_element_at(a, e), none) + times * F.coalesce(F.try_element_at(b, e), none))
-    return F.map_filter(F.map_from_arrays(keys, counts), lambda e, n: n != 0)
+
+    def made(x: Column, y: Column) -> Column:
+        count = lambda e: F.coalesce(F.try_element_at(x, e), none) + times * F.coalesce(F.try_element_at(y, e), none)
+        return bound(F.array_union(F.map_keys(x), F.map_keys(y)), lambda keys: F.map_filter(F.map_from_arrays(keys, F.transform(keys, count)), lambda e, n: n != 0))
+
+    return bound(a, lambda x: bound(b, lambda y: made(x, y)))
 
 
 def contains(a: Column, b: Column) -> Column:
     """Whether composition a has at least the atoms of b (FN5: superset)."""
-    return F.forall(F.map_entries(b), lambda x: F.coalesce(F.try_element_at(a, x["key"]), F.lit(0)) >= x["value"])
+    return bound(a, lambda own: F.forall(F.map_entries(b), lambda x: F.coalesce(F.try_element_at(own, x["key"]), F.lit(0)) >= x["value"]))
 
 
 def composition_text(a: Column) -> Column:
     """Elements by name with their counts."""
-    return F.array_join(F.transform(F.array_sort(F.map_keys(a)), lambda e: F.concat(e, F.element_at(a, e).cast("string"))), "")
+    return bound(a, lambda x: F.array_join(F.transform(F.array_sort(F.map_keys(x)), lambda e: F.concat(e, F.element_at(x, e).cast("string"))), ""))
 
 
 def formula_mass(formula: Column) -> Column:
@@ -83,13 +94,20 @@ def formula_mass(formula: Column) -> Column:
 
 def hill(formula: Column) -> Column:
     """Carbon, hydrogen, then the other elements by name; all by name without carbon. Counts of 1 are left out."""
-    pairs = atoms(formula)
-    elements = F.array_distinct(F.transform(pairs, lambda a: a.getField("element")))
-    has_c = F.array_contains(elements, "C")
-    rank = lambda e: F.concat(F.when(has_c & (e == "C"), F.lit("0")).when(has_c & (e == "H"), F.lit("1")).otherwise(F.lit("2")), e)
-    ordered = F.transform(F.array_sort(F.transform(elements, rank)), lambda x: F.substring(x, 2, 9))
-    total = lambda e: F.aggregate(F.filter(pairs, lambda a: a.getField("element") == e), F.lit(0), lambda s, a: s + a.getField("count"))
-    return F.array_join(F.transform(ordered, lambda e: F.concat(e, F.when(total(e) == 1, F.lit("")).otherwise(total(e).cast("string")))), "")
+
+    def made(pairs: Column) -> Column:
+        elements = F.array_distinct(F.transform(pairs, lambda a: a.getField("element")))
+        total = lambda e: F.aggregate(F.filter(pairs, lambda a: a.getField("element") == e), F.lit(0), lambda s, a: s + a.getField("count"))
+        count = lambda e: bound(total(e), lambda n: F.when(n == 1, F.lit("")).otherwise(n.cast("string")))
+
+        def ordered(names: Column, has_c: Column) -> Column:
+            rank = lambda e: F.concat(F.when(has_c & (e == "C"), F.lit("0")).when(has_c & (e == "H"), F.lit("1")).otherwise(F.lit("2")), e)
+            return F.transform(F.array_sort(F.transform(names, rank)), lambda x: F.substring(x, 2, 9))
+
+        in_order = bound(elements, lambda names: bound(F.array_contains(names, "C"), lambda has_c: ordered(names, has_c)))
+        return F.array_join(F.transform(in_order, lambda e: F.concat(e, count(e))), "")
+
+    return bound(atoms(formula), made)
 
 
 def parsed(formula: str) -> dict[str, int]:
@@ -125,9 +143,19 @@ def isotope_distribution(formula: dict[str, int], least: float = 1e-8, merge: fl
     return out
 
 
-def averagine(mass: float) -> tuple[np.ndarray, np.ndarray]:
-    """Isotope masses less the monoisotopic one and abundances of an average peptide of about this mass."""
+def averagine_atoms(mass: float) -> tuple[int, ...]:
+    """Atoms of an average peptide of about this mass, in the order of AVERAGINE."""
     unit = sum(n * ISOTOPES[e][0][0] for e, n in AVERAGINE.items())
-    formula = {e: max(0, round(n * mass / unit)) for e, n in AVERAGINE.items()}
+    return tuple(max(0, round(n * mass / unit)) for n in AVERAGINE.values())
+
+
+def averagine_of(*counts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Isotope masses less the monoisotopic one and abundances of an average peptide of these atoms."""
+    formula = dict(zip(AVERAGINE, counts))
     m, p = isotope_distribution(formula)
     return m - sum(n * ISOTOPES[e][0][0] for e, n in formula.items()), p
+
+
+def averagine(mass: float) -> tuple[np.ndarray, np.ndarray]:
+    """Isotope masses less the monoisotopic one and abundances of an average peptide of about this mass."""
+    return averagine_of(*averagine_atoms(mass))
