@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massif.functions.annotations import FIRST, LAST, SHIFTS
-from massif.functions.chemistry import PROTON, RESIDUES, WATER
+from massif.functions.chemistry import PROTON, RESIDUES, WATER, bound
 
 # Product types as shifts from the sum of the residues of the fragment.
 PREFIX_SHIFT = {k: SHIFTS[k] for k in FIRST}
@@ -106,13 +106,15 @@ def peptide_mass(seq: Column) -> Column:
 def fragments(df: DataFrame, seq: str, prefix: tuple[str, ...] = ("b",), suffix: tuple[str, ...] = ("y",)) -> DataFrame:
     """df with ion, number and mass of each product; a product that holds an unknown residue has none (GEN17). zDot ions whose first residue is P are left out."""
     n = F.length(seq)
-    masses = residue_masses(F.col(seq))
-    total = lambda a, b: F.aggregate(F.slice("_m", a, b), F.lit(0.0), lambda acc, m: acc + m)
-    def series(name: str, shift: float, first):
-        return F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.lit(name).alias("ion"), i.alias("number"), (total(first(i), i) + shift).alias("mass")))
-
-    ions = [series(t, PREFIX_SHIFT[t], lambda i: F.lit(1)) for t in prefix] + [series(t, SUFFIX_SHIFT[t], lambda i: n - i + 1) for t in suffix]
-    out = df.where(n >= 2).withColumn("_m", masses).withColumn("_f", F.explode(F.concat(*ions))).select(*df.columns, "_f.*").where("mass IS NOT NULL")
+    # the sums of the first 1, 2, ... masses, and of the last ones: each mass is added once
+    sums = lambda m: F.aggregate(m, F.array(F.lit(None), F.lit(0.0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)), lambda s: F.slice(s, 3, F.greatest(F.size(s) - 3, F.lit(0))))
+    def series(name: str, shift: float, of: str):
+        return F.transform(of, lambda x, i: F.struct(F.lit(name).alias("ion"), (i + 1).alias("number"), (x + shift).alias("mass")))
+
+    ions = [series(t, PREFIX_SHIFT[t], "_a") for t in prefix] + [series(t, SUFFIX_SHIFT[t], "_b") for t in suffix]
+    both = F.explode(F.array(bound(residue_masses(F.col(seq)), lambda m: F.struct(sums(m).alias("a"), sums(F.reverse(m)).alias("b")))))
+    summed = df.where(n >= 2).select("*", both.alias("_s")).select(*df.columns, F.col("_s.a").alias("_a"), F.col("_s.b").alias("_b"))
+    out = summed.withColumn("_f", F.explode(F.concat(*ions))).select(*df.columns, "_f.*").where("mass IS NOT NULL")
     return out.where(~((F.col("ion") == "zDot") & (F.col(seq).substr(n - F.col("number") + 1, F.lit(1)) == "P")))
 
 
@@ -191,11 +193,15 @@ def ion_mz(mass: Column, charge: int) -> Column:
 
 def decoy_peptide(seq: Column, kept: str) -> Column:
     """The peptide reversed around the residues of `kept`, which stay in their places: its cleavage sites are those of the target (GEN16)."""
-    letters = F.filter(F.split(seq, ""), lambda c: c != "")
     stays = lambda c: c.isin(list(kept))
-    free = F.reverse(F.filter(letters, lambda c: ~stays(c)))
-    place = lambda i: F.size(F.filter(F.slice(letters, 1, i + 1), lambda c: ~stays(c)))
-    return F.array_join(F.transform(letters, lambda c, i: F.when(stays(c), c).otherwise(F.get(free, place(i) - 1))), "")
+
+    def made(letters: Column) -> Column:
+        # the places that letters leave free, and their letters, in the opposite order
+        places = F.filter(F.transform(letters, lambda c, i: F.when(~stays(c), i)), lambda i: i.isNotNull())
+        moved = lambda free: F.map_from_arrays(free, F.transform(F.reverse(free), lambda i: F.get(letters, i)))
+        return bound(places, lambda free: bound(moved(free), lambda m: F.array_join(F.transform(letters, lambda c, i: F.coalesce(F.try_element_at(m, i), c)), "")))
+
+    return bound(F.filter(F.split(seq, ""), lambda c: c != ""), made)
 
 
 def rna_digest(df: DataFrame, seq: str, cut_after: str, missed: int, min_length: int) -> DataFrame:
@@ -212,7 +218,10 @@ def fragment_coverage(length: Column, n_places: Column, c_places: Column) -> Col
     n_places and c_places: residue numbers of the fragments from either end. A residue is told by two fragments of one end that differ by it, by
     fragments of both ends that meet at it or leave it alone between them, and an end residue by the first or last possible fragment.
     """
-    n, c = F.array_sort(F.array_distinct(n_places)), F.array_sort(F.array_distinct(c_places))
+    return bound(F.array_sort(F.array_distinct(n_places)), lambda n: bound(F.array_sort(F.array_distinct(c_places)), lambda c: _told_apart(length, n, c)))
+
+
+def _told_apart(length: Column, n: Column, c: Column) -> Column:
     has = F.array_contains
     later = F.slice(n, 2, 1 << 20)
     steps = F.filter(later, lambda x: has(n, x - 1) | has(c, x))
@@ -227,5 +236,10 @@ def fragment_coverage(length: Column, n_places: Column, c_places: Column) -> Col
 def residue_hits(seq: Column, polymers: Column) -> Column:
     """For each residue the number of occurrences of the polymers that cover it, overlapping ones included (AGG21)."""
     places = F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1)))
-    found = F.flatten(F.transform(polymers, lambda p: F.transform(F.filter(places, lambda i: (F.substr(seq, i, F.length(p)) == p) & (p != "")), lambda i: F.struct(i.alias("lo"), (i + F.length(p) - 1).alias("hi")))))
-    return F.when(F.length(seq) > 0, F.transform(places, lambda i: F.size(F.filter(found, lambda x: (x["lo"] <= i) & (i <= x["hi"]))))).otherwise(F.array().cast("array<int>"))
+
+    def made(text: Column) -> Column:
+        starts = lambda p: F.filter(F.transform(places, lambda i: F.when((F.substr(text, i, F.length(p)) == p) & (p != ""), i)), lambda i: i.isNotNull())
+        spans = lambda p: F.transform(starts(p), lambda i: F.struct(i.alias("lo"), (i + F.length(p) - 1).alias("hi")))
+        return bound(F.flatten(F.transform(polymers, spans)), lambda found: F.transform(places, lambda i: F.size(F.filter(found, lambda x: (x["lo"] <= i) & (i <= x["hi"])))))
+
+    return F.when(F.length(seq) > 0, bound(seq, made)).otherwise(F.array().cast("array<int>"))
