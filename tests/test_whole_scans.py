@@ -67,3 +67,36 @@ def test_closest_peak_of_equal_ones(spark):
         df = spark.createDataFrame(order, "scan int, mz double, y double").coalesce(1)
         got = sorted(map(tuple, scans.closest_per_scan(df, "scan", "mz", "y", 25.0, 5000.0).collect()))
         assert got == [(1, 25.0, 3.0), (2, 24.9, 4.0), (3, None, 0.0)]
+
+
+def test_expressions_are_bound_once(spark):
+    """An expression that a lambda names is worked out once a row: its text does not come again and again in the plan."""
+    from massif.functions import chemistry as C
+    from massif.operators import sequence as Q
+
+    df = spark.createDataFrame([("C2H6O", "MABKCDR")], "f string, s string")
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    for c in (C.hill(F.col("f")), C.composition_text(C.combined(C.composition(F.col("f")), C.composition(F.col("f"))))):
+        assert plan(c).count("regexp_extract_all(") <= 4
+    assert plan(Q.decoy_peptide(F.col("s"), "KR")).count("split(") == 1
+    assert plan(Q.residue_hits(F.upper("s"), F.array(F.lit("A"), F.lit("B")))).count("upper(") <= 4
+    assert df.select(C.hill(F.col("f")), Q.decoy_peptide(F.col("s"), "KR")).first() == ("C2H6O", "DCBKAMR")
+
+
+def test_fold_changes_of_many_groups_are_those_of_each(spark):
+    import numpy as np
+
+    from massif.operators import grouped
+
+    rnd = random.Random(5)
+    rows = [(k, c, rnd.uniform(-1, 9)) for k in range(30) for c in "AR" for _ in range(k % 5)] + [(99, "A", float("nan")), (99, "R", None)]
+    df = spark.createDataFrame(rows, "k int, c string, v double")
+    out = grouped.bayes_fold_change(df, "k", "c", "v", "A", "R", 100)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: r for r in out.collect()}
+    assert set(got) == {k for k, _, _ in rows}
+    for k, r in got.items():
+        a, b = (np.log2(sorted(v for i, s, v in rows if i == k and s == c and v and v > 0)) for c in "AR")
+        want = grouped.fold_change(a, b, 100, 1, 0.05)
+        for x, y in zip((r.change, r.low, r.high, r.pep), want):
+            assert x is None and np.isnan(y) or x is not None and (abs(x - y) < 1e-9 or np.isnan(x) and np.isnan(y))
