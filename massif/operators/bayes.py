@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chains that run side by side.
-ABREAST = 64
+from massif.runtime import ship
+
+#: Chains that run side by side, and measurements that they hold at most, the shorter ones padded; a longer group runs alone.
+ABREAST, CELLS = 64, 1 << 18
 #: Rate of acceptance that steps are fitted to, and steps between two fits.
 RATE, EVERY = 0.44, 3
 # Mean of the exponential prior of nu, and the spread of the prior of mu without a null hypothesis.
@@ -108,23 +110,39 @@ def fold_changes(df: DataFrame, key: str, condition: str, value: str, first, sec
     side = lambda c: F.array_sort(F.collect_list(F.when(F.col("_c") == c, F.col("_m"))))
     rows = good.groupBy("_k").agg(side(first).alias("a"), side(second).alias("b")).withColumn("_s", F.xxhash64(F.col("_k").cast("string"), F.lit(seed)))
 
+    # groups can be long: what a worker is sent at once is bounded by bytes, and it gets arrays of numbers
+    ship(df.sparkSession)
+
     @F.pandas_udf("struct<change:double,low:double,high:double,pep:double,bayes_factor:double>")
-    def run(a: pd.Series, b: pd.Series, seeds: pd.Series) -> pd.DataFrame:
+    def run(ax: pd.Series, aw: pd.Series, bx: pd.Series, bw: pd.Series, seeds: pd.Series) -> pd.DataFrame:
         made = []
-        for at in range(0, len(a), ABREAST):
-            made += _changes(list(a[at : at + ABREAST]), list(b[at : at + ABREAST]), list(seeds[at : at + ABREAST]), null, burn_in, steps)
+        for lo, hi in side_by_side([max(len(x), len(y)) for x, y in zip(ax, bx)]):
+            a, b = ([np.stack([np.asarray(x, float), np.asarray(w, float)], axis=1) for x, w in zip(xs[lo:hi], ws[lo:hi])] for xs, ws in ((ax, aw), (bx, bw)))
+            made += _changes(a, b, list(seeds[lo:hi]), null, burn_in, steps)
         return pd.DataFrame(made, columns=["change", "low", "high", "pep", "bayes_factor"])
 
-    out = rows.select(F.col("_k").alias(key), run("a", "b", "_s").alias("r"), F.size("a").alias("n_first"), F.size("b").alias("n_second"))
+    lists = [F.col(f"{side}.{c}") for side in "ab" for c in "xw"]
+    out = rows.select(F.col("_k").alias(key), run(*lists, "_s").alias("r"), F.size("a").alias("n_first"), F.size("b").alias("n_second"))
     return out.select(key, "r.*", "n_first", "n_second")
 
 
+def side_by_side(sizes: list[int]) -> list[tuple[int, int]]:
+    """(first, end) of stretches of groups that run side by side: at most ABREAST, and at most CELLS measurements when all are as long as the longest."""
+    out, lo, longest = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > lo and (i - lo == ABREAST or (i - lo + 1) * max(longest, n) > CELLS):
+            out.append((lo, i))
+            lo, longest = i, 0
+        longest = max(longest, n)
+    return [*out, (lo, len(sizes))] if sizes else []
+
+
 def _changes(first: list, second: list, seeds: list[int], null: float, burn_in: int, steps: int) -> list[tuple]:
-    take = lambda side, c: [np.array([p[c] for p in side], float) for side in side]
+    take = lambda side, c: [np.ascontiguousarray(p[:, "xw".index(c)]) for p in side]
     both = [i for i in range(len(first)) if len(first[i]) > 1 and len(second[i]) > 1]
     out: list[tuple] = []
     for a, b in zip(first, second):
-        level = [float(np.mean([p["x"] for p in s])) if len(s) else None for s in (a, b)]
+        level = [float(np.mean(s[:, 0])) if len(s) else None for s in (a, b)]
         out.append((None if None in level else level[1] - level[0], None, None, 1.0 if len(a) or len(b) else None, None))
     if both:
         no = np.full(len(both), np.nan)

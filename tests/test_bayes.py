@@ -69,3 +69,12 @@ def test_planted_changes(spark):
     assert got["half"].change is None and got["half"].pep == 1.0 and "none" not in got
     again = run(df.repartition(1, F.rand()))
     assert {k: tuple(v) for k, v in again.items()} == {k: tuple(v) for k, v in got.items()}
+
+
+def test_long_groups_run_apart():
+    from massif.operators import bayes
+
+    sizes = [5] * 100 + [bayes.CELLS] * 3 + [bayes.CELLS // 2, bayes.CELLS // 2, 1]
+    got = bayes.side_by_side(sizes)
+    assert [k for lo, hi in got for k in range(lo, hi)] == list(range(len(sizes))) and bayes.side_by_side([]) == []
+    assert all(hi - lo == 1 or hi - lo <= bayes.ABREAST and (hi - lo) * max(sizes[lo:hi]) <= bayes.CELLS for lo, hi in got)
