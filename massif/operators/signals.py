@@ -5,11 +5,15 @@ A signal is one row with its arrays; rows are worked on a batch at a time, and w
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massif.runtime import ship
+
 
 def padded(x: np.ndarray, y: np.ndarray, count: int, gap: float) -> tuple[np.ndarray, np.ndarray]:
     """The points with `count` zeros, `gap` apart, before and after."""
@@ -130,15 +134,17 @@ def shift_of(rt: np.ndarray, y: np.ndarray, ref_rt: np.ndarray, ref_y: np.ndarra
 
 def aligned(df: DataFrame, group: list[str], rt: str, intensity: str, is_reference: Column, order: Column) -> DataFrame:
     """df with shift: what to add to each trace's times to lay it on its group's reference, the first row by `order` among those of which is_reference holds; null without one and for traces of fewer than two points (ML13)."""
-    pick = F.min_by(F.struct(F.col(rt).alias("t"), F.col(intensity).alias("y")), F.when(is_reference, F.struct(order)))
-    refs = df.where(is_reference & (F.size(rt) > 1)).groupBy(*group).agg(pick.alias("_ref"))
+    ship(df.sparkSession)
+    # a window over each group, which spills, where a join would send the references to the driver
+    first = F.min_by(F.struct(F.col(rt).alias("t"), F.col(intensity).alias("y")), F.when(is_reference & (F.size(rt) > 1), F.struct(order))).over(Window.partitionBy(*group))
+    named = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in group])
 
     @F.pandas_udf("double")
     def run(t: pd.Series, y: pd.Series, rt_: pd.Series, ry: pd.Series) -> pd.Series:
         good = lambda v: v is not None and len(v) > 1
         return pd.Series([shift_of(*(np.asarray(v, float) for v in p)) if all(map(good, p)) else None for p in zip(t, y, rt_, ry)], dtype=float)
 
-    out = df.join(refs, group, "left").withColumn("shift", run(F.col(rt), F.col(intensity), F.col("_ref.t"), F.col("_ref.y")))
+    out = df.withColumn("_ref", F.when(named, first)).withColumn("shift", run(F.col(rt), F.col(intensity), F.col("_ref.t"), F.col("_ref.y")))
     return out.withColumn("shift", F.when(~F.isnan("shift"), F.col("shift"))).drop("_ref")
 
 

@@ -138,3 +138,12 @@ def test_wavelet_noise(spark):
         assert (got[k].noise, got[k].rounds) == (pytest.approx(want), rounds)
     assert abs(got[1].noise - 3.0) < 0.6
     assert all(got[k].noise is None for k in (8, 9, 10))
+
+
+def test_alignment_sends_no_references_to_the_driver(spark):
+    rows = [(g, r, [0.05 * k for k in range(7)], [float((k + r) % 5 + 1) for k in range(7)], r == 0) for g in (1, 2, None) for r in range(3)]
+    df = spark.createDataFrame(rows, "g long, r int, t array<double>, y array<double>, ref boolean")
+    plan = S.aligned(df, ["g"], "t", "y", F.col("ref"), F.col("r"))
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    got = {(x.g, x.r): x["shift"] for x in plan.collect()}
+    assert got[1, 0] == got[2, 0] == 0 and got[None, 0] is None and got[1, 1] is not None
