@@ -200,12 +200,22 @@ def loss_kind(mass: Column) -> Column:
 
 
 def closest_match(left: DataFrame, key: str, x: str, right: DataFrame, other: str, y: str, ppm: float) -> DataFrame:
-    """Each row of left with its closest partner within ppm (ties: the lower id), rows without one having none."""
-    from massif.operators.ranges import ppm_join
+    """Each row of left with its closest partner within ppm (ties: the lower id), rows without one having none.
 
-    pairs = ppm_join(left.select(key, x), right.select(other, y), x, y, ppm)
-    best = pairs.groupBy(key).agg(F.min_by(F.struct(other, y), F.struct(F.abs(F.col(x) - F.col(y)), F.col(other))).alias("_b"))
-    return left.join(best, key, "left").select(*left.columns, F.col("_b").getField(other).alias(other), F.col("_b").getField(y).alias(y))
+    Of the partners below and above a value the next one on either side is the closest, so values are ordered once with their partners, by rising and by falling value, and no pairs are listed.
+    """
+    from massif.operators.prefix import fill
+
+    partner = right.where(F.col(y) > 0).groupBy(F.col(y).alias("_v")).agg(F.min(other).alias("_o"))
+    asked = left.where(F.col(x) > 0).select(F.col(x).alias("_v")).distinct()
+    own = F.struct(F.col("_o"), F.col("_v").alias("_y"))
+    both = partner.select("_v", F.lit(0).alias("_k"), own.alias("_at")).unionByName(asked.withColumn("_k", F.lit(1)), allowMissingColumns=True)
+    below = fill(both, [F.col("_v"), F.col("_k")], "_at", "_below")
+    beside = fill(below, [-F.col("_v"), F.col("_k")], "_at", "_above").where("_k = 1")
+    gap = lambda c: F.abs(F.col("_v") - F.col(f"{c}._y"))
+    near = lambda c: F.when(gap(c) / F.col(f"{c}._y") * 1e6 <= ppm, F.struct(gap(c).alias("d"), F.col(f"{c}._o").alias("o"), F.col(f"{c}._y").alias("y")))
+    best = beside.select("_v", F.array_min(F.array_compact(F.array(near("_below"), near("_above")))).alias("_b")).where("_b IS NOT NULL")
+    return left.join(best, left[x] == best["_v"], "left").select(*left.columns, F.col("_b.o").alias(other), F.col("_b.y").alias(y))
 
 
 def truncations(df: DataFrame, seq: str, most: int, least_length: int) -> DataFrame:

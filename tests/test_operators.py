@@ -179,3 +179,18 @@ def test_error_probabilities_rank_decoys_last(spark):
     out = error_probabilities(df, ["s"], F.col("d"), "g", rounds=3).collect()
     assert len(out) == 400 and all(0 <= r.pep <= 1 for r in out)
     assert np.mean([r.pep for r in out if r.d]) > 2 * np.mean([r.pep for r in out if not r.d])
+
+
+def test_closest_match_orders_values_and_lists_no_pairs(spark):
+    from massif.operators.scans import closest_match
+
+    rng = np.random.default_rng(9)
+    x = [*rng.uniform(99.98, 100.02, 60).round(3).tolist(), 5.0, -1.0, None]
+    y = [*rng.uniform(99.98, 100.02, 40).round(3).tolist(), 100.0, 100.0, 0.0, None]
+    left, right = spark.createDataFrame(list(enumerate(x)), "k int, x double"), spark.createDataFrame(list(enumerate(y)), "o int, y double")
+    out = closest_match(left, "k", "x", right, "o", "y", 20.0)
+    # pairs came from a join on bins of values
+    assert "FLOOR(LOG" not in out._jdf.queryExecution().optimizedPlan().toString().upper().replace("LN", "LOG")
+    for r in out.collect():
+        near = [(abs(r.x - b), o) for o, b in enumerate(y) if r.x is not None and r.x > 0 and b is not None and b > 0 and abs(r.x - b) / b * 1e6 <= 20.0]
+        assert (r.o, r.y) == ((min(near)[1], y[min(near)[1]]) if near else (None, None))
