@@ -53,11 +53,17 @@ def digest(df: DataFrame, seq: str, cut_after: str, prevented_by: str = "", miss
 
 def digest_semi(df: DataFrame, seq: str, cut_after: str, prevented_by: str = "", missed: int = 2, min_length: int = 7) -> DataFrame:
     """df with start, end, peptide: products with at least one end at a site and at most `missed` sites inside, each once (GEN3)."""
-    full = digest(df, seq, cut_after, prevented_by, missed, 1, initiator="retain")
-    left = full.withColumn("end", F.explode(F.sequence("start", "end")))
-    right = full.withColumn("start", F.explode(F.sequence("start", "end")))
-    both = left.select(*df.columns, "start", "end").unionAll(right.select(*df.columns, "start", "end")).distinct()
-    return both.withColumn("peptide", F.col(seq).substr(F.col("start"), F.col("end") - F.col("start") + 1)).where(F.length("peptide") >= min_length)
+    # sites by number: each start reaches to the site `missed` beyond its next one, each end back as far; of the latter those whose start is a site are among the former already
+    rows = df.where(F.length(seq) > 0).distinct().withColumn("_sites", cleavage_sites(F.col(seq), cut_after, prevented_by))
+    site = lambda i: F.get("_sites", i)
+    last = F.size("_sites") - 1
+    # a sequence whose first number is beyond its last would run backwards
+    ordered = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+    pair = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    left = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.transform(ordered(site(i) + min_length, site(F.least(i + missed + 1, last))), lambda e: pair(site(i) + 1, e)))
+    right = F.transform(F.sequence(F.lit(1), last), lambda j: F.transform(F.array_except(ordered(site(F.greatest(j - missed - 1, F.lit(0))), site(j) - min_length), F.col("_sites")), lambda b: pair(b + 1, site(j))))
+    both = rows.withColumn("_p", F.explode(F.concat(F.flatten(left), F.flatten(right)))).select(*df.columns, "_p.*")
+    return both.withColumn("peptide", F.col(seq).substr(F.col("start"), F.col("end") - F.col("start") + 1))
 
 
 def specificity(start: Column, end: Column, sites: Column) -> Column:
