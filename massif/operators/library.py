@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from massif.operators.graph import components
-from massif.runtime import Scratch
+from massif.runtime import Scratch, ship
 
 
 def window_query(entries: DataFrame, bounds: dict[str, tuple[float, float]], decoy: Column, with_decoys: bool = False) -> DataFrame:
@@ -78,14 +81,97 @@ def merge_groups(df: DataFrame, keys: list[str], sets: list[str], scalars: list[
 
 
 def feature_links(traces: DataFrame, node: str, mass: str, charge: str, start: str, end: str, ppm: float, on: list[str] | None = None) -> DataFrame:
-    """(a, b): traces within ppm of the lower mass, of different charge, with overlapping times; met through logarithmic mass bins."""
+    """(a, b): links that join the traces as all links do, of which there are fewer than twice as many as traces. Traces are linked within ppm of the lower mass, of different charge, with overlapping times.
+
+    Masses are cut into logarithmic bins of the tolerance, so a link lies in one bin or between two neighbours. A task has the traces of two neighbouring bins, drops links whose ends are joined already, and keeps one link for each join.
+    """
+    ship(traces.sparkSession)
+    keys = on or []
     step = float(ppm) * 1e-6 * 1.0001
     b = F.floor(F.log(mass) / F.lit(step)).cast("long")
-    x = traces.select(*[F.col(c).alias(c) for c in on or []], F.col(node).alias("a"), F.col(mass).alias("m1"), F.col(charge).alias("z1"), F.col(start).alias("s1"), F.col(end).alias("e1"), b.alias("_bin"))
-    y = traces.select(*[F.col(c).alias(c) for c in on or []], F.col(node).alias("b"), F.col(mass).alias("m2"), F.col(charge).alias("z2"), F.col(start).alias("s2"), F.col(end).alias("e2"), F.explode(F.array(b - 1, b)).alias("_bin"))
-    low = (F.col("m1") < F.col("m2")) | ((F.col("m1") == F.col("m2")) & (F.col("a") < F.col("b")))
-    close = (F.col("m2") - F.col("m1")) / F.col("m1") * 1e6 <= ppm
-    return x.join(y, [*(on or []), "_bin"]).where(low & close & (F.col("z1") != F.col("z2")) & (F.col("s1") <= F.col("e2")) & (F.col("s2") <= F.col("e1"))).select("a", "b")
+    x = traces.where((F.col(mass) > 0) & ~F.isnan(F.col(mass).cast("double")))
+    for c in [*keys, node, charge, start, end]:
+        x = x.where(F.col(c).isNotNull())
+    values = [F.col(mass).cast("double").alias("m"), F.col(charge).alias("z"), F.col(start).alias("s"), F.col(end).alias("e")]
+    x = x.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(keys)], F.col(node).alias("node"), *values, F.explode(F.array(b - 1, b)).alias("_bin"))
+    kinds = StructType([StructField("a", traces.schema[node].dataType), StructField("b", traces.schema[node].dataType)])
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        m, s, e = (t[c].to_numpy() for c in ("m", "s", "e"))
+        z = np.unique(t["z"].to_numpy(), return_inverse=True)[1]
+        order = np.argsort(m, kind="stable")
+        one, two = linked(m[order], z[order], s[order], e[order], ppm)
+        out = [t["node"].take(pa.array(order[k])) for k in (one, two)]
+        return pa.table(out, names=["a", "b"])
+
+    return x.groupBy(*[c for c in x.columns if c.startswith("_on")], "_bin").applyInArrow(run, kinds)
+
+
+#: Neighbours by mass that each trace is tried with before all pairs of traces not joined yet are.
+NEAR = 32
+#: Pairs that are compared at once.
+PAIRS = 1 << 20
+
+
+def linked(m: np.ndarray, z: np.ndarray, s: np.ndarray, e: np.ndarray, ppm: float) -> tuple[np.ndarray, np.ndarray]:
+    """(one, two): a forest of links that has the components of all of them; m rises.
+
+    Each trace is first tried with its next neighbours by mass. After that pairs inside the largest component are of no interest any more, so each trace outside of it is compared with those within its reach.
+    """
+    n = len(m)
+    root = list(range(n))
+    ends: tuple[list, list] = ([], [])
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    def join(one: np.ndarray, two: np.ndarray) -> None:
+        for i, j in zip(one.tolist(), two.tolist()):
+            a, b = find(i), find(j)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                ends[0].append(i)
+                ends[1].append(j)
+
+    def met(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        low, high = np.minimum(i, j), np.maximum(i, j)
+        return (z[i] != z[j]) & (s[i] <= e[j]) & (s[j] <= e[i]) & ((m[high] - m[low]) / m[low] * 1e6 <= ppm)
+
+    def labels() -> np.ndarray:
+        return np.array([find(k) for k in range(n)], dtype=np.int64)
+
+    for k in range(1, min(NEAR, n - 1) + 1):
+        i = np.arange(n - k)
+        now = labels()
+        i = i[(now[i] != now[i + k]) & met(i, i + k)]
+        join(i, i + k)
+    if n <= NEAR + 1:
+        return tuple(np.array(x, dtype=np.int64) for x in ends)
+    now = labels()
+    largest = np.bincount(now, minlength=n).argmax()
+    # a little wider than the tolerance; met() decides
+    reach = ppm * 1e-6 * (1 + 1e-9)
+    low, high = np.searchsorted(m, m / (1 + reach) * (1 - 1e-12)), np.searchsorted(m, m * (1 + reach) * (1 + 1e-12), "right")
+    outside = np.flatnonzero(now != largest)
+    sizes = (high - low)[outside]
+    at = 0
+    while at < len(outside):
+        stop = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), PAIRS, "right")) + at)
+        own, many = outside[at:stop], sizes[at:stop]
+        i = np.repeat(own, many)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low[own], many)
+        # joined meanwhile: a look at the labels spares the loop
+        now = labels()
+        open_ = now[i] != now[j]
+        i, j = i[open_], j[open_]
+        hit = met(i, j)
+        join(i[hit], j[hit])
+        at = stop
+    return tuple(np.array(x, dtype=np.int64) for x in ends)
 
 
 def features(traces: DataFrame, links: DataFrame, node: str) -> DataFrame:
