@@ -49,3 +49,11 @@ def test_no_links(spark):
     links = L.feature_links(t, "k", "m", "z", "s", "e", 10.0)
     assert links.count() == 0 and {r.feature for r in L.features(t, links, "k").collect()} == {1, 2, 3, 4, 5}
     assert [len(x) for x in L.linked(*np.zeros((4, 0)), 10.0)] == [0, 0]
+
+
+def test_links_of_a_crowd_grow_with_its_traces(spark):
+    # all of one bin, every pair of unlike charge is linked: 22,500 pairs
+    t = spark.range(300).selectExpr("id AS k", "1000.0D + id / 1000 AS m", "id % 2 AS z", "0 AS s", "9 AS e")
+    links = L.feature_links(t, "k", "m", "z", "s", "e", 5000.0)
+    assert links.count() < 600
+    assert {r.feature for r in L.features(t, links, "k").collect()} == {0}
