@@ -16,8 +16,8 @@ from massif.runtime import Scratch, ship
 
 #: Factors of fractions stay within these bounds, and are looked for at these steps first.
 LEAST, MOST, STEP = 0.3, 3.0, 0.01
-#: Rows that a task weighs at once.
-BATCH = 4096
+#: Rows that a task weighs at once, and that it holds of all samples until they fill such blocks.
+BATCH, HELD = 4096, 262_144
 
 
 def _with_reference(df: DataFrame, design: DataFrame) -> tuple[DataFrame, tuple]:
@@ -26,8 +26,44 @@ def _with_reference(df: DataFrame, design: DataFrame) -> tuple[DataFrame, tuple]
     return df.join(F.broadcast(design) if design.limit(100_001).count() <= 100_000 else design, "run"), first
 
 
+def _blocks(rows: DataFrame, n: int) -> DataFrame:
+    """(sample, data) of the rows (sample, ref, values): blocks of up to BATCH rows of a sample, as the bytes of their logarithms of ref and their n values each, which a pass reads as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        count = 0
+
+        def blocks(least: int) -> Iterator[pa.RecordBatch]:
+            for s in list(held):
+                ref, values = (np.concatenate(x) for x in zip(*held.pop(s)))
+                full = len(ref) // least * least
+                for a in range(0, full, BATCH):
+                    made = np.concatenate([ref[a : min(a + BATCH, full)], values[a : min(a + BATCH, full)].ravel()])
+                    yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([made.tobytes()], pa.binary())], ["sample", "data"])
+                if full < len(ref):
+                    held[s] = [(ref[full:], values[full:])]
+
+        for batch in batches:
+            sample, ref = (batch.column(i).to_numpy() for i in (0, 1))
+            ref, values = np.log(ref), batch.column(2).flatten().to_numpy().reshape(-1, n)
+            for s in np.unique(sample).tolist():
+                own = np.flatnonzero(sample == s)
+                held.setdefault(s, []).append((ref[own], values[own]))
+            count += len(sample)
+            if count >= HELD:
+                yield from blocks(BATCH)
+                count = sum(len(r) for parts in held.values() for r, _ in parts)
+                if count >= HELD // 2:
+                    # so many samples that few fill a block
+                    yield from blocks(1)
+                    count = 0
+        yield from blocks(1)
+
+    return rows.select("sample", "ref", "values").mapInArrow(run, "sample long, data binary")
+
+
 def _partials(rows: DataFrame, n: int, tried: dict[int, np.ndarray], normal: bool) -> dict[int, np.ndarray]:
-    """Sums over the rows (sample, ref, values) of each sample: of |log residual| for each of the factor vectors tried[sample] (m, n), or, with normal, of the weighted normal equations at its one vector.
+    """Sums over the blocks (sample, data) of each sample: of |log residual| for each of the factor vectors tried[sample] (m, n), or, with normal, of the weighted normal equations at its one vector.
 
     Each task adds up its rows' sums; one row for each number and sample goes on.
     """
@@ -35,26 +71,26 @@ def _partials(rows: DataFrame, n: int, tried: dict[int, np.ndarray], normal: boo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            sample, ref = (batch.column(i).to_numpy() for i in (0, 1))
-            values = batch.column(2).flatten().to_numpy().reshape(-1, n)
-            for s in set(sample.tolist()) & tried.keys():
-                own = np.flatnonzero(sample == s)
-                for a in range(0, len(own), BATCH):
-                    v, r = values[own[a : a + BATCH]], np.log(ref[own[a : a + BATCH]])
-                    if normal:
-                        f = tried[s][0]
-                        part = v * f
-                        total = part.sum(axis=1)
-                        e, j = np.log(total) - r, part / total[:, None]
-                        w = 1 / np.maximum(np.abs(e), 1e-9)
-                        made = np.concatenate([(j.T @ (j * w[:, None])).ravel(), j.T @ (w * e)])
-                    else:
-                        made = np.abs(np.log(v @ tried[s].T) - r[:, None]).sum(axis=0)
-                    sums[s] = sums.get(s, 0) + made
+            for s, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if s not in tried:
+                    continue
+                x = np.frombuffer(data.as_buffer())
+                k = len(x) // (n + 1)
+                r, v = x[:k], x[k:].reshape(k, n)
+                if normal:
+                    f = tried[s][0]
+                    part = v * f
+                    total = part.sum(axis=1)
+                    e, j = np.log(total) - r, part / total[:, None]
+                    w = 1 / np.maximum(np.abs(e), 1e-9)
+                    made = np.concatenate([(j.T @ (j * w[:, None])).ravel(), j.T @ (w * e)])
+                else:
+                    made = np.abs(np.log(v @ tried[s].T) - r[:, None]).sum(axis=0)
+                sums[s] = sums.get(s, 0) + made
         for s, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), s)), pa.array(np.arange(len(x))), pa.array(x)], ["sample", "k", "v"])
 
-    total = rows.select("sample", "ref", "values").mapInArrow(run, "sample long, k long, v double").groupBy("sample", "k").agg(F.sum("v").alias("v"))
+    total = rows.select("sample", "data").mapInArrow(run, "sample long, k long, v double").groupBy("sample", "k").agg(F.sum("v").alias("v"))
     out: dict[int, np.ndarray] = {}
     for r in total.orderBy("sample", "k").collect():
         out.setdefault(r.sample, []).append(r.v)
@@ -84,7 +120,8 @@ def fraction_factors(df: DataFrame, design: DataFrame, rounds: int = 30) -> Data
     kinds = f"condition {design.schema['condition'].dataType.simpleString()}, biorep {design.schema['biorep'].dataType.simpleString()}"
     numbered = spark.createDataFrame([(c, b, i) for i, (c, b) in enumerate(names)], f"{kinds}, sample long")
     rows = each.join(numbered, ["condition", "biorep"]).join(ref, "sequence").select("sample", F.col("ref").cast("double").alias("ref"), F.array(*[F.col(f"f{k}").cast("double") for k in range(n)]).alias("values"))
-    rows = scratch.save(rows)
+    # each of the many passes reads numbers as they are, not rows
+    rows = scratch.save(_blocks(rows, n))
     grid = np.round(np.arange(LEAST, MOST + STEP / 2, STEP), 2)
     ones = np.ones((1, n))
     tried = np.concatenate([ones, *[np.where(np.arange(n) == k, grid[:, None], 1.0) for k in range(n)]])

@@ -85,3 +85,25 @@ def test_nothing_shared_and_empty_tables(spark):
     assert sorted((r.sequence, r.intensity) for r in out.collect()) == [("a", 5.0), ("b", 2.0), ("b", 7.0)]
     assert N.normalised(df.limit(0), d)[0].count() == 0
     assert N.fraction_factors(df, d.withColumn("fraction", F.lit(0))).where("factor <> 1").count() == 0
+
+
+def test_passes_read_blocks_and_sum_every_row(spark, monkeypatch):
+    monkeypatch.setattr(N, "BATCH", 50)
+    monkeypatch.setattr(N, "HELD", 400)
+    rng = np.random.default_rng(6)
+    rows = [(int(s), float(r), [float(x) for x in v]) for s, r, v in zip(rng.integers(0, 4, 3000), rng.lognormal(0, 1, 3000), rng.lognormal(0, 1, (3000, 3)))]
+    rows += [(7, 2.0, [1.0, 0.0, 3.0])]
+    df = spark.createDataFrame(rows, "sample long, ref double, values array<double>").repartition(3)
+    blocks = N._blocks(df, 3).localCheckpoint()
+    # 50 rows each, and the rest of each sample in each of three tasks
+    assert blocks.count() <= 3000 // 50 + 5 * 3 and blocks.agg(F.max(F.length("data"))).first()[0] <= 50 * 4 * 8
+    tried = {s: rng.uniform(0.5, 2, (2, 3)) for s in (0, 1, 2, 7)}
+    got, normal = N._partials(blocks, 3, tried, False), N._partials(blocks, 3, tried, True)
+    assert set(got) == set(normal) == set(tried)
+    for s, f in tried.items():
+        r, v = np.log([x[1] for x in rows if x[0] == s]), np.array([x[2] for x in rows if x[0] == s])
+        assert np.allclose(got[s], np.abs(np.log(v @ f.T) - r[:, None]).sum(axis=0))
+        part = v * f[0]
+        e, j = np.log(part.sum(axis=1)) - r, part / part.sum(axis=1)[:, None]
+        w = 1 / np.maximum(np.abs(e), 1e-9)
+        assert np.allclose(normal[s], np.concatenate([((j * w[:, None]).T @ j).ravel(), j.T @ (w * e)]))
