@@ -240,6 +240,7 @@ def hard_negatives(df: DataFrame, anchor: Column, id_col: str = "vec_id", vector
     for c, (_, m) in sorted(counts.items()):
         group[c] = (filled // GROUP, -(-m // GROUP))
         filled += m
+    begins = {c: sum(parts[b] for b in parts if b < c) for c in parts}
     look = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col("cell"))
     chunk = lambda many: F.pmod(F.xxhash64("row"), many.cast("long"))
 
@@ -248,7 +249,8 @@ def hard_negatives(df: DataFrame, anchor: Column, id_col: str = "vec_id", vector
         order, columns = _tree_columns(row, id_, label, _vectors(t.column("v"), width))
         anchors = t.column("anchor").combine_chunks().to_numpy(zero_copy_only=False).astype(bool)[order]
         made = [pa.array([x], kind) for x, (_, kind) in zip(columns, _BLOCK_FIELDS)]
-        return pa.table([pa.array([int(row.min())]), *made, pa.array([np.flatnonzero(anchors).astype(_I8).tobytes()], pa.binary())], names=["block", *[f for f, _ in _BLOCK_FIELDS], "anchors"])
+        # numbered from 0 on, so that they can be dealt evenly
+        return pa.table([pa.array([begins[t["cell"][0].as_py()] + t["part"][0].as_py()]), *made, pa.array([np.flatnonzero(anchors).astype(_I8).tobytes()], pa.binary())], names=["block", *[f for f, _ in _BLOCK_FIELDS], "anchors"])
 
     blocks = dealt.withColumn("part", chunk(look(parts))).groupBy("cell", "part").applyInArrow(block, f"block long, {_BLOCK_KIND}, anchors binary")
     blocks = scratch.save(blocks)
@@ -304,12 +306,13 @@ def hard_negatives(df: DataFrame, anchor: Column, id_col: str = "vec_id", vector
         trees = scratch.save(trees)
         names = trees.columns
         left = trees.select(*[F.col(c).alias(f"a_{c}") for c in names], F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-        right = blocks.select(*[F.col(c).alias(f"b_{c}") for c in names if c in blocks.columns], F.pmod(F.xxhash64("block"), F.lit(slots)).cast("int").alias("slot"))
+        right = blocks.select(*[F.col(c).alias(f"b_{c}") for c in names if c in blocks.columns], (F.col("block") % slots).cast("int").alias("slot"))
         length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, z: s + z * z))
         middle = F.aggregate(F.zip_with("a_middle", "b_middle", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
         reach = length("a_middle") * F.col("b_reach") + length("b_middle") * F.col("a_reach") + F.col("a_reach") * F.col("b_reach")
         slack = 1 + 1e-9 * (F.abs(middle) + reach)
-        met = left.join(right, "slot").where((middle + reach + slack >= F.col("a_least")) & (middle - reach - slack <= F.col("a_most")))
+        # a tree has a row for each slot, of which a plan's estimate knows nothing: neither side may be broadcast, as the driver would hold them all
+        met = left.join(right.hint("merge"), "slot").where((middle + reach + slack >= F.col("a_least")) & (middle - reach - slack <= F.col("a_most")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -92,3 +92,18 @@ def test_query(spark, sf_dir):
     rows = [(r.vec_id, r.embedding, None if r.label is None else (r.label + (r.vec_id % 7 == 0)) % 10) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got = sorted(map(tuple, registry.op13_hard_negatives(spark, sf_dir).collect()), key=str)
     assert got == brute(rows, lambda i: i % 100 == 0) and len(got) > 50
+
+
+def test_trees_are_not_broadcast(spark, monkeypatch):
+    """Trees have a row for each slot, so a broadcast would send many times the anchors to the driver."""
+    plans, save = [], negatives.Scratch.save
+
+    def seen(self, df):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return save(self, df)
+
+    monkeypatch.setattr(negatives.Scratch, "save", seen)
+    monkeypatch.setattr(negatives, "BLOCK", 50)
+    assert run(spark, clustered(3, 300, 6))
+    found = [p for columns, p in plans if columns[:2] == ["anchor", "part"]]
+    assert len(found) == 2 and all("Join" in p and "BroadcastExchange" not in p for p in found)
