@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from massif.functions.chemistry import PROTON, averagine_atoms, averagine_of, isotope_distribution, parsed
+from massif.functions.chemistry import PROTON, isotope_distribution, parsed
+from massif.operators.envelopes import envelopes, spectra_of
+from massif.runtime import ship, shuffle_partitions
 
 C13 = 1.00335483810
-#: Average isotope patterns that a task keeps; neighbouring masses share one.
-_average = lru_cache(maxsize=100_000)(averagine_of)
 
 
 def trace_labels(mass: np.ndarray, scan: np.ndarray, tolerance: float, gap: int) -> np.ndarray:
@@ -89,69 +90,40 @@ def trace_correct(df: DataFrame, keys: list[str], mass: str, weight: str) -> Dat
     return df.groupBy(*keys).applyInPandas(run, T.StructType([*df.schema.fields, T.StructField("corrected", T.DoubleType()), T.StructField("part", T.LongType())]))
 
 
+@lru_cache(maxsize=10_000)
+def _isotopes(formula: str, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m, p = isotope_distribution(parsed(formula), 1e-8)
+    keep = p >= least
+    return np.arange(len(m))[keep], m[keep], p[keep]
+
+
 def isotope_rows(df: DataFrame, key: str, formula: str, least: float = 1e-4) -> DataFrame:
-    """(key, isotope, mass, abundance) of each formula's isotope distribution."""
-
-    def run(frames):
-        for x in frames:
-            for k, f in zip(x["_k"], x["_f"]):
-                m, p = isotope_distribution(parsed(f), 1e-8)
-                keep = p >= least
-                yield pd.DataFrame({key: k, "isotope": np.arange(len(m))[keep], "mass": m[keep], "abundance": p[keep]})
-
-    return df.select(F.col(key).alias("_k"), F.col(formula).alias("_f")).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, isotope long, mass double, abundance double")
-
-
-def envelopes(mz: np.ndarray, intensity: np.ndarray, ppm: float, charges: range) -> list[tuple[float, int, float, int]]:
-    """(monoisotopic mass, charge, score, number of peaks) of envelope_peaks()."""
-    return [(mass, z, score, len(used)) for mass, z, score, used in envelope_peaks(mz, intensity, ppm, charges)]
-
-
-def envelope_peaks(mz: np.ndarray, intensity: np.ndarray, ppm: float, charges: range) -> list[tuple[float, int, float, frozenset[int]]]:
-    """(monoisotopic mass, charge, score, places of its peaks): for each strong peak and charge the average-peptide envelope is grown from its apex until a peak misses; the best by score that share no peak stay."""
-    found, values = [], mz.tolist()
-
-    def closest(want: float) -> int:
-        """The first of the peaks closest to want; m/z rise."""
-        k = bisect_left(values, want)
-        near = [x for x in (values[k - 1] if k else None, values[k] if k < len(values) else None) if x is not None]
-        return bisect_left(values, min(near, key=lambda x: abs(x - want)))
-
-    for i in np.flatnonzero(intensity >= 0.01 * intensity.max()) if len(mz) else ():
-        for z in charges:
-            shifts, share = _average(*averagine_atoms((mz[i] - PROTON) * z))
-            apex = int(np.argmax(share))
-            mono = (mz[i] - PROTON) * z - shifts[apex]
-            used = []
-            for j in np.argsort(-share):
-                if share[j] < 0.05 * share[apex]:
-                    break
-                want = (mono + shifts[j]) / z + PROTON
-                at = closest(want)
-                ratio = intensity[at] / intensity[i] / (share[j] / share[apex])
-                if abs(mz[at] - want) / want * 1e6 > ppm or not 0.25 <= ratio <= 4:
-                    break
-                used.append(at)
-            n = len(set(used))
-            if n >= 2:
-                found.append((intensity[used].sum() * n**0.4 / z**0.06, mono, z, frozenset(used)))
-    out, taken = [], set()
-    for score, mono, z, used in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-        if not used & taken:
-            taken |= used
-            out.append((mono, z, float(score), used))
-    return out
+    """(key, isotope, mass, abundance) of each formula's isotope distribution. A formula that a task has met is not worked out again; rows are dealt evenly, as small tables come in few parts."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for at in range(0, len(x), 10_000):
+                part = x.slice(at, 10_000)
+                rows = [_isotopes(f, least) for f in part.column(1).to_pylist()]
+                place = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+                columns = [np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0), np.zeros(0)), *rows)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(place)), *map(pa.array, columns)], [key, "isotope", "mass", "abundance"])
+
+    named = df.select(F.col(key).alias("_k"), F.col(formula).alias("_f")).repartition(shuffle_partitions(df.sparkSession))
+    return named.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, isotope long, mass double, abundance double")
 
 
 def deconvolute(df: DataFrame, key: str, mz: str, intensity: str, ppm: float = 20.0, most_charge: int = 6) -> DataFrame:
-    """(key, mass, charge, score, n_peaks) of the envelopes of each spectrum, given as arrays of m/z (rising) and intensity."""
+    """(key, mass, charge, score, n_peaks) of the envelopes of each spectrum, given as arrays of m/z (rising) and intensity. The spectra of a batch are looked at together."""
+    ship(df.sparkSession)
 
-    def run(frames):
-        for x in frames:
-            rows = [(k, *e) for k, m, i in zip(x[key], x[mz], x[intensity]) for e in envelopes(np.asarray(m, float), np.asarray(i, float), ppm, range(1, most_charge + 1))]
-            yield pd.DataFrame(rows, columns=[key, "mass", "charge", "score", "n_peaks"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            own, mass, z, score, n, _ = envelopes(*spectra_of(x.column(1), x.column(2)), ppm, range(1, most_charge + 1))
+            yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(own)), pa.array(mass), pa.array(z.astype(np.int32)), pa.array(score), pa.array(n.astype(np.int32))], [key, "mass", "charge", "score", "n_peaks"])
 
-    return df.select(key, mz, intensity).mapInPandas(run, f"`{key}` {df.schema[key].dataType.simpleString()}, mass double, charge int, score double, n_peaks int")
+    return df.select(key, mz, intensity).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, mass double, charge int, score double, n_peaks int")
 
 
 def narrowest_interval(x: np.ndarray, share: float) -> tuple[float, float]:

@@ -1,4 +1,4 @@
-"""Envelopes of many spectra at once against one loop a spectrum."""
+"""Envelopes of many spectra at once against one loop a spectrum; isotopes and envelopes dealt to many tasks."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from massif.functions.chemistry import PROTON, averagine, averagine_atoms, averagine_of
 from massif.operators import envelopes as E
+from massif.operators import grouped
 from massif.operators import precursors as P
 
-
 average = lru_cache(100_000)(averagine_of)
 
 
@@ -95,3 +97,12 @@ def test_isolated_is_the_loop_over_each_window(spark):
         m, y = m[cut], y[cut]
         want += [(w, mass, z, score, len(u)) for mass, z, score, u in plain(m, y, 20.0, range(1, 5)) if any(lo <= m[p] <= hi for p in u)]
     assert got == sorted(want) and len(want) > 30
+
+
+def test_isotopes_come_from_many_tasks(spark):
+    """A small table comes in one part, which would keep all isotopes and envelopes of it in one task."""
+    df = spark.range(0, 3000, 1, 1).select(F.col("id").alias("k"), F.concat(F.lit("C"), F.col("id") % 30 + 5, F.lit("H9NO2S")).alias("f"))
+    rows = grouped.isotope_rows(df, "k", "f", 1e-3).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows}) == 4 and len({r.k for r in rows}) == 3000
+    own = [r for r in rows if r.k == 7]
+    assert [r.isotope for r in own] == list(range(len(own))) and abs(sum(r.abundance for r in own) - 1) < 0.01
